@@ -182,3 +182,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by 3-word shingles at 90 of 100: doc_id, n_shingles, component_id."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                 ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT s, count(*) AS c FROM s GROUP BY s),
+o AS (  -- any linked pair shares one of the rarest n - ceil(0.9 n) + 1 shingles of either side
+  SELECT s.doc_id, s.s, row_number() OVER (PARTITION BY s.doc_id ORDER BY c, s.s) AS i, n
+  FROM s JOIN f ON s.s = f.s JOIN n ON n.doc_id = s.doc_id),
+c AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM o a JOIN o b ON a.s = b.s AND a.doc_id < b.doc_id
+  WHERE a.i <= a.n - ceil(a.n * 90 / 100.0) + 1 AND b.i <= b.n - ceil(b.n * 90 / 100.0) + 1),
+p AS (SELECT c.a, c.b, count(*) AS k FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.s = x.s GROUP BY c.a, c.b),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.at)
+SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.at) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+"""
