@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import cut, table
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 15
@@ -121,7 +121,8 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, …) with ``text`` cleaned, and ``n_sentences`` and ``n_removed`` (long)."""
     found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_runs, "doc_id long, place long, h long")
     first = F.min(F.struct("doc_id", "place")).alias("first")
-    repeated = found.groupBy("h").agg(first, F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "first")
+    # Cut, so that both sides of the join are shuffled for it and a hot run's rows can be split.
+    repeated = cut(found.groupBy("h").agg(first, F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "first"))
     again = found.join(repeated, "h").where("doc_id <> first.doc_id or place <> first.place")
     marks = again.groupBy("doc_id").agg(F.collect_list(F.struct("place", "h")).alias("marks")).select(F.col("doc_id").alias("marked_id"), "marks")
 
