@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,37 @@ def shuffle_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of a membership bitmap; 8 MB, whatever it is made of.
+BITMAP_BITS = 1 << 26
+
+
+def bitmap(values: DataFrame, column: str) -> bytes:
+    """The low bits of a column of hashes as a bitmap of fixed size, for a first look before a join.
+
+    Words of 64 bits are joined up on the executors and arrive as 128 chunks. With more values
+    than bits it lets everything pass: a join that follows stays right and only loses its head start.
+    """
+    at = f"({column} & {BITMAP_BITS - 1}L)"
+    words = values.selectExpr(f"cast(shiftright({at}, 6) as int) as w", f"shiftleft(1L, cast({at} & 63L as int)) as bits").groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    size = BITMAP_BITS // 64 // 128
+
+    def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(size, np.int64)
+        held[pdf["w"].to_numpy() % size] = pdf["bits"]
+        return pd.DataFrame({"k": [int(pdf["w"].iloc[0]) // size], "held": [held.tobytes()]})
+
+    whole = bytearray(BITMAP_BITS // 8)
+    for r in words.groupBy(F.floor(F.col("w") / size)).applyInPandas(chunk, "k int, held binary").collect():
+        whole[r["k"] * size * 8 : (r["k"] + 1) * size * 8] = r["held"]
+    return bytes(whole)
+
+
+def in_bitmap(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (uint64) have their bit in a bitmap, read as bytes."""
+    at = hashes & np.uint64(BITMAP_BITS - 1)
+    return (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def isotonic(x: Iterable[float], positive: Iterable[float], total: Iterable[float]) -> tuple[list[float], list[float]]:
     """Pool adjacent violators over at most a few thousand distinct x: (x, non-decreasing rate).
 

@@ -5,8 +5,9 @@ Under one order of all shingles, a set's prefix of ``n - ceil(t n) + l`` shingle
 least ``l`` with that of every set it links with; a longer prefix asks for more shared ones.
 
 1. Texts with one and the same set form a class and are compared once.
-2. By hash order, every set's prefix with ``l`` a quarter of its length: sets with fewer than
-   ``l`` shingles that some other set's prefix holds too can link with nothing and go.
+2. By hash order, every set's prefix with ``l`` of ``EXTRA`` percent of its size: sets with
+   fewer than ``l`` shingles that some other set's prefix holds too can link with nothing and
+   go. Bitmaps of fixed size spare most rows of these joins their shuffle.
 3. The rest is ordered from rare to frequent shingles, by counts over all of it. Each set
    chooses its own ``l`` where the estimated cost, probes and candidates to verify, is least.
    A pair is a candidate if it shares the smaller of both ``l`` within the bounds of its sizes.
@@ -27,13 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import bitmap, cut, in_bitmap, table
 from tessera.llm.components import components
 from tessera.llm.shingles import shingle_sets
 
+#: l of the first prefix, in percent of the set's size.
+EXTRA = 8
 #: Choices of l, and the cost of comparing one shingle of a candidate in probes.
 MOST_MATCHES = 8
 VERIFY_COST = 0.05
@@ -47,23 +51,52 @@ def overlap_floor(n, percent: int):
 def first_prefix(n: int, percent: int) -> tuple[int, int]:
     """(length, shingles that must be shared) of a set's prefix by hash order."""
     p = n - overlap_floor(n, percent) + 1
-    length = min(n, p + -(-p // 4) - 1)
+    length = min(n, p + max(1, -(-n * EXTRA // 100)) - 1)
     return length, length - p + 1
 
 
-def _signatures(size: int, percent: int):
+def _node(doc_id: int | None, s: np.ndarray) -> tuple[bytes | None, int | None]:
+    """A set's digest of 128 bits and the first 64 of them; none for an empty set or a null id."""
+    if doc_id is None or not len(s):
+        return None, None
+    node = xxhash.xxh3_128_digest(s.tobytes())
+    return node, int.from_bytes(node[:8], "big", signed=True)
+
+
+def _prefixes(size: int, percent: int):
+    """(key, h) of every shingle in each set's first prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, heads = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
+                _, key = _node(doc_id, s)
+                if key is not None:
+                    heads.append(s[: first_prefix(len(s), percent)[0]])
+                    keys.append(np.full(len(heads[-1]), key, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(heads).view(np.int64))], ["key", "h"])
+
+    return run
+
+
+def _signatures(size: int, percent: int, shared: Broadcast):
+    """Each row's set: its size, digests, the shingles needed of its first prefix and those of them that the bitmap knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             ids, n, nodes, keys, needs, heads = [], [], [], [], [], []
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
-                length, need = first_prefix(len(s), percent) if len(s) else (0, 0)
-                node = xxhash.xxh3_128_digest(s.tobytes()) if len(s) and doc_id is not None else None
+                node, key = _node(doc_id, s)
+                length, need = first_prefix(len(s), percent) if node else (0, 0)
+                head = s[:length]
+                head = head[in_bitmap(held, head)]
                 ids.append(doc_id)
                 n.append(len(s))
                 nodes.append(node)
-                keys.append(int.from_bytes(node[:8], "big", signed=True) if node else None)
+                keys.append(key)
                 needs.append(need)
-                heads.append(s[:length].view(np.int64) if node else None)
+                heads.append(head.view(np.int64) if len(head) >= max(need, 1) else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), pa.array(needs, pa.int32()), pa.array(heads, pa.list_(pa.int64()))],
                 ["doc_id", "n", "node", "key", "need", "head"],
@@ -72,24 +105,39 @@ def _signatures(size: int, percent: int):
     return run
 
 
+def _chosen(ids: Broadcast):
+    """Rows (doc_id, hashed id, text) whose hashed id the bitmap knows, as (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(ids.value, np.uint8)
+        for batch in batches:
+            known = in_bitmap(held, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.select([0, 2]).filter(pa.array(known))
+
+    return run
+
+
 def _sets(size: int):
+    """Rows (node, n, text) as (n, node, shingles), without those whose text has another set than the node's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for s in shingle_sets(batch.column(0), size) if len(s)]
+            nodes = batch.column(0).to_pylist()
+            held = [(node, s) for node, s in zip(nodes, shingle_sets(batch.column(1), size)) if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == node]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"]
+                [pa.array([node for node, _ in held], pa.binary()), pa.array([len(s) for _, s in held], pa.int64()), pa.array([s.view(np.int64) for _, s in held], pa.list_(pa.int64()))],
+                ["node", "n", "shingles"],
             )
 
     return run
 
 
-def _survivors(base: DataFrame) -> DataFrame:
+def _survivors(base: DataFrame, shared: DataFrame) -> DataFrame:
     """(key) of the sets whose hash-order prefix holds enough shingles that other sets' prefixes hold too."""
-    heads = base.where("key is not null").select("key", "need", F.explode("head").alias("h"))
-    shared = heads.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("h")
-    copies = base.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("need").alias("need"))
-    hits = heads.select("key", "h").join(shared, "h").groupBy("key").agg(F.count(F.lit(1)).alias("hits"))
-    return copies.join(hits, "key").where("hits >= need * copies").select("key")
+    heads = base.where("head is not null").select("key", "need", F.explode("head").alias("h")).join(shared, "h")
+    hits = heads.groupBy("key").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need"))
+    copies = base.where("head is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    return hits.join(copies, "key").where("hits >= need * copies").select("key")
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
@@ -97,9 +145,10 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
 
     Positions count from the rarest shingle; those of one set only come first and match nothing.
     """
-    each = sets.select("node", "n", F.explode("shingles").alias("h"))
-    known = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = each.join(known, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("found"))
+    each = sets.select("node", F.explode("shingles").alias("h"))
+    known = each.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    found = each.join(known, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("found"))
+    ranked = found.join(sets.select("node", "n"), "node")
     floor = F.ceil(F.col("n") * percent / F.lit(100))
     floor = F.when((floor - 1) * 100 >= F.col("n") * percent, floor - 1).otherwise(floor).cast("int")
     ranked = ranked.withColumn("alone", (F.col("n") - F.size("found")).cast("int")).withColumn("p", (F.col("n") - floor + 1).cast("int")).withColumn("floor", floor)
@@ -163,17 +212,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     component_id is the smallest doc_id that a row reaches by links, its own included.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = cut(texts.mapInArrow(_signatures(size, percent), "doc_id long, n long, node binary, key long, need int, head array<long>"))
+    sc = docs.sparkSession.sparkContext
+    prefixes = texts.mapInArrow(_prefixes(size, percent), "key long, h long")
+    shared = cut(prefixes.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("h"))
+    base = cut(texts.mapInArrow(_signatures(size, percent, sc.broadcast(bitmap(shared, "h"))), "doc_id long, n long, node binary, key long, need int, head array<long>"))
     classes = base.where("node is not null").groupBy("node", "key").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    kept = cut(classes.join(_survivors(base), "key").select("node", "low", "n"))
-
-    chosen = texts.join(kept.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    sets = chosen.mapInArrow(_sets(size), "node binary, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = cut(sets.join(kept, "node").select("node", "n", "shingles"))
-    labels = components(_links(sets, percent))
-    ids = kept.select("node", "low")
-    smallest = labels.join(ids, "node").groupBy("label").agg(F.min("low").alias("component"))
-    linked = labels.join(smallest, "label").select("node", "component")
+    kept = cut(classes.join(_survivors(base, shared), "key").select("node", "low").withColumn("hashed", F.xxhash64("low")))
+
+    chosen = texts.select("doc_id", F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_chosen(sc.broadcast(bitmap(kept, "hashed"))), "doc_id long, text string")
+    sets = chosen.join(kept, F.col("doc_id") == F.col("low")).select("node", "text").mapInArrow(_sets(size), "node binary, n long, shingles array<long>")
+    # Short ids stand for digests while shingles are shuffled; the checkpoint fixes them.
+    named = cut(sets.withColumn("digest", F.col("node")).withColumn("node", F.monotonically_increasing_id()))
+    labels = components(_links(named.select("node", "n", "shingles"), percent))
+    ids = named.select("node", "digest").join(kept.select(F.col("node").alias("digest"), "low"), "digest")
+    labelled = labels.join(ids, "node")
+    smallest = labelled.groupBy("label").agg(F.min("low").alias("component"))
+    linked = labelled.join(smallest, "label").groupBy(F.col("digest").alias("node")).agg(F.min("component").alias("component"))
 
     several = classes.select("node", "low", "copies").join(linked, "node", "left").where("copies > 1 or component is not null").select("node", F.coalesce("component", "low").alias("component"))
     return base.select("doc_id", "n", "node").join(several, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
