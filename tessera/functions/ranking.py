@@ -34,7 +34,14 @@ def ts_rank(text: Column, terms: list[str]) -> Column:
     terms adds by noisy-or. Terms must be lower case; no stemming is done here.
     """
     words = tokens(text)
-    at = [F.filter(F.transform(words, lambda x, i, t=t: F.when(x == t, i + 1)), lambda x: x.isNotNull()) for t in dict.fromkeys(terms)]
+
+    def places(term: str) -> Column:
+        return F.filter(F.transform(words, lambda x, i: F.when(x == term, i + 1)), lambda x: x.isNotNull())
+
+    def pairs(a: Column, b: Column) -> Column:
+        return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: weight(x, y))))
+
+    at = [places(t) for t in dict.fromkeys(terms)]
     if not at:
         return F.lit(0.0)
     if len(at) == 1:
@@ -48,6 +55,5 @@ def ts_rank(text: Column, terms: list[str]) -> Column:
     miss = F.lit(1.0)
     for i in range(len(at)):
         for j in range(i + 1, len(at)):
-            pairs = F.flatten(F.transform(at[i], lambda x, j=j: F.transform(at[j], lambda y: weight(x, y))))
-            miss = miss * F.aggregate(pairs, F.lit(1.0), lambda acc, w: acc * (1 - w))
+            miss = miss * F.aggregate(pairs(at[i], at[j]), F.lit(1.0), lambda acc, w: acc * (1 - w))
     return 1 - miss
