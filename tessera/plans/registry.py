@@ -201,7 +201,7 @@ def text_functions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.substring(t, 1, 200)).alias("slug"), text.digits_only(t).alias("digits"), first.alias("first_integer"), text.ellipsis(t).alias("short"), text.content_hash(F.col("lang"), t).alias("hash"))
 
 
-@query("SELECT p_partkey, round(p_retailprice, 2) AS price, round(p_size * 4.95, 2) AS credits FROM part")
+@query("SELECT p_partkey, round(p_retailprice, 2) AS price, round(p_size::DOUBLE * 4.95::DOUBLE, 2) AS credits FROM part")
 def money_and_credits(spark, sf_dir):
     shown = F.concat(F.lit("R$ "), F.translate(F.format_number("p_retailprice", 2), ",.", ".,"))
     return table(spark, sf_dir, "part").select("p_partkey", text.money(shown).alias("price"), text.credits_price(F.col("p_size")).alias("credits"))
@@ -322,7 +322,7 @@ def doc_counts_top8(spark, sf_dir):
     return held.agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("quality"), 6).alias("quality")).orderBy(F.desc("docs"), "source").limit(8)
 
 
-@query("SELECT n_name, x, y, n_nationkey + x * 0.1 AS lat, n_regionkey + y * 0.1 AS lng FROM nation, (SELECT unnest([-1, 0, 1]) AS x), (SELECT unnest([-1, 0, 1]) AS y) WHERE n_nationkey % 4 = 0 OR (x = 0 AND y = 0)")
+@query("SELECT n_name, x, y, n_nationkey + x * 0.1::DOUBLE AS lat, n_regionkey + y * 0.1::DOUBLE AS lng FROM nation, (SELECT unnest([-1, 0, 1]) AS x), (SELECT unnest([-1, 0, 1]) AS y) WHERE n_nationkey % 4 = 0 OR (x = 0 AND y = 0)")
 def grid_expand(spark, sf_dir):
     steps = F.when(F.col("n_nationkey") % 4 == 0, F.sequence(F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(0)))
     cells = table(spark, sf_dir, "nation").withColumn("x", F.explode(steps)).withColumn("y", F.explode(steps))
