@@ -141,9 +141,10 @@ def _survivors(base: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, node, n, pos, l): the shingles in each set's adaptive prefix, without those of one set only.
+    """(h, node, n, alone, pos, l): the shingles in each set's adaptive prefix, without those of one set only.
 
-    Positions count from the rarest shingle; those of one set only come first and match nothing.
+    Positions count from the rarest shingle; the ``alone`` shingles of one set only come first and
+    match nothing. A set with too many of them can link with nothing and has no posting.
     """
     each = sets.select("node", F.explode("shingles").alias("h"))
     known = each.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
@@ -153,6 +154,8 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     floor = F.when((floor - 1) * 100 >= F.col("n") * percent, floor - 1).otherwise(floor).cast("int")
     ranked = ranked.withColumn("alone", (F.col("n") - F.size("found")).cast("int")).withColumn("p", (F.col("n") - floor + 1).cast("int")).withColumn("floor", floor)
 
+    ranked = ranked.where("alone < p")
+
     def probes(ell: Column) -> Column:
         held = F.slice("found", F.lit(1), F.greatest(F.col("p") + ell - 1 - F.col("alone"), F.lit(0)))
         return F.aggregate(held, F.lit(0.0), lambda acc, x: acc + x["df"] - 1)
@@ -160,15 +163,20 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     choices = F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_MATCHES), F.col("floor"))), lambda ell: F.struct((probes(ell) * (1 + VERIFY_COST * F.col("n") / ell)).alias("cost"), ell.alias("l")))
     chosen = ranked.withColumn("l", F.array_min(choices)["l"])
     held = F.slice("found", F.lit(1), F.greatest(F.col("p") + F.col("l") - 1 - F.col("alone"), F.lit(0)))
-    return chosen.select("node", "n", "alone", "l", F.posexplode(held).alias("at", "x")).select(F.col("x.h").alias("h"), "node", "n", (F.col("alone") + F.col("at")).alias("pos"), "l")
+    return chosen.select("node", "n", "alone", "l", F.posexplode(held).alias("at", "x")).select(F.col("x.h").alias("h"), "node", "n", "alone", (F.col("alone") + F.col("at")).alias("pos"), "l")
 
 
 def _near_enough(percent: int) -> Column:
-    """Whether a shared shingle counts for the pair of postings (node, n, pos, l) and (node2, n2, pos2, l2)."""
-    least = F.ceil(percent * (F.col("n") + F.col("n2")) / F.lit(100 + percent)) - 1  # at most the overlap that the pair needs
+    """Whether a shared shingle counts for the pair of postings (node, n, alone, pos, l) and (node2, n2, …).
+
+    With o the overlap that the pair needs, either set has room for n - o shingles that don't match.
+    """
+    least = F.expr(f"(({percent} * (n + n2) + {99 + percent}) div {100 + percent})")
+    room, room2 = F.col("n") - least, F.col("n2") - least
     ell = F.least("l", "l2")
     small, large = F.least("n", "n2"), F.greatest("n", "n2")
-    return (100 * small >= percent * large) & (F.col("pos") <= F.col("n") - least + ell - 1) & (F.col("pos2") <= F.col("n2") - least + ell - 1)
+    fits = (F.col("alone") <= room) & (F.col("alone2") <= room2) & (100 * small >= percent * large)
+    return fits & (F.col("pos") < room + ell) & (F.col("pos2") < room2 + ell)
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -188,7 +196,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different sets that give the same components as all links."""
     postings = cut(_postings(sets, percent))
-    other = ["node", "n", "pos", "l"]
+    other = ["node", "n", "alone", "pos", "l"]
     pivots = postings.groupBy("h").agg(F.min(F.struct(*other)).alias("q"), F.count(F.lit(1)).alias("c")).where("c > 1")
     starred = postings.join(pivots, "h").select(*other, *[F.col(f"q.{c}").alias(f"{c}2") for c in other]).where((F.col("node") != F.col("node2")) & _near_enough(percent))
     first = cut(_verified(_candidates(starred), sets, percent))
