@@ -6,7 +6,7 @@ passages without punctuation align wherever they stand. From every sentence on,
 run of at least ``LEAST_SENTENCES`` sentences and ``LEAST_WORDS`` words is hashed; so is the
 shortest such run that ends the text, and a text too short for one as a whole. Runs are joined
 over all documents; every sentence in a run that is repeated elsewhere goes, except in the
-run's first place by (doc_id, sentence). Case and the kind of white space don't matter.
+run's first place by (doc_id, sentence). Case and white space inside a sentence don't matter.
 
 Null and empty texts stay as they are. Rows with a null id are neither searched nor changed;
 rows that share an id count as one document. Repeats inside a document count as well. An

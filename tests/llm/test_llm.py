@@ -1,0 +1,266 @@
+"""Operators of the llm subpackage on small fixtures: brute force, exact round trips and edge cases."""
+
+import base64
+import hashlib
+import io
+import random
+import zipfile
+import zlib
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tessera.llm import common, components, decontamination, html_text, jaccard_join, media, mixing, quality, secrets, span_dedup, token_count, toxicity
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, node string, h string"
+WORDS = [f"w{i}" for i in range(3000)]
+
+
+def prose(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def frame(spark, rows):
+    """Documents with extra columns whose names clash with those that operators use inside."""
+    return spark.createDataFrame([(i, t, None, s, None, "x", "y") for i, t, s in rows], DOC)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(4)
+    base = [prose(r, r.randint(5, 120)) for _ in range(30)]
+    out = list(base)
+    for t in base[:14]:
+        for _ in range(r.randint(1, 5)):
+            w = t.split()
+            for _ in range(r.randint(0, max(1, len(w) // 18))):
+                w[r.randrange(len(w))] = r.choice(WORDS)
+            out.append(" ".join(w))
+    return [*out, *base[:3], "", None, "one", "ONE", "two words", " \t\n", prose(r, 20_000)]
+
+
+def sets_of(text, k):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80), (1, 50)])
+def test_jaccard_join(spark, texts, size, percent):
+    held = [sets_of(t, size) for t in texts]
+    low = list(range(len(texts)))
+
+    def root(a):
+        while low[a] != a:
+            a = low[a]
+        return a
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(held[a] & held[b])
+            if held[a] and held[b] and 100 * both >= percent * (len(held[a]) + len(held[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                low[y] = x
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(None, texts[0], "s")]).repartition(5)
+    got = jaccard_join.near_duplicates(docs, size, percent).collect()
+    assert len(got) == len(texts) + 1
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == {i: (len(held[i]), root(i)) for i in range(len(texts))}
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+
+
+def test_components(spark):
+    chain = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("900", "901"), ("901", "900"), ("950", "950"), (None, "1")]
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(chain, "a string, b string")).collect()}
+    assert got == {f"{i:03}": "000" for i in range(41)} | {"900": "900", "901": "900"}
+
+
+def test_span_dedup(spark):
+    r = random.Random(1)
+    passage = ". ".join(prose(r, 14).capitalize() for _ in range(5)) + "."
+    flat = prose(r, 90)
+    rows = [(3, f"{prose(r, 30)}.\n{passage} {prose(r, 25)}.", "a"), (1, f"{prose(r, 40)}. {passage.lower()}\n{prose(r, 5)}", "a"), (2, f"Before. {prose(r, 30)}. {flat} {prose(r, 30)}", "b"), (4, f"{prose(r, 60)} {flat}", "b"), (5, "clean text. " + prose(r, 80), "b"), (6, None, None), (7, "", None), (8, "same short text", None), (9, "Same  short text", None), (None, passage, None)]
+    got = {x["doc_id"]: x for x in span_dedup.dedup_spans(frame(spark, rows)).collect()}
+    assert got[1]["n_removed"] == 0 and got[5]["n_removed"] == 0 and got[5]["text"] == rows[4][1]
+    assert got[3]["n_removed"] >= 5 and passage not in got[3]["text"] and got[3]["source"] == "a"
+    assert got[2]["n_removed"] == 0 and len(set(flat.split()) & set(got[4]["text"].split())) < 40
+    assert got[6]["text"] is None and got[7]["text"] == "" and got[9]["text"] == "" and got[8]["n_removed"] == 0
+    assert got[None]["text"] == passage
+
+
+def test_mixing(spark):
+    r = random.Random(2)
+    rows = [(i, prose(r, r.randint(0, 90)), r.choice(["a", "b", "c", None])) for i in range(400)] + [(None, None, "a"), (7, "again", "b")]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(frame(spark, rows[::-1]).repartition(7)).collect()), key=str)
+    by = {}
+    for x in got:
+        assert x["taken"] <= 2 * x["size"]
+        by.setdefault((x["source_size"], x["target"]), []).append(x["taken"])
+    assert len(by) == 4 and sum(t for _, t in by) == pytest.approx(1.5 * sum(s for s, _ in by))
+    assert all(abs(sum(taken) - target) <= 90 and target <= 2 * size for (size, target), taken in by.items())
+
+
+def test_mixing_targets(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
+    got = {x["source"]: x["target"] for x in mixing.targets(sizes).collect()}
+    assert got["a"] == 20 and got[None] == 0 and got["b"] + got["c"] == pytest.approx(3015 - 20) and max(got.values()) <= 2000
+
+
+def test_isotonic():
+    x, y = common.isotonic([1, 2, 3, 4], [0, 5, 1, 9], [10, 10, 10, 10])
+    assert x == [1, 2, 3, 4] and y == sorted(y) and y[1] == y[2] and 0 < y[0] and y[-1] < 1
+    assert common.isotonic([], [], []) == ([0.0], [0.5])
+
+
+def labelled(spark, kind):
+    r = random.Random(3)
+    bad = ["zorgle", "blaptic", "quimfer"]
+    rows, labels = [], []
+    for i in range(900):
+        t, y = prose(r, r.randint(20, 60)), int(i % 4 == 0)
+        if kind == "toxic" and y:
+            w = t.split()
+            for _ in range(4):
+                w.insert(r.randrange(len(w)), r.choice(bad))
+            t = " ".join(w)
+        if kind == "quality" and y:
+            t = " ".join([r.choice(WORDS)] * 40)
+        rows.append((i, t, "s"))
+        labels.append((i, 1 - y if kind == "quality" else y))
+    return frame(spark, rows + [(None, None, None), (900, "", None), (0, rows[0][1], "s")]), spark.createDataFrame(labels, f"doc_id long, {kind} int"), dict(labels)
+
+
+@pytest.mark.parametrize("kind,module,least", [("toxic", toxicity, 0.9), ("quality", quality, 0.97)])
+def test_classifiers(spark, kind, module, least):
+    docs, labels, truth = labelled(spark, kind)
+    got = module.score(docs, module.train(docs, labels)).collect()
+    assert len(got) == 903 and all(0 <= x["score"] <= 1 for x in got)
+    held = [x for x in got if x["doc_id"] in truth and zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0]
+    assert sum((x["score"] >= 0.5) == truth[x["doc_id"]] for x in held) / len(held) >= least
+    scores = {}
+    for x in got:
+        assert scores.setdefault(x["text"], x["score"]) == x["score"]
+
+
+def test_classifiers_without_labels(spark):
+    docs = frame(spark, [(1, "a b", "s")])
+    for module, kind in ((toxicity, "toxic"), (quality, "quality")):
+        none = spark.createDataFrame([], f"doc_id long, {kind} int")
+        assert [x["score"] for x in module.score(docs, module.train(docs, none)).collect()] == [0.5]
+
+
+def test_html():
+    page = "<html><head><title>t</title><script>x('</p>')</script></head><body><nav class=menu><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul></nav><div class='cookie notice'>We use cookies</div><article><h1>A &amp; B</h1><p>" + "First part, of a text.&nbsp; " * 4 + "<p>Second <b>bo</b>ld&#33;<br>line " + "and more words. " * 9 + "</p></article><div id=comments><div class=comment><p>nice post</p></div></div><footer>&copy; me</footer>"
+    (got,) = html_text.extract([page], html_text.trained())
+    assert got.startswith("A & B First part, of a text. First") and "Second bold! line and more" in got
+    assert not any(x in got for x in ("Home", "cookies", "nice", "©", "  "))
+    assert html_text.extract([None, "", "<", "<p", "<b></b>"], html_text.trained()) == [""] * 2 + [html_text.extract(["<"], html_text.trained())[0], "", ""]
+
+
+def test_html_held_out():
+    import re
+
+    forest, right, total = html_text.trained(), 0, 0
+    for source, main in html_text.sample_pages(60, seed=77):
+        page = html_text.parse(source)
+        kept = html_text.decode(page, forest.odds(html_text.features(page)))
+        for i, *_ in page.runs:
+            m = re.search(r'data-k="(\d+)"', page.attributes[i])
+            right += kept[i] == bool(m and m[1] in main or i == 0 and "#page" in main)
+            total += 1
+    assert right / total > 0.95
+
+
+def test_token_counts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(6)
+    some = ["", "a" * 5000, " " * 90 + "x", "<|endoftext|>hi<|endoftext|>", "aaaa aaa\n\n b", "I'LL don't ½ 二〇"] + ["".join(chr(r.choice([r.randrange(128), r.randrange(0x3000), r.randrange(0xE000, 0x1FFFF)])) for _ in range(30)) for _ in range(500)]
+    want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
+    assert token_count.PairMerger(path).count(some) == want
+
+
+def test_token_counts_of_rows(spark):
+    got = token_count.count_tokens(frame(spark, [(1, None, None), (1, "é", None), (None, "word " * 600, None)]), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted((x["n_bytes"], x["over_limit"]) for x in got) == [(0, False), (2, False), (3000, True)]
+
+
+def brute_leaks(docs, items):
+    out = set()
+    for i, t in docs:
+        for k, u in items:
+            a, b = sets_of(t, 5), sets_of(u, 5)
+            if b and 100 * len(a & b) >= 80 * len(b):
+                out.add((i, k, len(b), len(a & b)))
+    return out
+
+
+def test_decontamination(spark):
+    r = random.Random(8)
+    items = [(k, prose(r, r.choice([2, 6, 20, 70]))) for k in range(20)] + [(20, ""), (21, None)]
+    docs = [(100, prose(r, 15_000) + " " + items[5][1].upper() + " x"), (101, items[0][1]), (102, None), (103, "")]
+    for k, t in items[:20]:
+        w = t.split()
+        if len(w) > 30:
+            w[40] = "other"
+        docs.append((k, prose(r, r.randint(0, 50)) + "\n" + " ".join(w) + " " + prose(r, 30)))
+    table = spark.createDataFrame([(k, t, "z") for k, t in items], "item_id long, text string, doc_id string")
+    got = {tuple(x)[:4] for x in decontamination.leaks(frame(spark, [(i, t, "s") for i, t in docs]), table).collect()}
+    assert got == brute_leaks(docs, items) and len(got) > 12
+    assert decontamination.leaks(frame(spark, []), table).count() == 0 and decontamination.leaks(frame(spark, [(1, "a", "b")]), table.limit(0)).count() == 0
+
+
+def test_media_round_trip():
+    for t in (None, "", "é" * 40, "RIFF....WAVEfmt BM GIF89a " * 9):
+        n, payload = media.payload_of(t)
+        stored = media.to_wave(payload)
+        assert len(payload) % 64 == 0 < len(payload) and payload[:n] == (t or "").encode() and media.wave_samples(stored) == payload
+        assert media.sniff(stored)[1] == [("audio/wav", 0, len(stored))]
+    png = base64.b64decode("iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJAAAADUlEQVR42mNk+M9QDwADhgGAWjR9awAAAABJRU5ErkJggg==")
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a", "b")
+    data = media.to_wave(b"ab" * 8 + png + box.getvalue())
+    found = media.sniff(data)[1]
+    assert [k for k, *_ in found] == ["audio/wav", "image/png", "application/zip"]
+    assert media.carve(data, found[1]) == png and media.carve(data, found[2]) == box.getvalue()
+    assert media.corrected_type("image/gif", media.sniff(png)[1]) == "image/png" and media.corrected_type("x", []) == "x"
+
+
+def test_secrets(spark):
+    r = random.Random(5)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    rows = [(1, f"é x PassWord = 'abcd1234' then {key} end", None), (2, "token: short AKIA" + "B" * 12 + " " + "0af" * 11, None), (3, None, None), (4, "", None), (5, "the_ordinary_identifier_of_something_long", None), (None, "password: token = abcdefgh", None)]
+    words = [(100 + i, "the ordinary identifier of something long and other plain words in a sentence", None) for i in range(20)]
+    docs = frame(spark, rows + words)
+    found = secrets.scan(docs, secrets.train(docs))
+    got = {x["doc_id"]: (x["s"], x["text"]) for x in found.select("doc_id", secrets.listed(F.col("spans")).alias("s"), "text").collect()}
+    at = rows[0][1].index(key)
+    assert got[1][0] == f"assign:4:24,markov:{at}:{at + 40}"
+    assert got[2][0] == "access:13:29,hex:30:63" and got[3][0] == got[4][0] == got[5][0] == got[None][0] == ""
+    clean = {x["doc_id"]: x["text"] for x in secrets.redact(found).collect()}
+    assert clean[1] == "é x [SECRET]' then [SECRET] end" and clean[3] is None and clean[5] == rows[4][1]
+    assert hashlib.sha256(b"").hexdigest() == found.where("doc_id = 4").select(F.sha2(secrets.listed(F.col("base")), 256).alias("d")).first()["d"]
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [])
+    assert jaccard_join.near_duplicates(none).count() == 0 and span_dedup.dedup_spans(none).count() == 0 and mixing.mix(none).count() == 0
+    assert secrets.scan(none, secrets.train(none)).count() == 0
+
+
+def test_pipeline(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, kept = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept.count(), common.cut(stage(spark, kept, sf))
+        assert kept.columns == columns and 0.5 * before < kept.count() <= before, name
+    found = {x["doc_id"] for x in corpus_pipeline.run(spark, sf).collect()}
+    assert found == {x["doc_id"] for x in kept.select("doc_id").collect()}
+    rest = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    bench = [tuple(x) for x in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    assert not brute_leaks(rest, bench)
+    sets = [sets_of(t, 5) for _, t in rest]
+    assert not any(10 * len(a & b) >= 8 * len(a | b) for k, a in enumerate(sets) for b in sets[:k] if a and b)
