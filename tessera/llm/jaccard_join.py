@@ -40,6 +40,8 @@ from tessera.llm.shingles import shingle_sets
 EXTRA = 8
 #: Choices of l, and the cost of comparing one shingle of a candidate in probes.
 MOST_MATCHES = 8
+#: Words of 64 bits of a parity sketch.
+SKETCH = 8
 VERIFY_COST = 0.05
 
 
@@ -117,16 +119,22 @@ def _chosen(ids: Broadcast):
     return run
 
 
+def parity_sketch(s: np.ndarray) -> list[int]:
+    """SKETCH words whose bits tell whether an odd number of the set's shingles fall on them."""
+    odd = np.bincount(((s >> np.uint64(20)) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _sets(size: int):
-    """Rows (node, n, text) as (n, node, shingles), without those whose text has another set than the node's."""
+    """Rows (node, text) as (node, n, shingles, sketch), without those whose text has another set than the node's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0).to_pylist()
             held = [(node, s) for node, s in zip(nodes, shingle_sets(batch.column(1), size)) if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == node]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node for node, _ in held], pa.binary()), pa.array([len(s) for _, s in held], pa.int64()), pa.array([s.view(np.int64) for _, s in held], pa.list_(pa.int64()))],
-                ["node", "n", "shingles"],
+                [pa.array([node for node, _ in held], pa.binary()), pa.array([len(s) for _, s in held], pa.int64()), pa.array([s.view(np.int64) for _, s in held], pa.list_(pa.int64())), pa.array([parity_sketch(s) for _, s in held], pa.list_(pa.int64()))],
+                ["node", "n", "shingles", "sketch"],
             )
 
     return run
@@ -207,10 +215,15 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         labelled.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h")
         .agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("h", "top")
     )
-    open_lists = cut(labelled.join(mixed, "h"))
+    bits = [f"bits{i}" for i in range(SKETCH)]
+    sketches = sets.select("node", *[F.col("sketch")[i].alias(b) for i, b in enumerate(bits)])
+    open_lists = cut(labelled.join(mixed, "h").join(sketches, "node"))
     outside = open_lists.where("label <> top")
-    inside = open_lists.select("h", *[F.col(c).alias(f"{c}2") for c in [*other, "label"]])
-    crossed = outside.join(inside, "h").where((F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("top")) | (F.col("node") < F.col("node2"))) & _near_enough(percent))
+    inside = open_lists.select("h", *[F.col(c).alias(f"{c}2") for c in [*other, "label", *bits]])
+    differing = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
+    most = F.col("n") + F.col("n2") - 2 * F.expr(f"(({percent} * (n + n2) + {99 + percent}) div {100 + percent})")
+    apart = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("top")) | (F.col("node") < F.col("node2")))
+    crossed = outside.join(inside, "h").where(apart & _near_enough(percent) & (differing <= most))
     return first.unionByName(_verified(_candidates(crossed), sets, percent))
 
 
@@ -228,10 +241,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     kept = cut(classes.join(_survivors(base, shared), "key").select("node", "low").withColumn("hashed", F.xxhash64("low")))
 
     chosen = texts.select("doc_id", F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_chosen(sc.broadcast(bitmap(kept, "hashed"))), "doc_id long, text string")
-    sets = chosen.join(kept, F.col("doc_id") == F.col("low")).select("node", "text").mapInArrow(_sets(size), "node binary, n long, shingles array<long>")
+    sets = chosen.join(kept, F.col("doc_id") == F.col("low")).select("node", "text").mapInArrow(_sets(size), "node binary, n long, shingles array<long>, sketch array<long>")
     # Short ids stand for digests while shingles are shuffled; the checkpoint fixes them.
     named = cut(sets.withColumn("digest", F.col("node")).withColumn("node", F.monotonically_increasing_id()))
-    labels = components(_links(named.select("node", "n", "shingles"), percent))
+    labels = components(_links(named.select("node", "n", "shingles", "sketch"), percent))
     ids = named.select("node", "digest").join(kept.select(F.col("node").alias("digest"), "low"), "digest")
     labelled = labels.join(ids, "node")
     smallest = labelled.groupBy("label").agg(F.min("low").alias("component"))
