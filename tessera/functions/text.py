@@ -97,16 +97,16 @@ def short_id(prefix: str, digest: Column) -> Column:
 
 
 def escape_xml(x: Column) -> Column:
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         x = F.replace(x, F.lit(char), F.lit(name))
     return x
 
 
 def strip_markdown(x: Column) -> Column:
-    """Headings, emphasis, code marks, links and list marks removed."""
-    for pattern, into in ((r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"`([^`]*)`", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^\s*[-*]\s+", ""), (r"\n{3,}", "\n\n")):
+    """Links as their labels; emphasis, headings, list marks and quotes removed."""
+    for pattern, into in ((r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^[*-]\s+", ""), (r"[\"'`“”‘’]", ""), (r"\n{3,}", "\n\n")):
         x = F.regexp_replace(x, pattern, into)
-    return F.trim(x)
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
 def clean_pdf_text(x: Column) -> Column:

@@ -25,9 +25,10 @@ def board(stages: DataFrame, items: DataFrame) -> DataFrame:
     return stages.join(sums, "stage", "left").select("stage", F.coalesce("cards", F.lit(0)).alias("cards"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def newest_first(rows: DataFrame, column: str, key: str, n: int) -> DataFrame:
-    """By a column descending with nulls first, as PostgreSQL lists; ties by key; a list has a length."""
-    return rows.orderBy(F.col(column).desc_nulls_first(), key).limit(n)
+def newest_first(rows: DataFrame, column: str, key: str, n: int | None = None) -> DataFrame:
+    """By a column descending with nulls first, as PostgreSQL lists; ties by key; all rows, or the first n."""
+    listed = rows.orderBy(F.col(column).desc_nulls_first(), key)
+    return listed if n is None else listed.limit(n)
 
 
 def last_message(messages: DataFrame, role: str) -> DataFrame:

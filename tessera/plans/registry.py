@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import query_filters, text
 from tessera.operators import crm, evaluation, retrieval, store
+from tessera.plans import catalog  # noqa: F401  (its queries register themselves)
 from tessera.plans.adapt import CHUNKS_SQL, GYMS_SQL, LEADS_SQL, chunks, gyms, leads, query_vector
+from tessera.plans.registered import oracle_sql, queries, query  # noqa: F401
 from tessera.session import table
 from tessera.streaming import inbound
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
-
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
 
 def _shown(hits: DataFrame) -> DataFrame:
     return hits.select("chunk_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
@@ -163,7 +139,7 @@ def detect_marker(spark, sf_dir):
 _CITY_ROWS = ", ".join(f"({i}, '{a}', '{label}', {str(a in query_filters.SHORT).lower()})" for i, (a, label) in enumerate(query_filters.CITIES))
 _PLAN_CASES = " ".join("WHEN contains(q, '" + a + "')" + "".join(f" AND NOT contains(q, '{b}')" for b, _ in query_filters.PLANS if b != a and b.startswith(a) and not a.endswith("+")) + f" THEN {r}" for a, r in query_filters.PLANS)
 _ACTIVITY_CASES = " ".join("WHEN regexp_matches(query, '(?i)" + p.replace("<", r"(?:^|[^A-Za-z0-9_])").replace(">", r"(?:$|[^A-Za-z0-9_])") + f"') THEN '{label}'" for p, label in query_filters.ACTIVITIES)
-_QUESTION = "substr(text, 1, 60) || ' ' || (['em São Paulo', 'Pilates em Niterói', 'no rj musculação', 'TP 5+ Santos ou São Vicente', 'yoga tp3 bh', 'capital', 'interior de sp crossfit'])[(item_id % 7 + 1)::INT]"
+_QUESTION = "text || ' ' || (['em São Paulo', 'Pilates em Niterói', 'no rj musculação', 'TP 5+ Santos ou São Vicente', 'yoga tp3 bh', 'capital', 'interior de sp crossfit'])[(item_id % 7 + 1)::INT]"
 
 
 @query(f"""WITH b AS (SELECT item_id, {_QUESTION} AS query FROM benchmark),
@@ -180,7 +156,7 @@ r AS (SELECT item_id, coalesce(label, CASE WHEN regexp_matches(q, '(^|[^a-z0-9_]
 SELECT *, ([0.1, 0.6, 0.75, 0.9]::DOUBLE[])[(municipio IS NOT NULL)::INT + (modalidade IS NOT NULL)::INT + (plano_rank IS NOT NULL)::INT + 1] AS confidence FROM r""")
 def query_filter_extraction(spark, sf_dir):
     ends = F.array(*[F.lit(x) for x in ("em São Paulo", "Pilates em Niterói", "no rj musculação", "TP 5+ Santos ou São Vicente", "yoga tp3 bh", "capital", "interior de sp crossfit")])
-    asked = F.concat(F.substring("text", 1, 60), F.lit(" "), F.element_at(ends, (F.col("item_id") % 7 + 1).cast("int")))
+    asked = F.concat("text", F.lit(" "), F.element_at(ends, (F.col("item_id") % 7 + 1).cast("int")))
     return table(spark, sf_dir, "benchmark").select("item_id", query_filters.extract_filters(asked).alias("f")).select("item_id", "f.*")
 
 
@@ -192,13 +168,13 @@ def name_modality_rules(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", retrieval.effective_activity(name, stated).alias("e")).select("p_partkey", "e.*")
 
 
-@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(trim(translate(lower(substr(text, 1, 200)), '{text.ACCENTED}', '{text.PLAIN}')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(trim(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
 regexp_replace(text, '[^0-9]', '', 'g') AS digits, nullif(regexp_extract(text, '([0-9]{{1,6}})', 1), '')::INT AS first_integer,
 CASE WHEN length(text) > 280 THEN trim(substr(text, 1, 277)) || '…' ELSE text END AS short, sha256(concat_ws('|', lang, text)) AS hash FROM documents""")
 def text_functions(spark, sf_dir):
     t = F.col("text")
     first = F.nullif(F.regexp_extract(t, "([0-9]{1,6})", 1), F.lit("")).cast("int")
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.substring(t, 1, 200)).alias("slug"), text.digits_only(t).alias("digits"), first.alias("first_integer"), text.ellipsis(t).alias("short"), text.content_hash(F.col("lang"), t).alias("hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(t).alias("slug"), text.digits_only(t).alias("digits"), first.alias("first_integer"), text.ellipsis(t).alias("short"), text.content_hash(F.col("lang"), t).alias("hash"))
 
 
 @query("SELECT p_partkey, round(p_retailprice, 2) AS price, round(p_size::DOUBLE * 4.95::DOUBLE, 2) AS credits FROM part")
@@ -229,9 +205,9 @@ def lead_search(spark, sf_dir):
     return crm.search(leads(spark, sf_dir), " 12 ", ["name", "segment"], "hot").select("lead_id", "name")
 
 
-@query(f"WITH {LEADS_SQL} SELECT lead_id, updated FROM leads ORDER BY updated DESC NULLS FIRST, lead_id LIMIT 400")
+@query(f"WITH {LEADS_SQL} SELECT lead_id, updated FROM leads ORDER BY updated DESC NULLS FIRST, lead_id")
 def list_nulls_first(spark, sf_dir):
-    return crm.newest_first(leads(spark, sf_dir), "updated", "lead_id", 400).select("lead_id", "updated")
+    return crm.newest_first(leads(spark, sf_dir), "updated", "lead_id").select("lead_id", "updated")
 
 
 STAGES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NEVER USED"]
