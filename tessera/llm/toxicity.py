@@ -7,8 +7,9 @@ dictionary, and the most bytes that the toxic dictionary saves in a window is th
 margin. Margins become scores by an isotonic fit.
 
 Training is bounded: ``max_toxic`` and ``max_ordinary`` labelled rows, in the order of a hash
-of their ids. A word counts once for each different word that it follows, so copies of a
-text don't make their rare words look typical.
+of their ids. A word counts as often as there are texts that have it or, if they are fewer,
+different words that it follows: neither near copies nor the repetitions of one long text
+make a rare word look typical of a class.
 
 Nulls and empty texts score as a text without any toxic window; a null id is never held out
 and its labels aren't learned from. Equal texts get equal scores, repeated rows stay repeated,
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import held_out, isotonic, table
 
 WINDOW = 6
-LEVEL = 3
+#: From level 5 on, dictionaries are indexed at every position; below that, short words in them go unseen.
+LEVEL = 9
 NOT_LETTERS = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -83,15 +86,18 @@ def _margins(model: ToxicityModel):
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each different (word, word before it) of a batch, by label."""
+    """By label, each different (word, word before it) of a batch with n 0, and each word with no word before and n texts."""
     for pdf in batches:
-        found = set()
+        found, texts = set(), Counter()
         for y, text in zip(pdf["toxic"], pdf["text"]):
             w = words(text)
             found.update(zip([int(y)] * len(w), w, [b"", *w]))
+            texts.update((int(y), x) for x in set(w))
         if found:
             y, w, p = zip(*found)
-            yield pd.DataFrame({"toxic": y, "word": w, "before": p})
+            yield pd.DataFrame({"toxic": y, "word": w, "before": p, "n": 0})
+            y, w = zip(*texts)
+            yield pd.DataFrame({"toxic": y, "word": w, "before": None, "n": list(texts.values())})
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_ordinary: int) -> tuple[DataFrame, dict[int, float]]:
@@ -114,10 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_ordinar
         n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not n.get(1) or not n.get(0):
             return ToxicityModel()
-        counts = (
-            rows.mapInPandas(_contexts, "toxic int, word binary, before binary").distinct()
-            .groupBy("word").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y"))
-        ).persist()
+        apart = rows.mapInPandas(_contexts, "toxic int, word binary, before binary, n int").groupBy("toxic", "word", "before").agg(F.sum("n").alias("n"))
+        x, y = ([F.count_if((F.col("toxic") == k) & F.col("before").isNotNull()), F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0))] for k in (1, 0))
+        counts = apart.groupBy("word").agg(F.least(*x).alias("x"), F.least(*y).alias("y")).persist()
         nx, ny = n[1], n[0]
         share = F.col("x") / nx
         contrast = counts.where((F.col("x") >= max(4, math.ceil(nx * 0.004))) & (share > 20 * (F.col("y") + 0.5) / ny))
