@@ -1,12 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?`` before white space;
-sentences of more than ``LONG`` words are cut further after words that a hash picks, so that
-passages without punctuation align wherever they stand. From every sentence on, the shortest
-run of at least ``LEAST_SENTENCES`` sentences and ``LEAST_WORDS`` words is hashed; so is the
-shortest such run that ends the text, and a text too short for one as a whole. Runs are joined
-over all documents; every sentence in a run that is repeated elsewhere goes, except in the
-run's first place by (doc_id, sentence). Case and white space inside a sentence don't matter.
+A text's words are cut into sentences after each word that ends in ``.``, ``!`` or ``?`` and,
+where ``WINDOW`` words in a row have no such end, after the one of them with the least hash:
+sentences have at most ``WINDOW`` words, and where they end hangs on the words around alone.
+A second cut does the same line by line, so that short lines align in whatever text they stand.
+From every sentence of either cut on, the shortest run of at least ``LEAST_SENTENCES`` sentences
+and ``LEAST_WORDS`` words is hashed; so is the shortest such run that ends the text, and a text
+too short for one as a whole. Runs are joined over all documents; every word in a run that is
+repeated elsewhere goes, except in the run's first place by (doc_id, word). Case and white space
+don't matter.
+
+Two passages with the same words share all ends but those in their first and last ``WINDOW``
+words, and a run has at most ``LEAST_WORDS`` + ``WINDOW`` - 1 words. So any 50 shared words hold
+a whole run, wherever they stand; of a longer passage, words at its edges may stay.
 
 Null and empty texts stay as they are. Rows with a null id are neither searched nor changed;
 rows that share an id count as one document. Repeats inside a document count as well. An
@@ -16,8 +22,8 @@ empty table gives an empty result; other columns of docs are kept.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,91 +36,111 @@ from tessera.llm.common import cut, table
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 15
-LONG = 25
-PICK = 8
-BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+WINDOW = 12
 TOKEN = re.compile(r"\S+")
-MASK = (1 << 64) - 1
-
-
-def sentences(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, hash) of each sentence; ends include the white space after it, hashes are of lower-case words."""
-    cuts = [0, *(m.end() for m in BREAK.finditer(text)), len(text)]
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        words = text[a:b].lower().split()
-        if len(words) <= LONG:
-            if words:
-                out.append((a, b, len(words), xxhash.xxh3_64_intdigest(" ".join(words))))
-            continue
-        start, held = a, []
-        for m in TOKEN.finditer(text, a, b):
-            held.append(m[0].lower())
-            if zlib.crc32(held[-1].encode()) % PICK == 0:
-                out.append((start, m.end(), len(held), xxhash.xxh3_64_intdigest(" ".join(held))))
-                start, held = m.end(), []
-        if held:
-            out.append((start, b, len(held), xxhash.xxh3_64_intdigest(" ".join(held))))
-    return out
-
-
-def runs(units: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """(first sentence, number of sentences, signed hash) of all runs."""
-    size = len(units)
-    out, words, end = [], 0, 0
-    for i in range(size):
-        while end < size and (words < LEAST_WORDS or end - i < LEAST_SENTENCES):
-            words += units[end][2]
-            end += 1
-        if words < LEAST_WORDS or end - i < LEAST_SENTENCES:
-            break
-        out.append((i, end - i))
-        words -= units[i][2]
-    i, words = size, 0
-    while i > 0 and (words < LEAST_WORDS or size - i < LEAST_SENTENCES):
-        i -= 1
-        words += units[i][2]
-    if size and (i, size - i) != (out[-1] if out else None):
-        out.append((i, size - i))
-    hashed = []
-    for i, n in out:
-        h = n
-        for u in units[i : i + n]:
-            h = ((h ^ u[3]) * 0x9E3779B97F4A7C15 + (h >> 32)) & MASK
-        hashed.append((i, n, h - (1 << 64) if h >> 63 else h))
-    return hashed
+BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(4)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of BASE and of its inverse modulo 2^64."""
+    both = []
+    for x in (BASE, pow(BASE, -1, 1 << 64)):
+        held = np.full(size, x, np.uint64)
+        held[0] = 1
+        both.append(np.cumprod(held, dtype=np.uint64))
+    return both[0], both[1]
+
+
+def ends(keys: np.ndarray) -> np.ndarray:
+    """0 and the places after those words whose key is 0 or the least of some WINDOW words in a row, and after the last word."""
+    picked = keys == 0
+    if len(keys) >= WINDOW:
+        low, width = keys, 1
+        while width < WINDOW:
+            step = min(width, WINDOW - width)
+            low, width = np.minimum(low[:-step], low[step:]), width + step
+        high, width = np.concatenate([np.zeros(WINDOW - 1, np.uint64), low, np.zeros(WINDOW - 1, np.uint64)]), 1
+        while width < WINDOW:
+            step = min(width, WINDOW - width)
+            high, width = np.maximum(high[:-step], high[step:]), width + step
+        picked |= keys == high
+    picked[-1] = True
+    return np.concatenate([[0], np.flatnonzero(picked) + 1])
+
+
+def sentences(text: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The hashes of a text's lower-case words, and the ends of its sentences: 0 first, by words alone and, if it differs, by lines too."""
+    words, lines = [], []
+    for line in text.lower().split("\n"):
+        words += line.split()
+        lines.append(len(words))
+    size = len(words)
+    if not size:
+        return np.zeros(0, np.uint64), [np.zeros(1, np.int64)]
+    encoded = [w.encode("utf-8", "replace") for w in words]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, encoded), np.uint64, size)
+    keys = hashes | np.uint64(1)
+    keys[np.fromiter([w[-1] in b".!?" for w in encoded], bool, size)] = 0
+    cuts = [ends(keys)]
+    lines = np.array([x - 1 for x in lines if 0 < x < size], np.int64)
+    if keys[lines].any():
+        keys[lines] = 0
+        cuts.append(ends(keys))
+    return hashes, cuts
+
+
+def runs(hashes: np.ndarray, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first word << 20 | number of words, signed hash) of all runs."""
+    size = len(hashes)
+    if not size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = []
+    for at in cuts:
+        last = np.maximum(np.searchsorted(at, at + LEAST_WORDS), np.arange(len(at)) + LEAST_SENTENCES)
+        starts = at[last < len(at)]
+        found.append(starts << 20 | at[last[last < len(at)]] - starts)
+        tail = min(np.searchsorted(at, size - LEAST_WORDS, "right") - 1, len(at) - 1 - LEAST_SENTENCES)
+        start = at[max(tail, 0)]
+        found.append(np.array([start << 20 | size - start]))
+    places = np.unique(np.concatenate(found))
+    a, n = places >> 20, places & 0xFFFFF
+    up, down = powers(1 << max(10, (size - 1).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:size], dtype=np.uint64)])
+    h = (sums[a + n] - sums[a]) * down[a] + n.astype(np.uint64)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(BASE)
+    return places, (h ^ h >> np.uint64(32)).view(np.int64)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, places, hashes = [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found = runs(sentences(text.as_py() or ""))
-            ids += [doc_id] * len(found)
-            places += [i << 20 | n for i, n, _ in found]
-            hashes += [h for *_, h in found]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(hashes, pa.int64())], ["doc_id", "place", "h"])
+        found = [runs(*sentences(text.as_py() or "")) for text in batch.column(1)]
+        ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x, _ in found])
+        places, hashes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(places), pa.array(hashes)], ["doc_id", "place", "h"])
 
 
 def without(text: str | None, marks) -> tuple[str | None, int, int]:
-    """(text without the sentences of the marked runs, sentences, sentences removed).
+    """(text without the words of the marked runs, sentences of both cuts, sentences removed).
 
     A mark (place, h) whose hash isn't that of the text's run is another row's and is passed over.
     """
     if text is None:
         return None, 0, 0
-    units = sentences(text)
-    gone = np.zeros(len(units), bool)
+    hashes, cuts = sentences(text)
+    bounds = np.unique(np.concatenate(cuts))
+    gone = np.zeros(len(hashes), bool)
     if marks is not None and len(marks):
-        own = {i << 20 | n: h for i, n, h in runs(units)}
+        own = dict(zip(*(x.tolist() for x in runs(hashes, cuts))))
         for mark in marks:
             if own.get(mark["place"]) == mark["h"]:
                 at = mark["place"] >> 20
                 gone[at : at + (mark["place"] & 0xFFFFF)] = True
     if not gone.any():
-        return text, len(units), 0
-    kept = "".join(text[a:b] for (a, b, *_), x in zip(units, gone) if not x)
-    return kept.strip(), len(units), int(gone.sum())
+        return text, len(bounds) - 1, 0
+    starts = [m.start() for m in TOKEN.finditer(text)]
+    kept = "".join(text[a:b] for a, b, x in zip(starts, [*starts[1:], len(text)], gone) if not x)
+    return kept.strip(), len(bounds) - 1, int(gone[bounds[:-1]].sum())
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import io
 import random
 import zipfile
 import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -89,6 +90,36 @@ def test_span_dedup(spark):
     assert got[None]["text"] == passage
 
 
+def test_span_dedup_unaligned(spark):
+    r = random.Random(11)
+    passages = [prose(r, 50 + k % 16) for k in range(60)]
+    lines = [prose(r, 9) + "\n" + prose(r, 8) for _ in range(10)]
+    rows = [(k, f"{prose(r, r.randint(0, 40))} {p} {prose(r, r.randint(0, 40))}", "a") for k, p in enumerate(passages)]
+    for k, p in enumerate(passages):
+        w = p.split()
+        rows.append((100 + k, f"{prose(r, k % 30)} {' '.join(w[:30]).upper()}\n {' '.join(w[30:])} {prose(r, k % 7)}" + ". " * (k % 2) + prose(r, 20), "a"))
+    rows += [(200 + k, f"{prose(r, 20)}\n{p}\n{prose(r, k)}", "a") for k, p in enumerate(lines * 2)]
+    got = {x["doc_id"]: x["text"].lower().split() for x in span_dedup.dedup_spans(frame(spark, rows)).collect()}
+    windows, gone = set(), 0
+    for i, text, _ in rows:
+        kept, w = got[i], text.lower().split()
+        repeated = set()
+        for j in range(len(w) - 49):
+            if tuple(w[j : j + 50]) in windows:
+                repeated.update(range(j, j + 50))
+        windows.update(tuple(w[j : j + 50]) for j in range(len(w) - 49))
+        if i < 100:
+            assert kept == w
+        elif i < 200:
+            assert len(repeated) >= 50 and len(w) - len(repeated) <= len(kept) <= len(w) - span_dedup.LEAST_WORDS
+            assert not any(tuple(kept[j : j + 50]) in windows for j in range(len(kept) - 49))
+            assert not Counter(x for j, x in enumerate(w) if j not in repeated) - Counter(kept)
+            gone += len(w) - len(kept)
+        elif i >= 210:
+            assert " ".join(lines[i - 210].split()) not in " ".join(kept)
+    assert gone > 0.6 * sum(len(p.split()) for p in passages)
+
+
 def test_mixing(spark):
     r = random.Random(2)
     rows = [(i, prose(r, r.randint(0, 90)), r.choice(["a", "b", "c", None])) for i in range(400)] + [(None, None, "a"), (7, "again", "b")]
