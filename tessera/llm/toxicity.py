@@ -13,7 +13,8 @@ make a rare word look typical of a class.
 
 Nulls and empty texts score as a text without any toxic window; a null id is never held out
 and its labels aren't learned from. Equal texts get equal scores, repeated rows stay repeated,
-an empty table gives an empty result, and without labels every text scores 0.5.
+an empty table gives an empty result. Without labels of both classes outside the held-out fold
+every text scores 0.5, which says nothing, and none counts as toxic.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, isotonic, table
@@ -51,6 +52,7 @@ class ToxicityModel:
     toxic: list[bytes] = field(default_factory=list)
     margins: list[float] = field(default_factory=lambda: [0.0])
     scores: list[float] = field(default_factory=lambda: [0.5])
+    trained: bool = False
 
     def meters(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         """Compressors with the ordinary and the toxic dictionary; the best words lie last, where offsets are short."""
@@ -130,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_ordinar
         toxic = [bytes(r["word"]) for r in contrast.orderBy(gain.desc(), "word").limit(toxic_words).collect()]
         ordinary = [bytes(r["word"]) for r in counts.where("y > 0").orderBy(F.desc("y"), "word").limit(ordinary_words).collect()]
         counts.unpersist()
-        model = ToxicityModel(ordinary, toxic)
+        model = ToxicityModel(ordinary, toxic, trained=True)
         fit = rows.select("toxic", _margins(model)("text").alias("margin")).groupBy("margin", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     finally:
         rows.unpersist()
@@ -150,8 +152,13 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return margins.withColumn("score", F.element_at(line, at))
 
 
+def predicted(model: ToxicityModel) -> Column:
+    """1 where a scored text counts as toxic, 0 elsewhere; a model without training calls none toxic."""
+    return (F.col("score") >= 0.5).cast("int") if model.trained else F.lit(0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document: doc_id, held_out, score, predicted, margin."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "margin")
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted(model).alias("predicted"), "margin")

@@ -182,6 +182,19 @@ def test_classifiers_without_labels(spark):
         assert [x["score"] for x in module.score(docs, module.train(docs, none)).collect()] == [0.5]
 
 
+@pytest.mark.parametrize("kind", ["empty", "ordinary", "toxic", "held out", "null"])
+def test_toxicity_stage_without_both_classes(spark, tmp_path, kind):
+    docs = frame(spark, [(i, f"a text of some words {i}", "s") for i in range(60)]).select(*corpus_pipeline.COLUMNS)
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0]
+    labels = {"empty": [], "ordinary": [(i, 0) for i in range(60)], "toxic": [(i, 1) for i in range(60)], "held out": [(i, int(i in held)) for i in range(60)], "null": [(i, None) for i in range(60)]}[kind]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == corpus_pipeline.COLUMNS and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+    got = toxicity.op8_toxicity(spark, str(tmp_path))
+    assert dict(got.dtypes)["predicted"] == "int" and [x["predicted"] for x in got.collect()] == [0] * 60
+
+
 def test_html():
     page = "<html><head><title>t</title><script>x('</p>')</script></head><body><nav class=menu><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul></nav><div class='cookie notice'>We use cookies</div><article><h1>A &amp; B</h1><p>" + "First part, of a text.&nbsp; " * 4 + "<p>Second <b>bo</b>ld&#33;<br>line " + "and more words. " * 9 + "</p></article><div id=comments><div class=comment><p>nice post</p></div></div><footer>&copy; me</footer>"
     (got,) = html_text.extract([page], html_text.trained())
