@@ -176,10 +176,16 @@ def webhook_messages(spark, sf_dir):
     said = F.when(F.col("conv_id") % 3 == 1, F.struct(F.lit(None).cast("string").alias("conversation"), F.struct(F.col("text").alias("caption")).alias("imageMessage")))
     said = said.otherwise(F.struct(F.col("text").alias("conversation"), F.lit(None).cast("struct<caption:string>").alias("imageMessage")))
     key = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit("55"), F.col("conv_id").cast("string"), F.lit("@s.net")).alias("remoteJid"), (F.col("role") != "user").alias("fromMe"))
-    item = F.struct(key.alias("key"), said.alias("message"))
-    one, many = F.to_json(F.struct(item.alias("data"))), F.to_json(F.struct(F.array(item).alias("data")))
-    nested = F.to_json(F.struct(F.struct(F.array(item).alias("messages")).alias("data")))
-    payload = F.when(F.col("conv_id") % 3 == 0, one).when(F.col("conv_id") % 3 == 1, many).otherwise(nested)
+    shape = F.col("conv_id") + F.coalesce(F.col("turn"), F.lit(0))
+    item = lambda message: F.struct(key.alias("key"), message.alias("message"))
+    wrapped = said
+    for name in inbound.WRAPPERS:
+        wrapped = F.struct(F.struct(wrapped.alias("message")).alias(name))
+    flat = F.struct(key["id"].alias("id"), key["remoteJid"].alias("remoteJid"), key["fromMe"].alias("fromMe"), said.alias("message"))
+    listed = lambda x: F.struct(F.array(x).alias("messages"))
+    data = lambda x: F.struct(x.alias("data"))
+    shapes = [data(item(said)), data(F.array(item(wrapped))), data(listed(flat)), item(wrapped), F.array(item(said)), listed(item(said)), flat]
+    payload = F.coalesce(*[F.when(shape % len(shapes) == k, F.to_json(x)) for k, x in enumerate(shapes)], F.to_json(shapes[0]))
     found = inbound.accepted(inbound.unpack(table(spark, sf_dir, "conversations").select(payload.alias("payload"))))
     return found.select("provider_id", text.jid(F.col("jid"))["phone"].alias("phone"), "text", "kind")
 

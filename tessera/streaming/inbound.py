@@ -6,23 +6,66 @@ of a conversation is its last message by event time and the number of unread one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Envelopes of webhook payloads: data may be one object, a list, or hold a list of messages.
-MESSAGE = "struct<key:struct<id:string,remoteJid:string,fromMe:boolean>,pushName:string,message:struct<conversation:string,extendedTextMessage:struct<text:string>,imageMessage:struct<caption:string,url:string>,videoMessage:struct<caption:string,url:string>,audioMessage:struct<url:string>>>"
+#: What an envelope, an item and a message without wrappers are read for; nested JSON stays text.
+ENVELOPE = "event string, type string, data string, key string, message string, messages string"
+ITEM = "key struct<id:string,remoteJid:string,fromMe:string>, id string, remoteJid string, fromMe string, pushName string, message string"
+MESSAGE = "conversation string, extendedTextMessage struct<text:string>, imageMessage struct<caption:string,url:string>, videoMessage struct<caption:string,url:string>, audioMessage struct<url:string>"
+WRAPPERS = ["ephemeralMessage", "viewOnceMessage", "viewOnceMessageV2", "documentWithCaptionMessage"]
+#: How many wrappers may lie around a message.
+DEPTH = 6
+
+
+def _object(x: Column, schema: str) -> Column:
+    return F.from_json(F.when(F.ltrim(x).startswith("{"), x), schema)
+
+
+def _list(x: Column) -> Column:
+    return F.from_json(F.when(F.ltrim(x).startswith("["), x), "array<string>")
+
+
+def _filled(x: Column) -> Column:
+    return F.when(~x.isin("", "false", "0"), x)
+
+
+def _unwrapped(message: Column) -> Column:
+    """A message's JSON without the wrappers around it."""
+    inner = lambda x: F.coalesce(*[_filled(F.get_json_object(x, f"$.{w}.message")) for w in WRAPPERS], x)
+    return F.aggregate(F.array_repeat(F.lit(0), DEPTH), message, lambda x, _: inner(x))
 
 
 def unpack(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """One row a message of JSON payloads, whichever envelope they come in: provider_id, jid, from_me, name, text, kind."""
-    as_list = F.from_json(column, f"data array<{MESSAGE}>")["data"]
-    as_one = F.from_json(column, f"data {MESSAGE}")["data"]
-    as_messages = F.from_json(column, f"data struct<messages:array<{MESSAGE}>>")["data"]["messages"]
-    items = F.coalesce(as_messages, F.when(as_one["key"].isNotNull(), F.array(as_one)), as_list)
-    m = F.col("item.message")
-    text = F.coalesce(m["conversation"], m["extendedTextMessage"]["text"], m["imageMessage"]["caption"], m["videoMessage"]["caption"])
-    kind = F.when(m["imageMessage"].isNotNull(), "image").when(m["audioMessage"].isNotNull(), "audio").when(m["videoMessage"].isNotNull(), "video").otherwise("text")
-    return payloads.select("*", F.explode(items).alias("item")).select(F.col("item.key.id").alias("provider_id"), F.col("item.key.remoteJid").alias("jid"), F.coalesce("item.key.fromMe", F.lit(False)).alias("from_me"), F.col("item.pushName").alias("name"), text.alias("text"), kind.alias("kind"))
+    """One row a message of JSON payloads: provider_id, jid, from_me, name, text, kind, media_url.
+
+    Messages are the payload's data or else the payload itself: a list, an object with a list
+    of messages, or one item. Other events without data and key hold none. Items without a jid
+    go; kind is text, image (videos too) or audio.
+    """
+    raw = F.col(column)
+    top = _object(raw, ENVELOPE)
+    data = F.coalesce(top["data"], raw)
+    held = _object(data, ENVELOPE)
+    event = F.lower(F.coalesce(_filled(top["event"]), _filled(top["type"]), F.lit("")))
+    other = (event != "") & ~event.contains("messages.upsert") & (event != "messages_upsert") & _filled(top["data"]).isNull() & _filled(top["key"]).isNull()
+    is_item = lambda x: F.coalesce(_filled(x["key"]), _filled(x["message"])).isNotNull()
+    items = F.when(~F.coalesce(other, F.lit(False)), F.coalesce(_list(data), _list(held["messages"]), F.when(is_item(held), F.array(data)), F.when(is_item(top), F.array(raw))))
+    found = payloads.select(F.explode(items).alias("raw")).select("raw", _object(F.col("raw"), ITEM).alias("item"))
+    found = found.select("raw", "item", _object(_unwrapped(F.col("item.message")), MESSAGE).alias("m"))
+    m, item = F.col("m"), F.col("item")
+    said = F.coalesce(m["conversation"], m["extendedTextMessage"]["text"])
+    image, audio, video = m["imageMessage"], m["audioMessage"], m["videoMessage"]
+    pick = lambda i, a, v: F.when(said.isNotNull(), F.lit(None)).when(image.isNotNull(), i).when(audio.isNotNull(), a).when(video.isNotNull(), v)
+    return found.select(
+        F.coalesce(item["key"]["id"], item["id"]).alias("provider_id"),
+        F.trim(F.coalesce(_filled(item["key"]["remoteJid"]), item["remoteJid"])).alias("jid"),
+        _filled(F.coalesce(item["key"]["fromMe"], item["fromMe"])).isNotNull().alias("from_me"),
+        F.coalesce(item["pushName"], F.get_json_object("raw", "$.pushname")).alias("name"),
+        F.coalesce(said, pick(image["caption"], F.lit(None), video["caption"])).alias("text"),
+        F.coalesce(pick(F.lit("image"), F.lit("audio"), F.lit("image")), F.lit("text")).alias("kind"),
+        _filled(pick(image["url"], audio["url"], video["url"])).alias("media_url"),
+    ).where("jid <> ''")
 
 
 def accepted(messages: DataFrame) -> DataFrame:

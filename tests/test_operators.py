@@ -136,6 +136,38 @@ def test_envelopes(spark):
     assert inbound.accepted(got).count() == 4
 
 
+def test_envelopes_of_the_reference(spark):
+    jid, key = "5511@s.whatsapp.net", {"id": "a", "remoteJid": "5511@s.whatsapp.net", "fromMe": False}
+    said, wrappers = {"conversation": "hi"}, ["ephemeralMessage", "viewOnceMessage", "viewOnceMessageV2", "documentWithCaptionMessage"]
+    wrap = lambda m, *names: wrap({names[0]: {"message": m}}, *names[1:]) if names else m
+    one = [("a", jid, False, None, "hi", "text", None)]
+    media = lambda m: {"data": {"key": key, "message": m}}
+    cases = [
+        ({"key": key, "message": said}, one),
+        ([{"key": key, "message": said}] * 2, one * 2),
+        ({"messages": [{"key": key, "message": said}]}, one),
+        ({"event": "messages.upsert", "data": None, "key": key, "message": said}, one),
+        ({"event": "connection.update", "messages": [{"key": key, "message": said}]}, []),
+        ({"data": {"x": 1}, "key": key, "message": said}, one),
+        ({"data": [{"id": 7, "remoteJid": f" {jid} ", "fromMe": True, "pushname": "P", "message": said}]}, [("7", jid, True, "P", "hi", "text", None)]),
+        ({"data": [{"key": {"id": "a", "remoteJid": ""}, "remoteJid": jid, "pushName": "N", "pushname": "P", "message": said}, None, 3, {"key": {"id": "b"}}]}, [("a", jid, False, "N", "hi", "text", None)]),
+        *[(media(wrap(said, w)), one) for w in wrappers],
+        (media(wrap(said, *wrappers)), one),
+        (media({"viewOnceMessage": {"message": {"imageMessage": {"caption": "c", "url": "u"}}}}), [("a", jid, False, None, "c", "image", "u")]),
+        (media({"videoMessage": {"caption": "c", "url": "v"}}), [("a", jid, False, None, "c", "image", "v")]),
+        (media({"audioMessage": {"url": "w"}}), [("a", jid, False, None, None, "audio", "w")]),
+        (media({"imageMessage": {}}), [("a", jid, False, None, None, "image", None)]),
+        (media({"conversation": "hi", "imageMessage": {"caption": "c", "url": "u"}}), one),
+        (media({"extendedTextMessage": {"text": "hi"}}), one),
+        ({"data": {"key": key}}, [("a", jid, False, None, None, "text", None)]),
+        ("text", []),
+        ({}, []),
+    ]
+    for payload, want in cases:
+        got = inbound.unpack(spark.createDataFrame([(json.dumps(payload),), (None,), ("{broken",)], "payload string"))
+        assert list(map(tuple, got.collect())) == want, payload
+
+
 def test_stream_equals_batch(spark, tmp_path):
     sent = spark.createDataFrame([(str(i % 40) if i % 9 else None, i % 5, i, f"p{i}") for i in range(60)], "provider_id string, conversation int, ts long, preview string")
     sent.repartition(6).write.parquet(str(tmp_path / "in"))
