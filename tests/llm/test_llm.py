@@ -288,6 +288,22 @@ def test_secrets(spark):
     assert hashlib.sha256(b"").hexdigest() == found.where("doc_id = 4").select(F.sha2(secrets.listed(F.col("base")), 256).alias("d")).first()["d"]
 
 
+def test_secrets_beside_words(spark):
+    r = random.Random(9)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    words = "the ordinary identifier of something long and other plain words in a sentence"
+    slow, hexed = "_".join((words.split() * 4)), "0af1" * 9
+    rows = [(1, "é path/" + slow + "/", "/end", key(32)), (2, "x " + slow + "=", " y", key(24)), (3, slow + "-", "", key(14)), (4, f"{hexed}/", "/" + slow, key(30)), (5, slow + "_20240131235959_" + slow, "", "")]
+    docs = frame(spark, [(i, a + k + b, None) for i, a, b, k in rows] + [(100 + i, words, None) for i in range(20)])
+    found = secrets.scan(docs, secrets.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    got = {x["doc_id"]: x["s"] for x in found.select("doc_id", secrets.listed(F.col("spans")).alias("s")).collect()}
+    span = lambda i, a, k: f"markov:{len(a)}:{len(a) + len(k)}"
+    assert [got[i] for i in (1, 2, 3)] == [span(i, a, k) for i, a, _, k in rows[:3]]
+    assert got[4] == f"hex:0:{len(hexed)},markov:{len(hexed) + 1}:{len(hexed) + 31}" and got[5] == "" and got[100] == ""
+    clean = {x["doc_id"]: x["text"] for x in secrets.redact(found).select("doc_id", "text").collect()}
+    assert all(clean[i] == a + "[SECRET]" + b for i, a, b, _ in rows[:3]) and clean[5] == rows[4][1]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert jaccard_join.near_duplicates(none).count() == 0 and span_dedup.dedup_spans(none).count() == 0 and mixing.mix(none).count() == 0
