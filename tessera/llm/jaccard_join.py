@@ -11,12 +11,15 @@ least ``l`` with that of every set it links with; a longer prefix asks for more
 3. The rest is ordered from rare to frequent shingles, by counts over all of it. Each set
    chooses its own ``l`` where the estimated cost, probes and candidates to verify, is least.
    A pair is a candidate if it shares the smaller of both ``l`` within the bounds of its sizes.
-4. First each set meets the smallest set of each posting list. Verified links give components;
-   then only sets of different components meet, those outside a list's largest component with
-   all others. So a group of n near copies costs about n verifications, and no link between
-   components is lost.
-
-Verification is exact on whole sets. Null and empty texts have no shingles and link with
+4. First each set meets one set of each posting list, the one whose shingles are the most
+   frequent on average. Verified links give components; lists of one component are done with. In
+   the others, all sets meet another one, chosen by chance, as long as that links something.
+   Then only sets of different components meet, those outside a list's largest component with
+   all others, so no link between components is lost, while a group of n near copies costs
+   about n verifications. Pairs whose sketches differ in more places than the threshold allows
+   aren't compared: each such place stands for a shingle that only one of both sets has.
+
+Verification is exact on whole sets of 64-bit hashes of shingles. Null and empty texts have no shingles and link with
 nothing, nor does a row with a null id, whose component is null. Repeated rows and ids stay;
 an empty table gives an empty result; the other columns of docs are not read.
 """
@@ -43,6 +46,8 @@ MOST_MATCHES = 8
 #: Words of 64 bits of a parity sketch.
 SKETCH = 8
 VERIFY_COST = 0.05
+#: Rounds of stars at most, before all sets of what is left in a list meet.
+MOST_STARS = 6
 
 
 def overlap_floor(n, percent: int):
@@ -169,9 +174,9 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
         return F.aggregate(held, F.lit(0.0), lambda acc, x: acc + x["df"] - 1)
 
     choices = F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_MATCHES), F.col("floor"))), lambda ell: F.struct((probes(ell) * (1 + VERIFY_COST * F.col("n") / ell)).alias("cost"), ell.alias("l")))
-    chosen = ranked.withColumn("l", F.array_min(choices)["l"])
+    chosen = ranked.withColumn("l", F.array_min(choices)["l"]).withColumn("central", F.aggregate("found", F.lit(0.0), lambda acc, x: acc + F.log2(x["df"].cast("double"))) / F.col("n"))
     held = F.slice("found", F.lit(1), F.greatest(F.col("p") + F.col("l") - 1 - F.col("alone"), F.lit(0)))
-    return chosen.select("node", "n", "alone", "l", F.posexplode(held).alias("at", "x")).select(F.col("x.h").alias("h"), "node", "n", "alone", (F.col("alone") + F.col("at")).alias("pos"), "l")
+    return chosen.select("node", "n", "alone", "l", "central", F.posexplode(held).alias("at", "x")).select(F.col("x.h").alias("h"), "node", "n", "alone", (F.col("alone") + F.col("at")).alias("pos"), "l", "central")
 
 
 def _near_enough(percent: int) -> Column:
@@ -203,28 +208,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different sets that give the same components as all links."""
-    postings = cut(_postings(sets, percent))
-    other = ["node", "n", "alone", "pos", "l"]
-    pivots = postings.groupBy("h").agg(F.min(F.struct(*other)).alias("q"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    starred = postings.join(pivots, "h").select(*other, *[F.col(f"q.{c}").alias(f"{c}2") for c in other]).where((F.col("node") != F.col("node2")) & _near_enough(percent))
-    first = cut(_verified(_candidates(starred), sets, percent))
-
-    labels = components(first)
-    labelled = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = (
-        labelled.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h")
-        .agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("h", "top")
-    )
+    other = ["node", "n", "alone", "pos", "l", "label"]
     bits = [f"bits{i}" for i in range(SKETCH)]
     sketches = sets.select("node", *[F.col("sketch")[i].alias(b) for i, b in enumerate(bits)])
-    open_lists = cut(labelled.join(mixed, "h").join(sketches, "node"))
-    outside = open_lists.where("label <> top")
-    inside = open_lists.select("h", *[F.col(c).alias(f"{c}2") for c in [*other, "label", *bits]])
+    postings = cut(_postings(sets, percent))
+    shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    lists = cut(postings.join(shared, "h", "left_semi").join(sketches, "node").withColumn("label", F.col("node")))
+    links = None
     differing = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
     most = F.col("n") + F.col("n2") - 2 * F.expr(f"(({percent} * (n + n2) + {99 + percent}) div {100 + percent})")
-    apart = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("top")) | (F.col("node") < F.col("node2")))
-    crossed = outside.join(inside, "h").where(apart & _near_enough(percent) & (differing <= most))
-    return first.unionByName(_verified(_candidates(crossed), sets, percent))
+    fits = (F.col("label") != F.col("label2")) & _near_enough(percent) & (differing <= most)
+    for turn in range(MOST_STARS):
+        # First the set whose shingles are the most frequent ones on average, then any by chance.
+        order = -F.col("central") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        held = [*other, *bits]
+        pivots = lists.groupBy("h").agg(F.min_by(F.struct(*held), F.struct(order, "node")).alias("q"))
+        starred = lists.join(pivots, "h").select(*held, *[F.col(f"q.{c}").alias(f"{c}2") for c in held]).where(fits)
+        found = cut(_verified(_candidates(starred), sets, percent))
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        lists = lists.join(labels.withColumnRenamed("label", "joined"), "node", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined")
+        several = lists.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
+        lists = cut(lists.join(several, "h", "left_semi"))
+        if found.limit(1).count() == 0:
+            break
+    sizes = lists.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
+    top = sizes.groupBy("h").agg(F.max(F.struct("c", "label"))["label"].alias("top"))
+    lists = lists.join(top, "h")
+    outside = lists.where("label <> top")
+    inside = lists.select("h", *[F.col(c).alias(f"{c}2") for c in [*other, *bits]])
+    crossed = outside.join(inside, "h").where(((F.col("label2") == F.col("top")) | (F.col("node") < F.col("node2"))) & fits)
+    return links.unionByName(_verified(_candidates(crossed), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
