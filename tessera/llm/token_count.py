@@ -4,6 +4,9 @@ A text is split at the vocabulary's added tokens, which count one each, and then
 pre-tokens. Pre-tokens not met before in a task are held together as one ragged array of
 symbols; in each round every pre-token's lowest-ranked pair is found and all its occurrences
 are merged at once, until no pair has a rank. What survives is counted and remembered.
+Pre-tokens of ``LONG`` bytes or more are linked arrays: all their occurrences of the lowest
+rank merge at once, and only the pairs beside them get a new rank, so their cost grows with
+the number of merges.
 
 Null and empty texts have 0 bytes and 0 tokens; lone surrogates can't occur in Spark strings.
 Ids may be null or repeat; an empty table gives an empty result; other columns are ignored.
@@ -11,6 +14,7 @@ Ids may be null or repeat; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +32,7 @@ from tessera.llm.common import table
 REMEMBERED = 1_000_000
 GROUP_CHARS = 4 << 20
 NO_RANK = np.int64(1) << 40
+LONG = 256
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -63,19 +68,27 @@ class PairMerger:
         """How many symbols of each token survive."""
         lengths = np.array([len(t) for t in tokens], np.int64)
         out = lengths.copy()
-        live = np.arange(len(tokens))
-        symbols = self.first[np.frombuffer(b"".join(tokens), np.uint8)]
-        owner = np.repeat(live, lengths)
+        for which, way in ((lengths < LONG, self._rounds), (lengths >= LONG, self._links)):
+            at = np.flatnonzero(which)
+            if len(at):
+                symbols = self.first[np.frombuffer(b"".join(tokens[i] for i in at), np.uint8)]
+                way(symbols, np.repeat(at, lengths[at]), out)
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
+
+    def _rounds(self, symbols: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+        """Each round merges every owner's lowest pair and takes what has merged off out."""
         while len(symbols) > 1:
-            key = (symbols[:-1] << 20) | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (owner[:-1] == owner[1:]), self.ranks[at], NO_RANK)
-            rank = np.append(rank, NO_RANK)
+            rank = np.append(np.where(owner[:-1] == owner[1:], self._ranks(symbols[:-1], symbols[1:]), NO_RANK), NO_RANK)
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(owner))))
             hit = (rank == best) & (rank < NO_RANK)
             if not hit.any():
-                break
+                return
             # Of hits that overlap, as in "aaa", every second one counts from the left.
             begins = hit & ~np.append(False, hit[:-1])
             where = np.arange(len(hit))
@@ -84,7 +97,52 @@ class PairMerger:
             np.subtract.at(out, owner[hit], 1)
             stays = ~np.append(False, hit[:-1]) & (best < NO_RANK)
             symbols, owner = symbols[stays], owner[stays]
-        return out
+
+    def _links(self, symbols: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+        """The same for long tokens: owners don't meet, so ranks are taken in ascending order over all of them."""
+        size = len(symbols)
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+        after[ends] = -1
+        before[np.append(0, ends[:-1] + 1)] = -1
+        rank = np.full(size, NO_RANK)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def ranked(at: np.ndarray) -> None:
+            paired = at[after[at] >= 0]
+            rank[at] = NO_RANK
+            rank[paired] = found = self._ranks(symbols[paired], symbols[after[paired]])
+            known = found < NO_RANK
+            paired, found = paired[known], found[known]
+            order = np.argsort(found, kind="stable")
+            paired, found = paired[order], found[order]
+            starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else []
+            for a, b in zip(starts, [*starts[1:], len(found)]):
+                r = int(found[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(paired[a:b])
+
+        ranked(np.arange(size))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            follows = np.append(False, after[at[:-1]] == at[1:])
+            where = np.arange(len(at))
+            at = at[(where - np.maximum.accumulate(np.where(follows, 0, where))) % 2 == 0]
+            gone = after[at]
+            symbols[at], rank[gone] = self.merged[r], NO_RANK
+            after[at] = after[gone]
+            linked = at[after[at] >= 0]
+            before[after[linked]] = linked
+            np.subtract.at(out, owner[at], 1)
+            left = before[at]
+            ranked(np.unique(np.concatenate([at, left[left >= 0]])))
 
     def pieces(self, text: str) -> tuple[int, list[str]]:
         """(added tokens, pre-tokens) of a text."""
