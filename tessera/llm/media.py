@@ -1,9 +1,11 @@
 """Media columns by signature sniffing.
 
 ``to_wave`` stores bytes losslessly as 8-bit mono samples of a RIFF/WAVE file. ``sniff`` finds
-all magic bytes of a stored file in one pass of an Aho-Corasick automaton and lets a format
-validator confirm each: structure and lengths must hold, so that letters which merely look
-like a signature don't count. The confirmed segment at the start corrects the declared type,
+all magic bytes of a stored file, and the marks that end some formats, in one pass of an
+Aho-Corasick automaton and lets a format validator confirm each signature: structure and
+lengths must hold, so that letters which merely look like one don't count. A validator looks
+marks up rather than searching for them, and walks a chain of blocks that it has met before
+only once, so many false signatures don't cost a pass over the file each. The confirmed segment at the start corrects the declared type,
 and segments inside others are carved by offset and length.
 
 A null payload or text is empty. Rows are independent: ids may be null or repeat, equal texts
@@ -15,7 +17,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -40,6 +43,34 @@ MAGIC = {
     "audio/flac": b"fLaC",
     "application/pdf": b"%PDF-",
 }
+#: What ends a PDF file, a ZIP file's directory and a JPEG image.
+MARKS = (b"%%EOF", b"PK\x05\x06", b"\xff\xd9")
+
+
+class Media:
+    """A file's bytes, the places of MARKS in it, and the ends of block chains that were walked."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.marks: dict[bytes, list[int]] = {m: [] for m in MARKS}
+        self.walked: dict[tuple[str, int], int] = {}
+
+    def mark(self, which: bytes, at: int) -> int:
+        """The first place of a mark from an offset on, or -1."""
+        found = self.marks[which]
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+    def walk(self, kind: str, pos: int, step: Callable[[int], tuple[int, bool]]) -> int:
+        """Where a chain of blocks that starts at pos ends, or 0: step(pos) is (next block or end, whether that's the end), (0, True) for a fault."""
+        seen, done = [], False
+        while not done and (kind, pos) not in self.walked:
+            seen.append(pos)
+            pos, done = step(pos)
+        end = pos if done else self.walked[kind, pos]
+        for x in seen:
+            self.walked[kind, x] = end
+        return end
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -67,7 +98,8 @@ def wave_samples(data: bytes, at: int = 0) -> bytes:
     raise ValueError("no data chunk")
 
 
-def _wav(d: bytes, at: int) -> int:
+def _wav(m: Media, at: int) -> int:
+    d = m.data
     if d[at + 8 : at + 12] != b"WAVE":
         return 0
     size = 8 + struct.unpack_from("<I", d, at + 4)[0]
@@ -81,53 +113,71 @@ def _wav(d: bytes, at: int) -> int:
     return size if pos == end and {b"fmt ", b"data"} <= seen else 0
 
 
-def _png(d: bytes, at: int) -> int:
-    pos = at + 8
-    while pos + 12 <= len(d):
-        size = struct.unpack_from(">I", d, pos)[0]
-        body = d[pos + 4 : pos + 8 + size]
-        if pos + 12 + size > len(d) or zlib.crc32(body) != struct.unpack_from(">I", d, pos + 8 + size)[0] or (pos == at + 8) != (body[:4] == b"IHDR"):
-            return 0
-        pos += 12 + size
-        if body[:4] == b"IEND":
-            return pos - at
-    return 0
+def _png(m: Media, at: int) -> int:
+    d = m.data
 
+    def chunk(pos: int) -> tuple[int, bool]:
+        if pos + 12 > len(d):
+            return 0, True
+        size, kind = struct.unpack_from(">I", d, pos)[0], d[pos + 4 : pos + 8]
+        if pos + 12 + size > len(d) or not kind.isalpha() or zlib.crc32(memoryview(d)[pos + 4 : pos + 8 + size]) != struct.unpack_from(">I", d, pos + 8 + size)[0]:
+            return 0, True
+        return pos + 12 + size, kind == b"IEND"
 
-def _gif(d: bytes, at: int) -> int:
-    if d[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(d):
+    if d[at + 8 : at + 16] != b"\0\0\0\rIHDR":
         return 0
+    return max(0, m.walk("png", at + 8, chunk) - at)
+
+
+def _gif(m: Media, at: int) -> int:
+    d = m.data
     table_bytes = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    pos = at + 13 + table_bytes(d[at + 10])
-    while pos < len(d):
+
+    def block(pos: int) -> tuple[int, bool]:
+        if pos >= len(d):
+            return 0, True
         kind = d[pos]
         if kind == 0x3B:
-            return pos + 1 - at
+            return pos + 1, True
         if kind == 0x21:
-            pos += 2
-        elif kind == 0x2C and pos + 11 <= len(d):
-            pos += 11 + table_bytes(d[pos + 9])
-        else:
-            return 0
-        while pos < len(d) and d[pos]:
-            pos += 1 + d[pos]
-        pos += 1
-    return 0
+            return pos + 2, False
+        if kind == 0x2C and pos + 11 <= len(d):
+            return pos + 11 + table_bytes(d[pos + 9]), False
+        return 0, True
+
+    def step(pos: int) -> tuple[int, bool]:
+        # Even steps are blocks, odd ones the sub-blocks that follow.
+        at, inner = pos >> 1, pos & 1
+        if not inner:
+            end, done = block(at)
+            return (end, True) if done else (end << 1 | 1, False)
+        if at >= len(d):
+            return 0, True
+        return (at + 1 + d[at] << 1 | 1, False) if d[at] else (at + 1 << 1, False)
+
+    if d[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(d):
+        return 0
+    return max(0, m.walk("gif", at + 13 + table_bytes(d[at + 10]) << 1, step) - at)
+
 
+def _jpeg(m: Media, at: int) -> int:
+    d = m.data
 
-def _jpeg(d: bytes, at: int) -> int:
-    pos, scan = at + 2, False
-    while pos + 4 <= len(d) and d[pos] == 0xFF and not scan:
+    def segment(pos: int) -> tuple[int, bool]:
+        if pos + 4 > len(d) or d[pos] != 0xFF:
+            return 0, True
         size = struct.unpack_from(">H", d, pos + 2)[0]
-        scan = d[pos + 1] == 0xDA
         if size < 2:
-            return 0
-        pos += 2 + size
-    end = d.find(b"\xff\xd9", pos) if scan else -1
+            return 0, True
+        return pos + 2 + size, d[pos + 1] == 0xDA
+
+    scan = m.walk("jpeg", at + 2, segment)
+    end = m.mark(b"\xff\xd9", scan) if scan else -1
     return end + 2 - at if end >= 0 else 0
 
 
-def _bmp(d: bytes, at: int) -> int:
+def _bmp(m: Media, at: int) -> int:
+    d = m.data
     if at + 54 > len(d):
         return 0
     size, zero, offset, head = struct.unpack_from("<IIII", d, at + 2)
@@ -136,8 +186,8 @@ def _bmp(d: bytes, at: int) -> int:
     return size if fits and planes == 1 and bits in (1, 4, 8, 16, 24, 32) else 0
 
 
-def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
+def _zip(m: Media, at: int) -> int:
+    d, end = m.data, m.mark(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(d):
         return 0
     size, offset, note = struct.unpack_from("<IIH", d, end + 12)
@@ -145,28 +195,34 @@ def _zip(d: bytes, at: int) -> int:
     return whole if at + offset + size == end and at + whole <= len(d) else 0
 
 
-def _gzip(d: bytes, at: int) -> int:
-    reader = zlib.decompressobj(31)
+def _gzip(m: Media, at: int) -> int:
+    reader, pos, d = zlib.decompressobj(31), at, memoryview(m.data)
     try:
-        reader.decompress(d[at:])
+        while pos < len(d) and not reader.eof:
+            reader.decompress(d[pos : pos + 16_384])
+            pos += 16_384
     except zlib.error:
         return 0
-    return len(d) - at - len(reader.unused_data) if reader.eof else 0
+    return min(pos, len(d)) - at - len(reader.unused_data) if reader.eof else 0
+
 
+def _flac(m: Media, at: int) -> int:
+    d = m.data
+
+    def block(pos: int) -> tuple[int, bool]:
+        if pos + 4 > len(d):
+            return 0, True
+        end = pos + 4 + int.from_bytes(d[pos + 1 : pos + 4], "big")
+        return (0, True) if end > len(d) else (end, bool(d[pos] & 0x80))
 
-def _flac(d: bytes, at: int) -> int:
     if at + 42 > len(d) or d[at + 4] & 0x7F or d[at + 5 : at + 8] != b"\0\0\x22":
         return 0
-    pos, last = at + 4, False
-    while not last and pos + 4 <= len(d):
-        last = bool(d[pos] & 0x80)
-        pos += 4 + int.from_bytes(d[pos + 1 : pos + 4], "big")
-    return len(d) - at if last and pos <= len(d) else 0
+    return len(d) - at if m.walk("flac", at + 4, block) else 0
 
 
-def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if d[at + 5 : at + 6].isdigit() and b"startxref" in d[max(at, end - 64) : max(at, end)] else 0
+def _pdf(m: Media, at: int) -> int:
+    d, end = m.data, m.mark(b"%%EOF", at)
+    return end + 5 - at if end >= 0 and d[at + 5 : at + 6].isdigit() and b"startxref" in d[max(at, end - 64) : end] else 0
 
 
 VALIDATORS = {"audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/zip": _zip, "application/gzip": _gzip, "audio/flac": _flac, "application/pdf": _pdf}
@@ -177,23 +233,29 @@ def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for kind, magic in MAGIC.items():
         found.add_word(magic.decode("latin-1"), (kind, len(magic)))
+    for mark in MARKS:
+        found.add_word(mark.decode("latin-1"), (mark, len(mark)))
     found.make_automaton()
     return found
 
 
 def sniff(data: bytes) -> tuple[int, list[tuple[str, int, int]]]:
     """(signatures met, confirmed segments (type, offset, length) by offset)."""
-    met, out = 0, []
+    file, found, out = Media(data), [], []
     for last, (kind, size) in _automaton().iter(data.decode("latin-1")):
-        met += 1
         at = last + 1 - size
+        if kind in file.marks:
+            file.marks[kind].append(at)
+        else:
+            found.append((at, kind))
+    for at, kind in found:
         try:
-            length = VALIDATORS[kind](data, at)
+            length = VALIDATORS[kind](file, at)
         except (struct.error, IndexError):
             length = 0
         if length:
             out.append((kind, at, length))
-    return met, out
+    return len(found), out
 
 
 def corrected_type(declared: str, segments: list[tuple[str, int, int]]) -> str:

@@ -1,9 +1,12 @@
 """Operators of the llm subpackage on small fixtures: brute force, exact round trips and edge cases."""
 
 import base64
+import gzip
 import hashlib
 import io
 import random
+import time
+import wave
 import zipfile
 import zlib
 from collections import Counter
@@ -223,6 +226,17 @@ def test_token_counts():
     some = ["", "a" * 5000, " " * 90 + "x", "<|endoftext|>hi<|endoftext|>", "aaaa aaa\n\n b", "I'LL don't ½ 二〇"] + ["".join(chr(r.choice([r.randrange(128), r.randrange(0x3000), r.randrange(0xE000, 0x1FFFF)])) for _ in range(30)) for _ in range(500)]
     want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
     assert token_count.PairMerger(path).count(some) == want
+    long = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(200, 900))) for _ in range(60)] + ["a" * 3000, "ab" * 999, "the" * 700, "=-" * 600]
+    assert token_count.PairMerger(path).count(long) == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(long, add_special_tokens=False)]
+
+
+def test_token_counts_of_one_long_word():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(7)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.time()
+    (n,) = token_count.PairMerger(path).count([word])
+    assert time.time() - began < 20 and 300_000 < n < 700_000
 
 
 def test_token_counts_of_rows(spark):
@@ -272,6 +286,40 @@ def test_media_round_trip():
     assert media.corrected_type("image/gif", media.sniff(png)[1]) == "image/png" and media.corrected_type("x", []) == "x"
 
 
+@pytest.mark.parametrize("piece", ["PK\x03\x04", "%PDF-1", "GIF89a!\x01\x01", "BM", "RIFF\x10\x00\x00\x00WAVEfmt ", "\x89PNG\r\n\x1a\n\0\0\0\rIHDR", "PK\x03\x04PK\x05\x06", "fLaC\0\0\0\x22"])
+def test_media_hostile(piece):
+    began = time.time()
+    met, found = media.sniff(media.to_wave(media.payload_of(piece * (1_000_000 // len(piece)))[1]))
+    assert met > 50_000 / len(piece) and found[0][0] == "audio/wav" and time.time() - began < 10
+
+
+def gif_and_jpeg():
+    gif = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff!\xf9\x04\x01\x00\x00\x00\x00,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10JFIF\x00\x01\x01\x00\x00\x01\x00\x01\x00\x00\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00\x12\x34\xff\xd9"
+    return gif, jpeg, gzip.compress(b"abc" * 50), b"%PDF-1.4\nx\nstartxref\n9\n%%EOF"
+
+
+def test_media_rows(spark):
+    rows = [(1, None, None), (1, "", None), (2, "é\n" * 700, None), (None, "BM RIFF", None), (2, "é\n" * 700, None), (3, "x" * 300_000, None)]
+    got = media.digests(media.inspect_media(media.store_texts(frame(spark, rows)))).collect()
+    assert len(got) == 6
+    wanted = []
+    for i, t, _ in rows:
+        raw = (t or "").encode()
+        payload = raw + b"\0" * (max(64, (len(raw) + 63) // 64 * 64) - len(raw))
+        box = io.BytesIO()
+        with wave.open(box, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000), w.writeframes(payload)
+        wanted.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(box.getvalue()), hashlib.sha256(box.getvalue()).hexdigest()))
+    assert sorted(map(str, (tuple(x)[:7] for x in got))) == sorted(map(str, wanted))
+    assert all(x["feature"].startswith("application/octet-stream>audio/wav;") for x in got)
+    data = b"".join(gif_and_jpeg()[:3]) + b" " + gif_and_jpeg()[3]
+    table = spark.createDataFrame([(1, bytearray(data), "image/png", "t")], "doc_id long, media binary, declared string, text string")
+    (x,) = media.inspect_media(table).collect()
+    assert x["type"] == "image/gif" and [media.carve(data, tuple(s)) for s in x["segments"]] == list(gif_and_jpeg())
+    assert media.digests(media.inspect_media(media.store_texts(frame(spark, [])))).count() == 0
+
+
 def test_secrets(spark):
     r = random.Random(5)
     key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
