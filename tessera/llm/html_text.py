@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(?=[a-zA-Z/])[^<>]*\Z", re.S)
-ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: One attribute: a name of any characters but space, ``/``, ``>`` and a later ``=``, and a value after ``=``, in quotes or not.
+ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)?))?")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+NAMING = {"class", "id", "role", "itemprop", "aria-label"}
 WORDS = re.compile(r"[a-z]+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select", "head"}
@@ -53,71 +55,124 @@ class Page:
 
     tags: list[str] = field(default_factory=lambda: ["#page"])
     attributes: list[str] = field(default_factory=lambda: [""])
+    naming: list[str] = field(default_factory=lambda: [""])
     parents: list[int] = field(default_factory=lambda: [-1])
     runs: list[tuple[int, str, bool]] = field(default_factory=list)
 
 
+def tag_end(source: str, pos: int) -> tuple[int, str]:
+    """Where the tag whose name ends at pos ends, and the values of its naming attributes; -1 if the page ends first.
+
+    As in browsers, a quote holds a value only after ``=``, and only such a value may hold ``>``.
+    """
+    names = []
+    while True:
+        m = ATTRIBUTE.match(source, pos)
+        at = m.end()
+        if at < len(source) and source[at] == ">":
+            if m[1].lower() in NAMING:
+                names.append(m[2] or m[3] or m[4] or "")
+            return at + 1, " ".join(names)
+        if at >= len(source):
+            return -1, ""
+        if source[at] in "\"'" and m[0].rstrip().endswith("="):
+            return -1, ""  # an opened value that nothing closes
+        if m[1].lower() in NAMING:
+            names.append(m[2] or m[3] or m[4] or "")
+        pos = max(at, pos + 1)
+
+
+class Stack:
+    """Open elements, with the depths at which each tag name and each block is open, so that no look-up walks the stack."""
+
+    def __init__(self, page: Page):
+        self.page, self.held, self.hidden = page, [0], 0
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, i: int) -> None:
+        name = self.page.tags[i]
+        self.depths.setdefault(name, []).append(len(self.held))
+        if name in BLOCKS:
+            self.blocks.append(len(self.held))
+        self.hidden += name in RAW
+        self.held.append(i)
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.held) > depth:
+            name = self.page.tags[self.held.pop()]
+            self.depths[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            self.hidden -= name in RAW
+
+    def deepest(self, names) -> int:
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+
 def parse(source: str | None) -> Page:
-    page, stack, fresh, at = Page(), [0], True, 0
+    """One pass over the page; the work grows with its length, whatever it holds."""
+    page, fresh = Page(), True
     source = source or ""
-    tags, parents, runs = page.tags, page.parents, page.runs
-    hidden = 0
-    pos = 0
+    stack, runs = Stack(page), page.runs
+    at = pos = 0
     while True:
-        m = TAG.search(source, pos)
-        end = m.start() if m else len(source)
-        if end > at and not hidden:
+        start = source.find("<", pos)
+        after = source[start + 1 : start + 2] if start >= 0 else ""
+        closing = after == "/"
+        named = NAME.match(source, start + 1 + closing) if start >= 0 else None
+        if start >= 0 and not named and (after not in ("!", "?", "/") or start + 2 >= len(source)):
+            pos = start + 1
+            continue
+        end = start if start >= 0 else len(source)
+        if end > at and not stack.hidden:
             text = source[at:end]
             if text.strip():
-                runs.append((stack[-1], html.unescape(text), fresh))
+                runs.append((stack.held[-1], html.unescape(text), fresh))
                 fresh = False
             elif not fresh and runs:
-                runs.append((stack[-1], " ", False))
-        if not m:
+                runs.append((stack.held[-1], " ", False))
+        if start < 0:
             return page
-        at = pos = m.end()
-        name = m[2]
-        if name is None:
+        if not named:
+            comment = source.startswith("<!--", start)
+            close = source.find("-->" if comment else ">", start + 2)
+            at = pos = len(source) if close < 0 else close + (3 if comment else 1)
             continue
-        name = name.lower()
+        close, naming = tag_end(source, named.end())
+        if close < 0:
+            return page
+        at = pos = close
+        name = named[0].lower()
         if name in BLOCKS:
             fresh = True
-        if m[1]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if tags[stack[d]] == name), 0)
+        if closing:
+            depth = stack.deepest([name])
             if depth:
-                hidden -= sum(tags[i] in RAW for i in stack[depth:])
-                del stack[depth:]
+                stack.pop_to(depth)
             continue
         if name in CLOSES:
             ends, holders = CLOSES[name]
-            for d in range(len(stack) - 1, 0, -1):
-                if tags[stack[d]] in holders:
-                    break
-                if tags[stack[d]] in ends:
-                    del stack[d:]
-                    break
-        elif name in BLOCKS and name != "br":
-            for d in range(len(stack) - 1, 0, -1):
-                if tags[stack[d]] == "p":
-                    del stack[d:]
-                    break
-                if tags[stack[d]] in BLOCKS:
-                    break
-        if name == "body":
-            hidden -= sum(tags[i] == "head" for i in stack)
-            stack = [i for i in stack if tags[i] != "head"]
+            inside = stack.deepest(holders)
+            open_ends = [stack.depths[n][-1] for n in ends if stack.depths.get(n) and stack.depths[n][-1] > inside]
+            if open_ends:
+                stack.pop_to(min(open_ends))
+        elif name in BLOCKS and name != "br" and stack.blocks and page.tags[stack.held[stack.blocks[-1]]] == "p":
+            stack.pop_to(stack.blocks[-1])
+        if name == "body" and stack.depths.get("head"):
+            stack.pop_to(stack.depths["head"][-1])
         if name in VOID:
             continue
-        tags.append(name)
-        page.attributes.append(m[3])
-        parents.append(stack[-1])
-        if m[3].endswith("/") and name == "svg":
+        page.tags.append(name)
+        page.attributes.append(source[named.end() : close - 1])
+        page.naming.append(naming)
+        page.parents.append(stack.held[-1])
+        if name == "svg" and page.attributes[-1].endswith("/"):
             continue
         if name in SWALLOWED:
-            close = re.compile(rf"</{name}\b", re.I).search(source, at)
-            at = pos = close.start() if close else len(source)
-        hidden += name in RAW
-        stack.append(len(tags) - 1)
+            shut = re.compile(rf"</{name}\b", re.I).search(source, at)
+            at = pos = shut.start() if shut else len(source)
+        stack.push(len(page.tags) - 1)
 
 
 def features(page: Page) -> np.ndarray:
@@ -140,11 +195,9 @@ def features(page: Page) -> np.ndarray:
     above_good, above_bad, above_nav, above_main = [0] * n, [0] * n, [0] * n, [0] * n
     same: dict[tuple[int, str], int] = {}
     for i in range(n):
-        if page.attributes[i]:
-            for m in ATTRIBUTE.finditer(page.attributes[i]):
-                for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower()):
-                    good[i] += w in CONTENT_WORDS
-                    bad[i] += w in OTHER_WORDS
+        for w in WORDS.findall(page.naming[i].lower()):
+            good[i] += w in CONTENT_WORDS
+            bad[i] += w in OTHER_WORDS
         if i:
             p = parents[i]
             depth[i], place[i] = depth[p] + 1, kids[p]

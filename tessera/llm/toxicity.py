@@ -48,8 +48,8 @@ ORDINARY_BYTES, TOXIC_BYTES, COUNTED, TAKEN = 16_384, 8_192, 6, 32
 #: A word is evidence in this share of the toxic texts, and in 4 of them at least, if its share there is so many times that in ordinary ones.
 LEAST_SHARE, CONTRAST = 0.015, 10
 PARTS = 3
-#: The margin of a text without words.
-NO_WORDS = -64
+#: What a doubled window takes beyond its own bytes with a dictionary that has nothing of it, and the bytes by which it must be shorter to count.
+FIXED_COST, LEAST_SAVED = 15, 3
 NOT_LETTERS = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -96,16 +96,20 @@ class ToxicityModel:
 
 
 def margin(text: str | None, meters) -> int:
-    """The bytes that the toxic dictionary saves in the two best windows of the text; a single window counts twice."""
+    """The bytes that the toxic dictionary saves in the two best windows of the text; a single window counts twice.
+
+    Most windows get no shorter by the toxic dictionary; they save nothing and aren't compressed with the other.
+    """
     w = words(text)
-    if not w:
-        return NO_WORDS
-    windows = list({b" " + b" ".join(w[i : i + WINDOW]) for i in range(0, max(1, len(w) - WINDOW + STEP), STEP)})
-    best = [NO_WORDS, NO_WORDS]
+    windows = list({b" " + b" ".join(w[i : i + WINDOW]) + b" " for i in range(0, max(1, len(w) - WINDOW + STEP), STEP)})
+    best = [0, 0]
     for k in range(0, len(windows), GROUP):
-        doubled = [x + x + b" " for x in windows[k : k + GROUP]]
-        plain, toxic = (m.multi_compress_to_buffer(doubled, threads=0) for m in meters)
-        best = sorted([*best, *(len(plain[i]) - len(toxic[i]) for i in range(len(doubled)))])[-2:]
+        doubled = [x + x for x in windows[k : k + GROUP]]
+        toxic = list(map(len, meters[1].multi_compress_to_buffer(doubled, threads=0)))
+        short = [i for i, n in enumerate(toxic) if n <= len(doubled[i]) // 2 + FIXED_COST - LEAST_SAVED]
+        if short:
+            plain = meters[0].multi_compress_to_buffer([doubled[i] for i in short], threads=0)
+            best = sorted([*best, *(len(x) - toxic[i] for x, i in zip(plain, short))])[-2:]
     return best[1] * 2 if len(windows) == 1 else sum(best)
 
 

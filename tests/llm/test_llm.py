@@ -206,6 +206,37 @@ def test_html():
     assert html_text.extract([None, "", "<", "<p", "<b></b>"], html_text.trained()) == [""] * 2 + [html_text.extract(["<"], html_text.trained())[0], "", ""]
 
 
+def test_html_tags():
+    paragraph = "A paragraph of the article, with some words. " * 4
+    page = lambda odd: f"<html><body><article><h1>Head</h1><p>{paragraph}</p>{odd}<p>{paragraph}</p></article></body></html>"
+    for odd, seen in (
+        ("<p it's>Odd one, with more words here.</p>", "Odd one, with more words here."), ('<p a="x>y">Quoted, with more words here.</p>', "Quoted, with more words here."),
+        ("<p a = 'b' c=d/e f>Plain, with more words here.</p>", "Plain, with more words here."), ("<p>1 < 2 and a<3, with words.</p>", "1 < 2 and a<3, with words."),
+        ("<!-- x <p> > --><p>After, with more words here.</p><?x <a> ?>", "After, with more words here."), ("<p>Left</ >right, with words.</p>", "Leftright, with words."), ('<p ""=x "y>Names, with more words here.</p>', "Names, with more words here."),
+    ):
+        (got,) = html_text.extract([page(odd)], html_text.trained())
+        assert got.count(paragraph.strip()) == 2 and seen in got, odd
+    assert html_text.parse('<p>a</p><p x="').runs == [(1, "a", True)]
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<b></i>", "<b>", "<li><b>", "<p><i>", "<td><tr>", "<head><b><body>", "<x='", "<!--", "</", "<script>", "&#", "<dt><u></dl>", "< "])
+def test_html_hostile(piece):
+    began = time.time()
+    html_text.extract(["<p>start, of a text.</p>" + piece * (1_000_000 // len(piece))], html_text.trained())
+    assert time.time() - began < 20
+
+
+def test_html_rows(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", "<p>Only one paragraph, and no more.</p>"), (2, "u", "x" * 300_000)], "page_id long, url string, html string")
+    got = html_text.extract_pages(pages.select("page_id", "url", "html").unionByName(odd).withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("z")).repartition(3))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    rows = got.collect()
+    assert len(rows) == pages.count() + 4 and all(x["n_chars"] == len(x["text"]) and x["text"] == " ".join(x["text"].split()) for x in rows)
+    assert {x["text"] for x in rows if x["page_id"] is None} == {""} and {x["n_chars"] for x in rows if x["url"] == "u"} >= {0, 300_000}
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_html_held_out():
     import re
 
