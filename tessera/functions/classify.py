@@ -78,6 +78,49 @@ def district_before(address: Column, city: str = "Fortaleza") -> Column:
     return F.nullif(F.trim(F.regexp_extract(address, rf"(?i),\s*([^,]+?)\s*(?:-|,)\s*{city}(?![A-Za-z0-9_])", 1)), F.lit(""))
 
 
+#: Parts of activity names, the first that fits gives the label.
+CANONICAL = [
+    (("muay",), "Muay Thai"), (("jiu",), "Jiu Jitsu"), (("boxe", "boxing"), "Boxe"), (("capoeira",), "Capoeira"), (("pilates",), "Pilates"),
+    (("yoga",), "Yoga"), (("nata", "swim"), "Natação"), (("funcional",), "Treinamento Funcional"), (("crossfit",), "Crossfit"),
+    (("dança", "danca", "pole"), "Dança"), (("muscul",), "Musculação"), (("fisio",), "Fisioterapia"), (("spa",), "Spa"), (("massag",), "Massoterapia"), (("tênis", "tenis"), "Tênis"),
+]
+
+
+def canonical_activity(name: Column) -> Column:
+    """An activity's label in the closed vocabulary, else its name, trimmed."""
+    n, out = F.lower(F.trim(name)), None
+    for parts, label in CANONICAL:
+        fits = F.lit(False)
+        for p in parts:
+            fits |= n.contains(p)
+        out = F.when(fits, label) if out is None else out.when(fits, label)
+    return out.otherwise(F.trim(name))
+
+
+def distinct_plans(listed: Column, least: Column) -> Column:
+    """The plans of a list, trimmed, without blanks and repeats, in order; without any the least plan alone, if there is one."""
+    held = F.array_distinct(F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != ""))
+    one = F.nullif(F.trim(least), F.lit(""))
+    return F.when(F.size(held) > 0, held).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
+
+
+def least_rank(plans: Column, ranks: dict[str, int]) -> Column:
+    """The least known rank of an array of plans, else UNKNOWN_RANK."""
+    known = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
+    return F.coalesce(F.array_min(F.transform(plans, lambda p: F.try_element_at(known, p))), F.lit(UNKNOWN_RANK))
+
+
+def label_of(key: Column, labels: dict[str, str], default: str) -> Column:
+    """The label of an id in a dictionary, else a default."""
+    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, key.cast("string")), F.lit(default))
+
+
+def plan_allows(least: Column, user: Column) -> Column:
+    """Whether a user's plan ranks as high as the least plan that an offer asks for."""
+    return plan_rank(least) <= plan_rank(user)
+
+
 def credits_of(credits: Column, plan: Column) -> Column:
     """Stated credits, else the first number in the plan's name."""
     return F.coalesce(credits, first_integer(plan))

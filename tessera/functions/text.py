@@ -39,8 +39,8 @@ def jid(x: Column) -> Column:
 
 
 def first_integer(x: Column) -> Column:
-    """The first run of digits as an int, else null."""
-    return F.nullif(F.regexp_extract(x, r"(\d+)", 1), F.lit("")).cast("int")
+    """The first run of digits as a long; null where there is none or it is too long for one."""
+    return F.nullif(F.regexp_extract(x, r"(\d+)", 1), F.lit("")).try_cast("long")
 
 
 def city_and_state(x: Column) -> Column:
@@ -57,6 +57,21 @@ def money(x: Column) -> Column:
     return F.coalesce(F.nullif(plain, F.lit("")).cast("double"), F.lit(0.0))
 
 
+def brl(x: Column) -> Column:
+    """A number as pt-BR money, 'R$ 1.234,56' with a space that doesn't break; null stays null."""
+    plain = F.translate(F.format_number(F.abs(x), 2), ",.", ".,")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.concat(F.when(F.round(x, 2) < 0, "-").otherwise(""), F.lit("R$\u00a0"), plain))
+
+
+def is_url(x: Column) -> Column:
+    return F.coalesce(F.trim(x).rlike("(?i)^https?://"), F.lit(False))
+
+
+def millis(x: Column) -> Column:
+    """Milliseconds since 1970 as a timestamp."""
+    return F.timestamp_millis(x.cast("long"))
+
+
 def credits_price(x: Column) -> Column:
     return F.round(x * 4.95, 2)
 

@@ -25,6 +25,47 @@ def board(stages: DataFrame, items: DataFrame) -> DataFrame:
     return stages.join(sums, "stage", "left").select("stage", F.coalesce("cards", F.lit(0)).alias("cards"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def board_cards(stages: DataFrame, items: DataFrame, leads: DataFrame, n: int = 50) -> DataFrame:
+    """(stage, cards): each stage's first n items (lead_id, position) as an array of (position, lead_id, name), by position and id; empty where there are none.
+
+    Places are numbered before leads are joined and cards gathered, so no array holds more than n.
+    """
+    place = Window.partitionBy("stage").orderBy("position", "lead_id")
+    first = items.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
+    named = first.join(leads.select("lead_id", "name"), "lead_id", "left")
+    cards = F.transform(F.sort_array(F.collect_list(F.struct("place", "position", "lead_id", "name"))), lambda x: F.struct(x["position"].alias("position"), x["lead_id"].alias("lead_id"), x["name"].alias("name")))
+    held = named.groupBy("stage").agg(cards.alias("cards"))
+    return stages.join(held, "stage", "left").withColumn("cards", F.coalesce("cards", F.array().cast(held.schema["cards"].dataType)))
+
+
+def replied(conversations: DataFrame, leads: DataFrame) -> DataFrame:
+    """Conversations (lead_id) with the name and classification of their lead; unknown leads stay null."""
+    return conversations.join(leads.select("lead_id", "name", "classification"), "lead_id", "left")
+
+
+def reply_guard(messages: DataFrame, channels: list[str]) -> DataFrame:
+    """Messages (channel, kind, text) with the reason why none is answered, or null: an unknown channel, media, or no text."""
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    return messages.withColumn("reason", F.when(~F.coalesce(F.col("channel").isin(channels), F.lit(False)), "channel").when(F.col("kind") != "text", "media").when(blank, "empty"))
+
+
+def first_named(groups: DataFrame, names: list[str]) -> DataFrame:
+    """The group (group_id, name) that the first fitting name of an ordered list finds, whatever its case; none if no name fits. Ties go to the least id."""
+    place = F.coalesce(*[F.when(F.contains(F.lower("name"), F.lit(x.lower())), F.lit(k)) for k, x in enumerate(names)])
+    best = groups.withColumn("place", place).where("place is not null").agg(F.min(F.struct("place", "group_id", "name")).alias("g"))
+    return best.where("g is not null").select("g.group_id", "g.name")
+
+
+def qualify(leads: DataFrame, pipeline: DataFrame, least: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(leads, pipeline) after hot leads, and those with a score of least or more, have moved on to 'qualifying'."""
+    hot = (F.col("classification") == "hot") | (F.col("score") >= least)
+    return move_stage(leads, pipeline, leads.where(hot).select("lead_id", F.lit("qualifying").alias("stage")))
+
+
+#: Stages that a lead can be moved to.
+STAGES = ["new", "qualifying", "qualified", "call", "proposal", "converted", "discarded"]
+
+
 def newest_first(rows: DataFrame, column: str, key: str, n: int | None = None) -> DataFrame:
     """By a column descending with nulls first, as PostgreSQL lists; ties by key; all rows, or the first n."""
     listed = rows.orderBy(F.col(column).desc_nulls_first(), key)
@@ -58,8 +99,9 @@ def remote_then_local(remote: DataFrame, local: DataFrame, key: str) -> DataFram
 
 
 def move_stage(leads: DataFrame, pipeline: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(leads, pipeline) after moves (lead_id, stage): 'discarded' changes the lead's status only, others the stage, at position 0, as well."""
-    to = moves.select("lead_id", F.col("stage").alias("to"))
+    """(leads, pipeline) after moves (lead_id, stage): 'discarded' changes the lead's status only, others the stage, at position 0, as well; a stage that isn't one of STAGES is an error."""
+    known = F.when(F.col("stage").isin(STAGES), F.col("stage")).otherwise(F.raise_error(F.concat(F.lit("invalid_stage:"), F.coalesce("stage", F.lit("")))))
+    to = moves.select("lead_id", known.alias("to"))
     led = leads.join(to, "lead_id", "left").withColumn("status", F.coalesce("to", "status")).drop("to")
     on = F.col("to").isNotNull() & (F.col("to") != "discarded")
     moved = pipeline.join(to, "lead_id", "left")

@@ -58,6 +58,44 @@ def missing_parents(children: DataFrame, parents: DataFrame, key: str, parent_ke
     return children.where(F.col(key).isNotNull()).join(parents.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
+def fill_constant(rows: DataFrame, column: str, value: str) -> DataFrame:
+    """Nulls of a column become a constant."""
+    return rows.withColumn(column, F.coalesce(column, F.lit(value)))
+
+
+def stamp_changes(old: DataFrame, new: DataFrame, key: list[str], order: str, now: Column) -> DataFrame:
+    """An upsert whose rows have now in ``updated_at``; rows that the batch leaves alone keep theirs."""
+    return upsert(old, new.withColumn("updated_at", now), key, order)
+
+
+def upsert_agents(old: DataFrame, groups: DataFrame) -> DataFrame:
+    """An agent for each group (group_id): status and chunk_count of those there are stay, new ones are drafts without chunks."""
+    rest = groups.select("group_id").distinct().join(old.select("group_id"), "group_id", "left_anti")
+    return old.unionByName(rest.select("group_id", F.lit("draft").alias("status"), F.lit(0).cast(old.schema["chunk_count"].dataType).alias("chunk_count")))
+
+
+def mark_where(rows: DataFrame, column: str, value: str, condition: Column) -> DataFrame:
+    """A column set to a value in the rows of a condition; null counts as false."""
+    return rows.withColumn(column, F.when(F.coalesce(condition, F.lit(False)), value).otherwise(F.col(column)))
+
+
+def pending(chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """Chunks without an embedding or whose model is pending, by id; all, or the first ``most``."""
+    rows = chunks.where(F.col("embedding").isNull() | (F.col("embedding_model") == "pending")).orderBy("chunk_id")
+    return rows if most is None else rows.limit(most)
+
+
+def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows with the number of their batch of about ``size``, by a hash of the key: no order over all rows is needed to deal them out."""
+    count = max(1, -(-rows.count() // size))
+    return rows.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(count)))
+
+
+def counters(rows: DataFrame, outcome: str) -> DataFrame:
+    """One row: how many rows were loaded, skipped and failed."""
+    return rows.agg(*[F.count_if(F.col(outcome) == x).alias(x) for x in ("loaded", "skipped", "failed")])
+
+
 def publish_status(chunks: DataFrame) -> DataFrame:
     """(group_id, chunk_count, status): published if no chunk is pending, else training."""
     pending = F.col("embedding").isNull() | (F.col("embedding_model") == "pending")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import query_filters, text
 from tessera.operators import crm, evaluation, retrieval, store
-from tessera.plans import catalog  # noqa: F401  (its queries register themselves)
+from tessera.plans import catalog, documents  # noqa: F401  (their queries register themselves)
 from tessera.plans.adapt import CHUNKS_SQL, GYMS_SQL, LEADS_SQL, chunks, gyms, leads, query_vector
 from tessera.plans.registered import oracle_sql, queries, query  # noqa: F401
 from tessera.session import table
@@ -169,11 +169,11 @@ def name_modality_rules(spark, sf_dir):
 
 
 @query(rf"""SELECT doc_id, regexp_replace(regexp_replace(trim(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
-regexp_replace(text, '[^0-9]', '', 'g') AS digits, nullif(regexp_extract(text, '([0-9]{{1,6}})', 1), '')::INT AS first_integer,
+regexp_replace(text, '[^0-9]', '', 'g') AS digits, TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS BIGINT) AS first_integer,
 CASE WHEN length(text) > 280 THEN trim(substr(text, 1, 277)) || '…' ELSE text END AS short, sha256(concat_ws('|', lang, text)) AS hash FROM documents""")
 def text_functions(spark, sf_dir):
     t = F.col("text")
-    first = F.nullif(F.regexp_extract(t, "([0-9]{1,6})", 1), F.lit("")).cast("int")
+    first = text.first_integer(t)
     return table(spark, sf_dir, "documents").select("doc_id", text.slug(t).alias("slug"), text.digits_only(t).alias("digits"), first.alias("first_integer"), text.ellipsis(t).alias("short"), text.content_hash(F.col("lang"), t).alias("hash"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import millis, preview
+
 #: What an envelope, an item and a message without wrappers are read for; nested JSON stays text.
 ENVELOPE = "event string, type string, data string, key string, message string, messages string"
 ITEM = "key struct<id:string,remoteJid:string,fromMe:string>, id string, remoteJid string, fromMe string, pushName string, message string"
@@ -36,8 +38,8 @@ def _unwrapped(message: Column) -> Column:
     return F.aggregate(F.array_repeat(F.lit(0), DEPTH), message, lambda x, _: inner(x))
 
 
-def unpack(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """One row a message of JSON payloads: provider_id, jid, from_me, name, text, kind, media_url.
+def unpack(payloads: DataFrame, column: str = "payload", *others: str) -> DataFrame:
+    """One row a message of JSON payloads: provider_id, jid, from_me, name, text, kind, media_url, and other columns of the payload's row.
 
     Messages are the payload's data or else the payload itself: a list, an object with a list
     of messages, or one item. Other events without data and key hold none. Items without a jid
@@ -51,8 +53,8 @@ def unpack(payloads: DataFrame, column: str = "payload") -> DataFrame:
     other = (event != "") & ~event.contains("messages.upsert") & (event != "messages_upsert") & _filled(top["data"]).isNull() & _filled(top["key"]).isNull()
     is_item = lambda x: F.coalesce(_filled(x["key"]), _filled(x["message"])).isNotNull()
     items = F.when(~F.coalesce(other, F.lit(False)), F.coalesce(_list(data), _list(held["messages"]), F.when(is_item(held), F.array(data)), F.when(is_item(top), F.array(raw))))
-    found = payloads.select(F.explode(items).alias("raw")).select("raw", _object(F.col("raw"), ITEM).alias("item"))
-    found = found.select("raw", "item", _object(_unwrapped(F.col("item.message")), MESSAGE).alias("m"))
+    found = payloads.select(F.explode(items).alias("raw"), *others).select("raw", *others, _object(F.col("raw"), ITEM).alias("item"))
+    found = found.select("raw", *others, "item", _object(_unwrapped(F.col("item.message")), MESSAGE).alias("m"))
     m, item = F.col("m"), F.col("item")
     said = F.coalesce(m["conversation"], m["extendedTextMessage"]["text"])
     image, audio, video = m["imageMessage"], m["audioMessage"], m["videoMessage"]
@@ -64,7 +66,7 @@ def unpack(payloads: DataFrame, column: str = "payload") -> DataFrame:
         F.coalesce(item["pushName"], F.get_json_object("raw", "$.pushname")).alias("name"),
         F.coalesce(said, pick(image["caption"], F.lit(None), video["caption"])).alias("text"),
         F.coalesce(pick(F.lit("image"), F.lit("audio"), F.lit("image")), F.lit("text")).alias("kind"),
-        _filled(pick(image["url"], audio["url"], video["url"])).alias("media_url"),
+        _filled(pick(image["url"], audio["url"], video["url"])).alias("media_url"), *others,
     ).where("jid <> ''")
 
 
@@ -82,42 +84,159 @@ def once(messages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     return kept.unionByName(messages.where("provider_id is null"))
 
 
+#: Columns of a state as it is kept.
+STATE = "conversation string, last_at timestamp, last_id string, preview string, unread long"
+
+
+def _states(messages: DataFrame) -> DataFrame:
+    """Sums and maxima only, so hot conversations combine before the shuffle."""
+    last = F.max(F.struct("ts", F.coalesce("provider_id", F.lit("")).alias("id"), "preview")).alias("last")
+    held = messages.groupBy(F.col("conversation").cast("string").alias("conversation")).agg(last, F.count(F.lit(1)).alias("unread"))
+    return held.select("conversation", F.col("last.ts").cast("timestamp").alias("last_at"), F.col("last.id").alias("last_id"), "last.preview", "unread")
+
+
 def conversation_state(messages: DataFrame) -> DataFrame:
-    """(conversation, last_at, preview, unread): sums and maxima only, so hot conversations combine before the shuffle."""
-    return messages.groupBy("conversation").agg(F.max("ts").alias("last_at"), F.max_by("preview", F.struct("ts", "provider_id")).alias("preview"), F.count(F.lit(1)).alias("unread"))
+    """(conversation, last_at, preview, unread): the last message by time, then provider id, and how many there are."""
+    last = F.max(F.struct("ts", F.coalesce("provider_id", F.lit("")).alias("id"), "preview")).alias("last")
+    return messages.groupBy("conversation").agg(last, F.count(F.lit(1)).alias("unread")).select("conversation", F.col("last.ts").alias("last_at"), "last.preview", "unread")
 
 
 def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
-    """States of two batches as one: the later preview, and unread added up."""
-    both = old.unionByName(new)
-    return both.groupBy("conversation").agg(F.max("last_at").alias("last_at"), F.max_by("preview", "last_at").alias("preview"), F.sum("unread").alias("unread"))
+    """States of two batches as one: the later message by time, then id, and unread added up."""
+    last = F.max(F.struct("last_at", "last_id", "preview")).alias("last")
+    return old.unionByName(new).groupBy("conversation").agg(last, F.sum("unread").alias("unread")).select("conversation", "last.last_at", "last.last_id", "last.preview", "unread")
 
 
-class InboundSink:
-    """foreachBatch writer that keeps the state and the seen provider ids under a shared path, one folder a batch.
+def messages_of(payloads: DataFrame, column: str = "payload", ts: str = "ts") -> DataFrame:
+    """Accepted messages (provider_id, conversation, ts, preview) of payloads with their time of arrival."""
+    found = accepted(unpack(payloads.select(column, F.col(ts).alias("arrived")), column, "arrived"))
+    return found.select("provider_id", F.substring_index("jid", "@", 1).alias("conversation"), F.col("arrived").alias("ts"), preview(F.col("text"), F.col("kind")).alias("preview"))
+
+
+#: What a payload with messages of direct channels is read for.
+DIRECT = "entry array<struct<messaging:array<struct<sender:struct<id:string>,timestamp:bigint,message:struct<text:string,attachments:array<struct<type:string,payload:struct<url:string>>>>>>>>"
+
+
+def unpack_direct(payloads: DataFrame, arrived: Column, column: str = "payload") -> DataFrame:
+    """One row a message of payloads that nest messaging lists in entries: sender, ts, text, media_url, kind, preview.
+
+    Without a time of its own a message has that of its arrival; senders without an id go. There is
+    no provider id, so each delivery counts. Kind is text, or audio or image where there is media.
+    """
+    entries = payloads.select(F.explode(F.from_json(column, DIRECT)["entry"]).alias("e"), arrived.alias("arrived"))
+    found = entries.select(F.explode("e.messaging").alias("m"), "arrived").where("coalesce(m.sender.id, '') <> ''")
+    first = F.get(F.col("m.message.attachments"), F.lit(0))
+    url = _filled(first["payload"]["url"])
+    kind = F.when(url.isNull(), "text").when(first["type"] == "audio", "audio").otherwise("image")
+    out = found.select(F.col("m.sender.id").alias("sender"), F.coalesce(millis(F.col("m.timestamp")), "arrived").alias("ts"), F.col("m.message.text").alias("text"), url.alias("media_url"), kind.alias("kind"))
+    said = F.coalesce(F.nullif("text", F.lit("")), F.when(F.col("media_url").isNotNull(), F.concat(F.lit("["), F.col("kind"), F.lit("]"))), F.lit(""))
+    return out.withColumn("preview", F.substring(said, 1, 200))
+
+
+def thread_state(messages: DataFrame, monotonic: bool = True) -> DataFrame:
+    """(sender, last_at, preview, unread) of messages (sender, ts, preview, arrival).
 
-    A batch that is run again after a failure overwrites its own folder and reads the one
-    before it, so every batch counts once.
+    Either the latest message by event time counts, or, as where late ones overwrite, the last to arrive.
     """
+    by = F.struct("ts", "arrival") if monotonic else F.struct("arrival")
+    return messages.groupBy("sender").agg(F.max_by("ts", by).alias("last_at"), F.max_by("preview", by).alias("preview"), F.count(F.lit(1)).alias("unread"))
 
-    def __init__(self, path: str):
-        self.path = path
 
-    def _read(self, spark, kind: str, batch: int) -> DataFrame | None:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{batch}/_SUCCESS")
-        return spark.read.parquet(f"{self.path}/{kind}/{batch}") if batch >= 0 and p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
+def merge_leads(leads: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Leads (channel, external_id, name, classification, score, status, last_contact_at) after contacts (channel, external_id, name, ts).
+
+    A contact's last name that isn't blank takes the place of the lead's; its last time is the last
+    contact. New leads are 'morno' with a score of 0 and the status 'new'.
+    """
+    named = F.when(F.coalesce(F.trim("name"), F.lit("")) != "", F.col("name"))
+    seen = contacts.groupBy("channel", "external_id").agg(F.max_by(named, F.when(named.isNotNull(), F.struct("ts", "name"))).alias("said"), F.max("ts").alias("at"))
+    both = leads.join(seen, ["channel", "external_id"], "full")
+    return both.select(
+        "channel", "external_id", F.coalesce("said", "name").alias("name"), F.coalesce("classification", F.lit("morno")).alias("classification"), F.coalesce("score", F.lit(0)).alias("score"),
+        F.coalesce("status", F.lit("new")).alias("status"), F.coalesce("at", "last_contact_at").alias("last_contact_at"),
+    )
+
+
+def auto_replies(messages: DataFrame, enabled: bool) -> DataFrame:
+    """The messages that call for an automatic reply: those with text, if the flag is set."""
+    return messages.where(F.lit(enabled) & (F.coalesce(F.trim("text"), F.lit("")) != ""))
+
+
+class InboundSink:
+    """foreachBatch writer that keeps conversation states and seen provider ids under a shared path.
+
+    Both are dealt into buckets by a hash of their key, and a batch reads and rewrites only the
+    buckets that it touches: states whole, seen ids as a further file that is merged with the
+    others when there are ``files`` of them. A manifest of one row a bucket names the batches that
+    hold its files. A batch that runs again after a failure starts from the manifest before it and
+    overwrites its own folders, so every batch counts once; folders that neither the last manifest
+    nor the one before it names are deleted.
+    """
+
+    def __init__(self, path: str, buckets: int = 64, files: int = 16):
+        self.path, self.buckets, self.files = path, buckets, files
+
+    def _manifest(self, spark, number: int) -> tuple[dict[int, int], dict[int, list[int]]]:
+        """By bucket the batch of its state and the batches of its seen ids: at most ``buckets`` rows."""
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{number}/_SUCCESS")
+        if number < 0 or not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return {}, {}
+        rows = spark.read.schema("bucket int, state long, seen array<long>").json(f"{self.path}/manifest/{number}").collect()
+        return {r["bucket"]: r["state"] for r in rows if r["state"] is not None}, {r["bucket"]: list(r["seen"]) for r in rows if r["seen"]}
+
+    def _read(self, spark, kind: str, at: list[tuple[int, int]], schema: str) -> DataFrame:
+        paths = [f"{self.path}/{kind}/{number}/bucket={bucket}" for bucket, number in at]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen, old = self._read(spark, "seen", number - 1), self._read(spark, "state", number - 1)
-        fresh = once(batch, seen)
-        ids = fresh.where("provider_id is not null").select("provider_id")
-        (ids if seen is None else seen.unionByName(ids)).write.mode("overwrite").parquet(f"{self.path}/seen/{number}")
-        new = conversation_state(fresh)
-        (new if old is None else merge_state(old, new)).write.mode("overwrite").parquet(f"{self.path}/state/{number}")
+        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int").alias("bucket")
+        states, seens = self._manifest(spark, number - 1)
+        batch = batch.persist()
+        try:
+            touched = lambda rows, c: {r["bucket"] for r in rows.select(bucket(c)).distinct().collect()}
+            ids = touched(batch.where("provider_id is not null"), "provider_id")
+            seen = self._read(spark, "seen", [(b, n) for b in ids for n in seens.get(b, [])], "provider_id string")
+            fresh = once(batch, seen).persist()
+            merged = [b for b in ids if len(seens.get(b, [])) >= self.files]
+            old = self._read(spark, "seen", [(b, n) for b in merged for n in seens[b]], "provider_id string")
+            fresh.where("provider_id is not null").select("provider_id").unionByName(old).select("provider_id", bucket("provider_id")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/seen/{number}")
+            held = touched(fresh.where("provider_id is not null"), "provider_id") | set(merged)
+            talked = touched(fresh, "conversation")
+            before = self._read(spark, "state", [(b, states[b]) for b in talked if b in states], STATE)
+            merge_state(before, _states(fresh)).select("*", bucket("conversation")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/{number}")
+            fresh.unpersist()
+        finally:
+            batch.unpersist()
+        last = ({**states}, {**seens})
+        states |= {b: number for b in talked}
+        seens |= {b: [number] if b in merged else [*seens.get(b, []), number] for b in held}
+        rows = [(b, states.get(b), seens.get(b, [])) for b in sorted({*states, *seens})]
+        spark.createDataFrame(rows, "bucket int, state long, seen array<long>").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{number}")
+        self._clear(spark, number, [last, (states, seens)])
+
+    def _clear(self, spark, number: int, manifests) -> None:
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        used = {"state": {n for states, _ in manifests for n in states.values()}, "seen": {n for _, seens in manifests for ns in seens.values() for n in ns}, "manifest": {number - 1}}
+        for kind, kept in used.items():
+            folder = fs_path(f"{self.path}/{kind}")
+            fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            for found in fs.listStatus(folder) if fs.exists(folder) else []:
+                name = found.getPath().getName()
+                if name.isdigit() and int(name) < number and int(name) not in kept:
+                    fs.delete(found.getPath(), True)
+
+    def state(self, spark, number: int) -> DataFrame:
+        """(conversation, last_at, preview, unread) after a batch."""
+        states, _ = self._manifest(spark, number)
+        return self._read(spark, "state", sorted(states.items()), STATE).select("conversation", "last_at", "preview", "unread")
+
+
+def start(messages: DataFrame, path: str, checkpoint: str, sink: InboundSink | None = None):
+    """Run a streaming DataFrame (provider_id, conversation, ts, preview) into an InboundSink until it has no more input."""
+    return messages.writeStream.foreachBatch(sink or InboundSink(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def start(messages: DataFrame, path: str, checkpoint: str):
-    """Run a streaming DataFrame (provider_id, conversation, ts, preview) into an InboundSink until it has no more input."""
-    return messages.writeStream.foreachBatch(InboundSink(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start_payloads(payloads: DataFrame, path: str, checkpoint: str):
+    """The same for a stream of webhook payloads (payload, ts)."""
+    return start(messages_of(payloads), path, checkpoint)
