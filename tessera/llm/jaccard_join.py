@@ -206,18 +206,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * either).select("a", "b")
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different sets that give the same components as all links."""
+def _components(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of all sets that link with another: the components that all links would give."""
     other = ["node", "n", "alone", "pos", "l", "label"]
     bits = [f"bits{i}" for i in range(SKETCH)]
     sketches = sets.select("node", *[F.col("sketch")[i].alias(b) for i, b in enumerate(bits)])
     postings = cut(_postings(sets, percent))
     shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     lists = cut(postings.join(shared, "h", "left_semi").join(sketches, "node").withColumn("label", F.col("node")))
-    links = None
     differing = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
     most = F.col("n") + F.col("n2") - 2 * F.expr(f"(({percent} * (n + n2) + {99 + percent}) div {100 + percent})")
     fits = (F.col("label") != F.col("label2")) & _near_enough(percent) & (differing <= most)
+    labels = None
+
+    def joined(links: DataFrame) -> DataFrame:
+        """Labels after further links, which lie between components that there are."""
+        if labels is None:
+            return components(links)
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+        edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+        new = cut(components(edges))
+        moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        return cut(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")))
+
     for turn in range(MOST_STARS):
         # First the set whose shingles are the most frequent ones on average, then any by chance.
         order = -F.col("central") if turn == 0 else F.xxhash64("node", F.lit(turn))
@@ -225,20 +236,20 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         pivots = lists.groupBy("h").agg(F.min_by(F.struct(*held), F.struct(order, "node")).alias("q"))
         starred = lists.join(pivots, "h").select(*held, *[F.col(f"q.{c}").alias(f"{c}2") for c in held]).where(fits)
         found = cut(_verified(_candidates(starred), sets, percent))
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if turn and found.isEmpty():
+            break
+        labels = joined(found)
         lists = lists.join(labels.withColumnRenamed("label", "joined"), "node", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined")
         several = lists.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
         lists = cut(lists.join(several, "h", "left_semi"))
-        if found.limit(1).count() == 0:
-            break
     sizes = lists.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
     top = sizes.groupBy("h").agg(F.max(F.struct("c", "label"))["label"].alias("top"))
     lists = lists.join(top, "h")
     outside = lists.where("label <> top")
     inside = lists.select("h", *[F.col(c).alias(f"{c}2") for c in [*other, *bits]])
     crossed = outside.join(inside, "h").where(((F.col("label2") == F.col("top")) | (F.col("node") < F.col("node2"))) & fits)
-    return links.unionByName(_verified(_candidates(crossed), sets, percent))
+    last = cut(_verified(_candidates(crossed), sets, percent))
+    return labels if last.isEmpty() else joined(last)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -258,7 +269,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sets = chosen.join(kept, F.col("doc_id") == F.col("low")).select("node", "text").mapInArrow(_sets(size), "node binary, n long, shingles array<long>, sketch array<long>")
     # Short ids stand for digests while shingles are shuffled; the checkpoint fixes them.
     named = cut(sets.withColumn("digest", F.col("node")).withColumn("node", F.monotonically_increasing_id()))
-    labels = components(_links(named.select("node", "n", "shingles", "sketch"), percent))
+    labels = _components(named.select("node", "n", "shingles", "sketch"), percent)
     ids = named.select("node", "digest").join(kept.select(F.col("node").alias("digest"), "low"), "digest")
     labelled = labels.join(ids, "node")
     smallest = labelled.groupBy("label").agg(F.min("low").alias("component"))
