@@ -89,9 +89,11 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80) -
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hits = cut(texts.mapInArrow(_probe(classes, pack(shingles), size), "doc_id long, mark long, h long"))
     candidates = hits.join(sketches.select("h", "item_id"), "h").select("doc_id", "mark", "item_id").distinct()
-    counted = hits.join(shingles.select("h", "item_id", "n"), "h").groupBy("doc_id", "mark", "item_id").agg(F.max("n").alias("n_shingles"), F.countDistinct("h").cast("int").alias("shared"))
-    same = F.expr("c.doc_id <=> d.doc_id and c.mark = d.mark and c.item_id <=> d.item_id")
-    found = counted.alias("d").join(candidates.alias("c"), same, "left_semi").where(100 * F.col("shared") >= percent * F.col("n_shingles"))
+    # Only a candidate's own shingles are looked up, so frequent shingles of other items cost nothing.
+    wanted = candidates.alias("c").join(shingles.alias("s"), F.expr("c.item_id <=> s.item_id")).select("c.*", "s.h", "s.n")
+    met = wanted.alias("w").join(hits.distinct().alias("d"), F.expr("w.doc_id <=> d.doc_id and w.mark = d.mark and w.h = d.h"), "left_semi")
+    counted = met.groupBy("doc_id", "mark", "item_id").agg(F.max("n").alias("n_shingles"), F.countDistinct("h").cast("int").alias("shared"))
+    found = counted.where(100 * F.col("shared") >= percent * F.col("n_shingles"))
     return found.select("doc_id", "item_id", "n_shingles", "shared", (F.col("shared") / F.col("n_shingles")).alias("containment")).distinct()
 
 

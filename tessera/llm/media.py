@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import free_name, table
 
 BLOCK = 64
 RATE = 8000
@@ -264,7 +264,7 @@ def corrected_type(declared: str, segments: list[tuple[str, int, int]]) -> str:
 
 
 def inspect_media(media: DataFrame) -> DataFrame:
-    """(…, media binary, declared string) with type, met and segments array<struct<type, offset, length>>."""
+    """(…, media binary, declared string) with type, met and segments array<struct<type, offset, length>>, which replace columns of these names."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for data, declared in batches:
@@ -275,7 +275,8 @@ def inspect_media(media: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["type", "met", "segments"])
 
     found = F.pandas_udf(run, "type string, met long, segments array<struct<type:string, offset:long, length:long>>")
-    return media.withColumn("found", found("media", "declared")).select(*media.columns, "found.*")
+    name, held = free_name(media, "found"), [c for c in media.columns if c not in ("type", "met", "segments")]
+    return media.withColumn(name, found("media", "declared")).select(*held, f"{name}.*")
 
 
 def carve(data: bytes, segment: tuple[str, int, int]) -> bytes:

@@ -4,7 +4,8 @@ Each source gets a target number of words. A source whose target passes its size
 whole epochs first; the rest of its target is filled by a weighted sample without
 replacement: each document draws the exponential key ``-ln(u) / w`` from a hash of its id and
 its quality weight ``w``, and documents are taken in key order while the prefix sum of their
-words stays within the rest. Keys depend on nothing but id, seed and text, so reruns agree.
+words stays within the rest. Keys depend on nothing but id, seed and text, so reruns agree, and
+rows that share an id or have none draw apart.
 
 Prefix sums are distributed: documents fall into key bins, of about ``BIN_ROWS`` rows each
 however large their source; sums of bins are added up first, and only the one bin of a source
@@ -44,7 +45,8 @@ def targets(sizes: DataFrame, percent: int = 150, most: int = 2, weights: tuple[
     sizes; none gets more than ``most`` times its size, and what it can't take the others share
     by weight. That is ``least(cap, level * weight)`` with one level for all: sources are
     capped in the order of cap / weight until the next one's cap is above its share. There is
-    one row a source, so this window isn't over data.
+    one row a source, so this window isn't over data: it sorts the sources, not their documents, in
+    one task, which bounds them to some millions.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
@@ -64,7 +66,7 @@ def targets(sizes: DataFrame, percent: int = 150, most: int = 2, weights: tuple[
 def mix(docs: DataFrame, percent: int = 150, most: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken."""
     size = word_count(F.col("text"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)))), 1, 13), 16, 10).cast("double")
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)), F.md5(F.coalesce(F.col("text"), F.lit(""))))), 1, 13), 16, 10).cast("double")
     u = (draw + 0.5) / float(1 << 52)
     rows = docs.select("doc_id", "source", size.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), u.alias("u"))
     rows = rows.withColumn("key", -F.log("u") / quality_weight(F.col("size"), F.col("chars"))).drop("u", "chars")
@@ -104,7 +106,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH r AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(length(text), 0) AS chars,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|17'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|17|' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 k AS (
   SELECT *, -ln(u) / (1.0 + (size BETWEEN 50 AND 10000)::INT + (chars BETWEEN size * 4 AND size * 10 AND size > 0)::INT) AS key FROM r),

@@ -7,7 +7,8 @@ system that is left is solved once. An isotonic fit turns raw scores into probab
 Training takes at most ``max_rows`` labelled rows in the order of a hash of their ids, none of
 the held-out fold. Null and empty texts have statistics of 0. Equal texts get equal scores;
 ids may be null or repeat; an empty table gives an empty result; without labels of both
-classes every text scores 0.5. Other columns are ignored or kept as they are.
+classes every text scores 0.5. A column ``score`` of docs is replaced, all others stay. Rows
+that share an id count as one labelled row.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ class QualityModel:
 
 def _statistics_table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"label": pdf["label"], "x": [statistics(t) for t in pdf["text"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [statistics(t) for t in pdf["text"]]})
 
 
 def _normal_equations(model: QualityModel):
@@ -98,10 +99,11 @@ def _normal_equations(model: QualityModel):
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000) -> QualityModel:
     """Fit on at most max_rows labelled rows outside the held-out fold."""
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("label"))
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))
     # At most max_rows ids: a proven bound for a broadcast.
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInPandas(_statistics_table, "label int, x array<double>"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    measured = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(_statistics_table, "doc_id long, label int, x array<double>")
+    rows = cut(measured.groupBy("doc_id", "label").agg(F.min("x").alias("x")))
     at = [F.col("x")[k] for k in range(len(STATISTICS))]
     sums = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positive"), *[F.avg(c).alias(f"m{k}") for k, c in enumerate(at)], *[F.stddev_pop(c).alias(f"s{k}") for k, c in enumerate(at)]).first()
     model = QualityModel()

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Texts are cut into groups of about so many bytes, which bounds a task's memory.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

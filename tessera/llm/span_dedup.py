@@ -16,7 +16,8 @@ a whole run, wherever they stand; of a longer passage, words at its edges may st
 
 Null and empty texts stay as they are. Rows with a null id are neither searched nor changed;
 rows that share an id count as one document. Repeats inside a document count as well. An
-empty table gives an empty result; other columns of docs are kept.
+empty table gives an empty result. Columns ``n_sentences`` and ``n_removed`` of docs are replaced,
+all others are kept.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, free_name, table
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 15
@@ -150,15 +151,17 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     # Cut, so that both sides of the join are shuffled for it and a hot run's rows can be split.
     repeated = cut(found.groupBy("h").agg(first, F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "first"))
     again = found.join(repeated, "h").where("doc_id <> first.doc_id or place <> first.place")
-    marks = again.groupBy("doc_id").agg(F.collect_list(F.struct("place", "h")).alias("marks")).select(F.col("doc_id").alias("marked_id"), "marks")
+    marked, marks, cleaned_as = (free_name(docs, x) for x in ("marked_id", "marks", "cleaned"))
+    marked_rows = again.groupBy("doc_id").agg(F.collect_list(F.struct("place", "h")).alias(marks)).withColumnRenamed("doc_id", marked)
 
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, held in batches:
             yield pd.DataFrame([without(t, m) for t, m in zip(texts, held)], columns=["text", "n_sentences", "n_removed"])
 
     cleaned = F.pandas_udf(clean, "text string, n_sentences long, n_removed long")
-    joined = docs.join(marks, F.col("doc_id") == F.col("marked_id"), "left").withColumn("cleaned", cleaned("text", "marks"))
-    return joined.select(*[F.col("cleaned.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "cleaned.n_sentences", "cleaned.n_removed")
+    joined = docs.join(marked_rows, F.col("doc_id") == F.col(marked), "left").withColumn(cleaned_as, cleaned("text", marks))
+    held = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    return joined.select(*[F.col(f"{cleaned_as}.text").alias("text") if c == "text" else F.col(c) for c in held], f"{cleaned_as}.n_sentences", f"{cleaned_as}.n_removed")
 
 
 def op1_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tessera.llm import common, components, decontamination, html_text, jaccard_join, media, mixing, quality, secrets, span_dedup, token_count, toxicity
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, node string, h string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, node string, h string, marks string, score string, margin string, base string, more string, found string, marked_id string, cleaned string, scanned string, kept_id string"
 WORDS = [f"w{i}" for i in range(3000)]
 
 
@@ -29,7 +29,7 @@ def prose(r, n):
 
 def frame(spark, rows):
     """Documents with extra columns whose names clash with those that operators use inside."""
-    return spark.createDataFrame([(i, t, None, s, None, "x", "y") for i, t, s in rows], DOC)
+    return spark.createDataFrame([(i, t, None, s, None, *"xyabcdefghij") for i, t, s in rows], DOC)
 
 
 @pytest.fixture(scope="module")
