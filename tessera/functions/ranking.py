@@ -1,12 +1,23 @@
-"""Vector similarity and the arithmetic of full-text ranks."""
+"""Vector similarity and full-text ranks."""
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.stems import STOP, stem
+
+#: Words between which a pair of terms counts, and places of a term that do.
+NEAR, MOST_PLACES = 100, 255
+#: Words with dots inside are one, those with hyphens one and their parts as well.
+WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)+|[^\W_]+(?:-[^\W_]+)+|[^\W_]+")
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
@@ -18,6 +29,40 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
 
 
+def _unit(rows: list) -> np.ndarray:
+    """Rows of one length as float64 vectors of norm 1; a norm of 0 gives nan."""
+    m = np.array(rows, np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+
+def nearness(embedding: Column, vector: list[float]) -> Column:
+    """``cosine`` of a column of vectors to one, a batch at a time; rounded to 12 digits, so equal vectors tie."""
+    (unit,) = _unit([vector])
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            fits = np.array([x is not None and len(x) == len(vector) for x in rows], bool)
+            out = np.full(len(rows), np.nan)
+            if fits.any():
+                out[fits] = np.round(np.einsum("ij,j->i", _unit(list(rows[fits])), unit), 12)
+            yield pd.Series(out).astype("Float64").where(~np.isnan(out))
+
+    return F.pandas_udf(run, "double")(embedding)
+
+
+def best_of_block(queries: pd.DataFrame, chunks: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
+    """(query_id, chunk_id, similarity) of each query's k nearest chunks in a block, by one matrix product; ties go by chunk_id."""
+    found = np.round(_unit(list(queries["vector"])) @ _unit(list(chunks["embedding"])).T, 12) if len(queries) and len(chunks) else np.zeros((0, 0))
+    ids, out = chunks["chunk_id"].to_numpy(), []
+    for query, row in zip(queries["query_id"], found):
+        near = np.flatnonzero(row >= least)
+        if len(near) > k:
+            near = near[row[near] >= np.partition(row[near], len(near) - k)[len(near) - k]]
+        out += sorted(((query, ids[i], row[i]) for i in near), key=lambda x: (-x[2], x[1]))[:k]
+    return pd.DataFrame(out, columns=["query_id", "chunk_id", "similarity"])
+
+
 def blend(similarity: Column, rank: Column) -> Column:
     """The hybrid score of a similarity and a full-text rank."""
     return 0.7 * similarity + 0.3 * rank / (rank + 1)
@@ -31,29 +76,70 @@ def ts_rank(text: Column, terms: list[str]) -> Column:
     """Rank of a text for AND-ed terms by the distances of their positions, in words from 1, with weight 0.1.
 
     One term sums 1/j² over its occurrences; of several, every pair of positions of different
-    terms adds by noisy-or. Terms must be lower case; no stemming is done here.
+    terms adds by noisy-or. Pairs more than NEAR words apart would add some 1e-16 each and are
+    left out, so the work grows with the text. Terms must be lower case; ``question_rank`` stems.
     """
     words = tokens(text)
 
     def places(term: str) -> Column:
         return F.filter(F.transform(words, lambda x, i: F.when(x == term, i + 1)), lambda x: x.isNotNull())
 
-    def pairs(a: Column, b: Column) -> Column:
-        return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: weight(x, y))))
-
     at = [places(t) for t in dict.fromkeys(terms)]
     if not at:
         return F.lit(0.0)
     if len(at) == 1:
         return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(at[0]), F.lit(1))), F.lit(0.0), lambda acc, j: acc + F.when(j <= F.size(at[0]), 0.1 / (j * j)).otherwise(0.0)) / (math.pi**2 / 6)
 
-    def weight(x: Column, y: Column) -> Column:
-        d = F.abs(x - y)
-        near = F.sqrt(0.01 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
-        return F.when(d == 0, 0.0).when(d > 100, F.sqrt(F.lit(0.01 * 1e-30))).otherwise(near)
+    def near(x: Column, term: str) -> Column:
+        """What the places of a term within NEAR words of place x leave of 1."""
+        low = F.greatest(x - NEAR, F.lit(1))
+        around = F.slice(words, low, F.lit(2 * NEAR + 1))
+        left = F.transform(around, lambda w, i: F.when((w == term) & (F.abs(low + i - x) <= NEAR) & (low + i != x), 1 - F.sqrt(0.01 / (1.005 + 0.05 * F.exp(F.abs(low + i - x) / 1.5 - 2)))))
+        return F.aggregate(left, F.lit(1.0), lambda acc, v: acc * F.coalesce(v, F.lit(1.0)))
 
-    miss = F.lit(1.0)
+    def left_by(places: Column, term: str) -> Column:
+        return F.aggregate(places, F.lit(1.0), lambda acc, x: acc * near(x, term))
+
+    miss, other = F.lit(1.0), list(dict.fromkeys(terms))
     for i in range(len(at)):
         for j in range(i + 1, len(at)):
-            miss = miss * F.aggregate(pairs(at[i], at[j]), F.lit(1.0), lambda acc, w: acc * (1 - w))
+            miss = miss * left_by(at[i], other[j])
     return 1 - miss
+
+
+def stemmed(text: str | None) -> list[tuple[int, str]]:
+    """(place, stem) of the words that aren't stop words; places count all words, from 1."""
+    found = [x for w in WORD.findall((text or "").lower()) for x in ([w, *w.split("-")] if "-" in w else [w])]
+    return [(i, stem(w)) for i, w in enumerate(found, 1) if w not in STOP]
+
+
+def rank_of(text: str | None, stems: list[str]) -> float:
+    """``ts_rank`` of one text for stems: the same arithmetic, over the places of stems within NEAR words of each other."""
+    places: dict[str, list[int]] = {s: [] for s in stems}
+    for i, s in stemmed(text):
+        if s in places:
+            places[s].append(i)
+    if len(places) == 1:
+        return sum(0.1 / j**2 for j in range(1, len(next(iter(places.values()))) + 1)) / (math.pi**2 / 6)
+    held = [np.array(p[:MOST_PLACES], np.int64) for p in places.values()]
+    miss = 0.0
+    for i, a in enumerate(held):
+        for b in held[i + 1 :]:
+            low, high = np.searchsorted(b, a - NEAR), np.searchsorted(b, a + NEAR, "right")
+            for x, p, q in zip(a, low, high):
+                d = np.abs(b[p:q] - x)
+                miss += np.log1p(-np.sqrt(0.01 / (1.005 + 0.05 * np.exp(d[d > 0] / 1.5 - 2)))).sum()
+    return float(-np.expm1(miss))
+
+
+def question_rank(text: Column, question: str) -> Column:
+    """Rank of Portuguese texts for a question's words, without stop words and by stems; 0 where the question has none."""
+    stems = list(dict.fromkeys(s for _, s in stemmed(question)))
+    if not stems:
+        return F.lit(0.0)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([rank_of(t, stems) for t in texts], dtype="float64")
+
+    return F.pandas_udf(run, "double")(F.coalesce(text, F.lit("")))

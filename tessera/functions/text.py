@@ -118,8 +118,8 @@ def escape_xml(x: Column) -> Column:
 
 
 def strip_markdown(x: Column) -> Column:
-    """Links as their labels; emphasis, headings, list marks and quotes removed."""
-    for pattern, into in ((r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^[*-]\s+", ""), (r"[\"'`“”‘’]", ""), (r"\n{3,}", "\n\n")):
+    """Links as their labels; emphasis, headings, list marks, straight quotes and backticks removed."""
+    for pattern, into in ((r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"(?<!\*)\*([^*\n]+)\*(?!\*)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^[*-]\s+", ""), (r"[\"'`]", ""), (r"\n{3,}", "\n\n")):
         x = F.regexp_replace(x, pattern, into)
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 

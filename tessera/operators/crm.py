@@ -66,6 +66,21 @@ def qualify(leads: DataFrame, pipeline: DataFrame, least: int = 80) -> tuple[Dat
 STAGES = ["new", "qualifying", "qualified", "call", "proposal", "converted", "discarded"]
 
 
+def grid(cities: DataFrame, large: Column, step: float) -> DataFrame:
+    """Cities (lat, lng) with steps x and y: nine points around a large one, else its own."""
+    steps = F.when(large, F.sequence(F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(0)))
+    cells = cities.withColumn("x", F.explode(steps)).withColumn("y", F.explode(steps))
+    return cells.withColumn("lat", F.col("lat") + F.col("x") * step).withColumn("lng", F.col("lng") + F.col("y") * step)
+
+
+def openings(rows: DataFrame, group_id: str, municipio: str, year: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """Openings, closures and their balance of rows (group_id, municipio, kind, year) in a city, whatever its case; in one row or by columns, of one year or all."""
+    held = rows.where((F.col("group_id") == group_id) & (F.lower("municipio") == municipio.lower()))
+    held = held if year is None else held.where(F.col("year") == year)
+    opened, closed = F.count_if(F.col("kind") == "abertura"), F.count_if(F.col("kind") == "fechamento")
+    return held.groupBy(*(by or [])).agg(opened.alias("aberturas"), closed.alias("fechamentos"), (opened - closed).alias("saldo"))
+
+
 def newest_first(rows: DataFrame, column: str, key: str, n: int | None = None) -> DataFrame:
     """By a column descending with nulls first, as PostgreSQL lists; ties by key; all rows, or the first n."""
     listed = rows.orderBy(F.col(column).desc_nulls_first(), key)

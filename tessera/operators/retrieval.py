@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.ranking import blend, cosine, ts_rank
+from tessera.functions.ranking import best_of_block, blend, nearness, question_rank, ts_rank
 from tessera.functions.text import fold, none_if_blank
 
 DEFAULT_K, MOST_K = 15, 50
@@ -39,12 +39,13 @@ def in_city(name: str, mode: str = "strict") -> Column:
     return F.contains(city, wanted) | ((city != "") & F.contains(wanted, city)) | F.exists(related, lambda m: F.contains(F.lower(m), wanted))
 
 
-def match_chunks(chunks: DataFrame, query: list[float], group_id=None, tenant_id: str | None = None, modalidade: str | None = None, bairro: str | None = None, plano_rank: int | None = None, municipio: str | None = None, k: int | None = DEFAULT_K, min_similarity: float | None = 0.6, terms: list[str] | None = None, municipio_mode: str = "strict") -> DataFrame:
+def match_chunks(chunks: DataFrame, query: list[float], group_id=None, tenant_id: str | None = None, modalidade: str | None = None, bairro: str | None = None, plano_rank: int | None = None, municipio: str | None = None, k: int | None = DEFAULT_K, min_similarity: float | None = 0.6, terms: list[str] | None = None, municipio_mode: str = "strict", question: str | None = None) -> DataFrame:
     """The k chunks nearest to a vector among those that pass all filters, with similarity and score.
 
     Cheap predicates come before the cosine; min_similarity bounds the similarity, not the
     score; blank filters are none; a null min_similarity gives no rows. Without terms the
-    score is the similarity, with an empty list 0.7 of it. Ties go by chunk_id.
+    score is the similarity, with an empty list 0.7 of it. A question instead of terms is stemmed.
+    Ties go by chunk_id.
     """
     blank = lambda x: None if x is None or not x.strip() else x.strip()
     out = chunks.where(F.col("embedding").isNotNull() & visible_to(tenant_id))
@@ -58,18 +59,45 @@ def match_chunks(chunks: DataFrame, query: list[float], group_id=None, tenant_id
         out = out.where(F.coalesce("plano_minimo_rank", F.lit(99)) <= plano_rank)
     if blank(municipio):
         out = out.where(in_city(blank(municipio), municipio_mode))
-    vector = F.array(*[F.lit(float(x)) for x in query])
-    out = out.withColumn("similarity", cosine(F.col("embedding"), vector)).where(F.col("similarity") >= F.lit(min_similarity).cast("double"))
-    score = F.col("similarity") if terms is None else blend(F.col("similarity"), ts_rank(F.col("text"), terms))
+    out = out.withColumn("similarity", nearness(F.col("embedding"), [float(x) for x in query])).where(F.col("similarity") >= F.lit(min_similarity).cast("double"))
+    if blank(question):
+        score = blend(F.col("similarity"), question_rank(F.col("text"), blank(question)))
+    else:
+        score = F.col("similarity") if terms is None else blend(F.col("similarity"), ts_rank(F.col("text"), terms))
     return out.withColumn("score", score).orderBy(F.desc("score"), F.desc("similarity"), "chunk_id").limit(clamp_k(k))
 
 
-def batch_match(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_similarity: float = 0.0) -> DataFrame:
-    """Top-k for a stated set of queries (query_id, vector, group_id): queries meet the chunks of their group only."""
-    pairs = chunks.where("embedding is not null").join(queries.withColumnRenamed("group_id", "query_group"), F.col("group_id") == F.col("query_group"))
-    scored = pairs.withColumn("similarity", cosine(F.col("embedding"), F.col("vector"))).where(F.col("similarity") >= min_similarity)
+def batch_match(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_similarity: float = 0.0, block: int = 4096) -> DataFrame:
+    """Top-k for a stated set of queries (query_id, vector, group_id): queries meet the chunks of their group only.
+
+    A group's chunks and queries are dealt into blocks of about ``block`` rows by a hash; each pair
+    of blocks is scored by one matrix product and gives k hits a query, of which the best k are
+    then taken. Only hits meet the other columns again. chunk_id and query_id are unique.
+    """
+    k = clamp_k(k)
+
+    def dealt(side: str, rows: DataFrame, other: DataFrame, vector: str, ids: str, mine: str, theirs: str) -> DataFrame:
+        """Rows with the number of their own block, once for each block of the other side."""
+        size = lambda df, name: df.groupBy("group_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block))).cast("int").alias(name))
+        held = rows.where(F.col(vector).isNotNull() & F.col("group_id").isNotNull()).select("group_id", F.col(ids), F.col(vector), F.size(vector).alias("width"))
+        counted = held.join(size(rows, "own"), "group_id").join(size(other, "others"), "group_id")
+        blocks = counted.select(F.col("group_id").alias(f"{side}_group"), F.col("width").alias(f"{side}_width"), ids, vector, F.pmod(F.xxhash64(ids), F.col("own")).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("theirs"))
+        return blocks.withColumnsRenamed({"mine": f"{side}_{mine}", "theirs": f"{side}_{theirs}"})
+
+    left = dealt("query", queries, chunks, "vector", "query_id", "q", "c")
+    right = dealt("chunk", chunks, queries, "embedding", "chunk_id", "c", "q")
+    keys = lambda side: [f"{side}_{x}" for x in ("group", "width", "q", "c")]
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, similarity double"
+    best = left.groupBy(*keys("query")).cogroup(right.groupBy(*keys("chunk"))).applyInPandas(lambda a, b: best_of_block(a, b, k, min_similarity), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= clamp_k(k))
+    hits = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return hits.join(chunks, "chunk_id").join(queries.withColumnRenamed("group_id", "query_group"), "query_id")
+
+
+def rerank(hits: DataFrame, boosted: Column) -> DataFrame:
+    """Hits of a batch ranked anew by similarity with the boost of those for which a condition holds, then by similarity and chunk_id."""
+    score = F.col("similarity") + F.when(boosted, BOOST).otherwise(0.0)
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(score.desc(), F.desc("similarity"), "chunk_id")))
 
 
 def boost_city(hits: DataFrame, municipio: str | None) -> DataFrame:

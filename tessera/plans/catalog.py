@@ -130,7 +130,7 @@ _MARKED = "'## ' || lang || chr(10) || '- **' || source || '** [' || lang || '](
 
 
 @query(rf"""WITH m AS (SELECT doc_id, {_MARKED} AS x FROM documents)
-SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*\n]+)\*', '\1', 'g'), '(?m)^#{{1,6}}\s+', '', 'g'), '(?m)^[*-]\s+', '', 'g'), '["''`“”‘’]', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS plain FROM m""")
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '(^|[^*])\*([^*\n]+)\*([^*]|$)', '\1\2\3', 'g'), '(^|[^*])\*([^*\n]+)\*([^*]|$)', '\1\2\3', 'g'), '(?m)^#{{1,6}}\s+', '', 'g'), '(?m)^[*-]\s+', '', 'g'), '["''`]', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS plain FROM m""")
 def markdown_stripped(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.strip_markdown(F.expr(_MARKED.replace("chr(10)", "char(10)"))), 256).alias("plain"))
 
@@ -201,12 +201,6 @@ def calendar_buckets(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("entries"))
 
 
-@query("SELECT count(*) FILTER (o_orderstatus = 'O') AS aberturas, count(*) FILTER (o_orderstatus = 'F') AS fechamentos, count(*) FILTER (o_orderstatus = 'O') - count(*) FILTER (o_orderstatus = 'F') AS saldo FROM orders WHERE year(o_orderdate) = 1995")
-def openings_summary(spark, sf_dir):
-    opened, closed = F.count_if(F.col("o_orderstatus") == "O"), F.count_if(F.col("o_orderstatus") == "F")
-    return table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1995).agg(opened.alias("aberturas"), closed.alias("fechamentos"), (opened - closed).alias("saldo"))
-
-
 @query("SELECT p_partkey, coalesce(CASE WHEN p_partkey % 5 = 0 THEN p_retailprice END, CASE p_size % 4 WHEN 0 THEN 49.9 WHEN 1 THEN 99.9 WHEN 2 THEN 149.9 END::DOUBLE) AS price FROM part")
 def plan_prices(spark, sf_dir):
     plan = F.concat(F.lit("TP "), (F.col("p_size") % 4).cast("string"))

@@ -81,20 +81,13 @@ def batch_match(spark, sf_dir):
     return _batch(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-def _reranked(hits):
-    from pyspark.sql import Window
-
-    score = F.col("similarity") + F.when(F.col("cidade") == F.col("wanted"), retrieval.BOOST).otherwise(0.0)
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(score.desc(), F.desc("similarity"), "chunk_id")))
-
-
 @query(BATCH_SQL + """, b AS (SELECT query_id, coalesce(min(rank) FILTER (cidade = wanted), 99) AS f FROM base WHERE rank <= 5 GROUP BY 1),
 o AS (SELECT query_id, coalesce(min(rank) FILTER (cidade = wanted), 99) AS f FROM boosted WHERE rank <= 5 GROUP BY 1)
 SELECT count(*) FILTER (o.f < b.f) AS improved, count(*) FILTER (o.f > b.f) AS worsened, count(*) FILTER (o.f = b.f) AS unchanged FROM b JOIN o USING (query_id)""")
 def boost_ab(spark, sf_dir):
     hits = _batch(spark, sf_dir)
     relevant = F.col("cidade") == F.col("wanted")
-    return evaluation.paired(evaluation.per_query(hits, relevant), evaluation.per_query(_reranked(hits), relevant))
+    return evaluation.paired(evaluation.per_query(hits, relevant), evaluation.per_query(retrieval.rerank(hits, relevant), relevant))
 
 
 @query(BATCH_SQL + """, m AS (SELECT query_id, avg((cidade = wanted)::INT::DOUBLE) AS p, min(rank) FILTER (cidade = wanted) AS f FROM base WHERE rank <= 5 GROUP BY 1)
@@ -300,12 +293,23 @@ def doc_counts_top8(spark, sf_dir):
 
 @query("SELECT n_name, x, y, n_nationkey + x * 0.1::DOUBLE AS lat, n_regionkey + y * 0.1::DOUBLE AS lng FROM nation, (SELECT unnest([-1, 0, 1]) AS x), (SELECT unnest([-1, 0, 1]) AS y) WHERE n_nationkey % 4 = 0 OR (x = 0 AND y = 0)")
 def grid_expand(spark, sf_dir):
-    steps = F.when(F.col("n_nationkey") % 4 == 0, F.sequence(F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(0)))
-    cells = table(spark, sf_dir, "nation").withColumn("x", F.explode(steps)).withColumn("y", F.explode(steps))
-    return cells.select("n_name", "x", "y", (F.col("n_nationkey") + F.col("x") * 0.1).alias("lat"), (F.col("n_regionkey") + F.col("y") * 0.1).alias("lng"))
+    cities = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("double").alias("lat"), F.col("n_regionkey").cast("double").alias("lng"), "n_nationkey")
+    return crm.grid(cities, F.col("n_nationkey") % 4 == 0, 0.1).select("n_name", "x", "y", "lat", "lng")
+
+
+_OPENINGS = "count(*) FILTER (o_orderstatus = 'O') AS aberturas, count(*) FILTER (o_orderstatus = 'F') AS fechamentos, count(*) FILTER (o_orderstatus = 'O') - count(*) FILTER (o_orderstatus = 'F') AS saldo"
 
 
-@query("SELECT o_orderpriority AS bairro, count(*) FILTER (o_orderstatus = 'O') AS aberturas, count(*) FILTER (o_orderstatus = 'F') AS fechamentos, count(*) FILTER (o_orderstatus = 'O') - count(*) FILTER (o_orderstatus = 'F') AS saldo FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1")
+def _openings(spark, sf_dir):
+    kind = F.when(F.col("o_orderstatus") == "O", "abertura").when(F.col("o_orderstatus") == "F", "fechamento")
+    return table(spark, sf_dir, "orders").select(F.lit("g").alias("group_id"), F.lit("X").alias("municipio"), F.col("o_orderpriority").alias("bairro"), kind.alias("kind"), F.year("o_orderdate").alias("year"))
+
+
+@query(f"SELECT year(o_orderdate)::INT AS year, o_orderpriority AS bairro, {_OPENINGS} FROM orders GROUP BY 1, 2")
 def agg_by_neighborhood(spark, sf_dir):
-    opened, closed = F.count_if(F.col("o_orderstatus") == "O"), F.count_if(F.col("o_orderstatus") == "F")
-    return table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1995).groupBy(F.col("o_orderpriority").alias("bairro")).agg(opened.alias("aberturas"), closed.alias("fechamentos"), (opened - closed).alias("saldo"))
+    return crm.openings(_openings(spark, sf_dir), "g", "x", by=["year", "bairro"])
+
+
+@query(f"SELECT {_OPENINGS} FROM orders")
+def openings_summary(spark, sf_dir):
+    return crm.openings(_openings(spark, sf_dir), "g", "X")

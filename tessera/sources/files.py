@@ -8,10 +8,20 @@ from pyspark.sql import types as T
 
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Elements of JSON files that are an array or hold one under ``data``; schema is an element's DDL."""
-    texts = spark.read.text(path, wholetext=True)
-    rows = F.coalesce(F.from_json("value", f"data array<struct<{schema}>>")["data"], F.from_json("value", f"array<struct<{schema}>>"))
-    return texts.select(F.explode(rows).alias("row")).select("row.*")
+    """Elements of JSON files that are an array or hold one under ``data``; schema is an element's DDL, without a field of that name.
+
+    The elements of an array are parsed one after the other, however large the file is. Files that don't parse have none.
+    """
+    fields = [f.name for f in T.StructType.fromDDL(schema).fields]
+    found = spark.read.schema(f"data array<struct<{schema}>>, {schema}, _corrupt string").json(path, multiLine=True, columnNameOfCorruptRecord="_corrupt").where("_corrupt is null")
+    return found.select(F.explode(F.coalesce("data", F.array(F.struct(*fields)))).alias("row")).select("row.*")
+
+
+def seeds(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The records of those files that exist; none at all is an error."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    held = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return merged([json_records(spark, p, schema) for p, at in zip(paths, held) if at.getFileSystem(hadoop).exists(at)])
 
 
 def json_folder(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +50,14 @@ def merged(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def exactly_one(rows: DataFrame) -> DataFrame:
+    """The row of a look-up that has to find one; none, or more than one, is an error."""
+    n = rows.limit(2).count()
+    if n != 1:
+        raise LookupError("no row" if not n else "more than one row")
+    return rows
+
+
 def at_most_one(rows: DataFrame) -> DataFrame:
     """The rows of a point lookup; more than one is an error."""
     if rows.limit(2).count() > 1:

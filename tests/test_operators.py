@@ -2,13 +2,16 @@
 
 import datetime as dt
 import json
+import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.functions.query_filters import extract_filters
-from tessera.functions.ranking import cosine, ts_rank
+from tessera.functions.ranking import blend, cosine, question_rank, ts_rank
+from tessera.functions.stems import stem
 from tessera.operators import crm, knowledge, retrieval, store
 from tessera.sources import files
 from tessera.streaming import inbound
@@ -53,6 +56,39 @@ def test_hybrid_scores(chunks):
     assert retrieval.match_chunks(chunks, [1.0, 0.0], min_similarity=0.65, terms=[]).first()["score"] == pytest.approx(0.7)
 
 
+def test_stems():
+    words = {"boa": "boa", "boainain": "boainain", "boas": "boas", "boataria": "boat", "boate": "boat", "boatos": "boat", "bobagem": "bobag", "bobagens": "bobagens", "bobalhões": "bobalhõ", "quiosque": "quiosqu", "quis": "quis", "quita": "quit", "quintuplicou": "quintuplic", "quinzena": "quinzen", "quiser": "quis", "quisesse": "quis", "quilométricas": "quilométr", "academia": "academ", "musculação": "muscul", "quantos": "quant", "rapidamente": "rapid", "": "", "é": "é"}
+    assert {w: stem(w) for w in words} == words
+
+
+#: Questions, texts, similarities and scores without the boost of the city, as they were measured.
+GOLDEN = [
+    ("Academia de musculação em Arujá no GuruPass a partir de quantos créditos?", 0.827855457535713, 0.689928114374168, "Academia: Sonner Fit\nCidade: Arujá / SP\nBairro: Centro\nEndereço: Avenida João Manoel, 1070, Centro - Arujá\nModalidade: musculacao\nPlano de entrada: GuruPass Créditos a partir de 30 créditos"),
+    ("Academia de boxe em Osasco que aceita GuruPass", 0.824931523212013, 0.6315840187666049, "Academia: Luisinho Jiu-jitsu\nCidade: Osasco / SP\nBairro: Bussocaba\nEndereço: Avenida Valter Boveri, 555\nModalidade: boxe\nPlano de entrada: GuruPass Créditos a partir de 50 créditos"),
+    ("Jiu-jitsu em Guarulhos no GuruPass quantos créditos?", 0.899868407857272, 0.735455181046315, "Academia: Studio Humaitá\nCidade: Guarulhos / SP\nBairro: Vila Galvão\nEndereço: Avenida Pedro de Souza Lopes, 546\nModalidade: jiu_jitsu\nPlano de entrada: GuruPass Créditos a partir de 34 créditos"),
+    ("Musculação em Curitiba via GuruPass Studio Happiness", 0.821458732442301, 0.6390388610133119, "Academia: Academia Studio Happiness Centro\nCidade: Curitiba / PR\nBairro: Centro\nEndereço: Rua Pedro Ivo, n.548 e n.550\nModalidade: pilates\nPlano de entrada: GuruPass Créditos a partir de 24 créditos"),
+    ("Yoga em Campinas no GuruPass", 0.851006525634966, 0.6494637701621559, "Academia: Sol e Lua Espaço Yoga\nCidade: Campinas / SP\nBairro: Jardim Nova Europa\nEndereço: Rua Nicarágua, 590\nModalidade: yoga\nPlano de entrada: GuruPass Créditos a partir de 90 créditos"),
+    ("Pilates em Niterói com GuruPass", 0.86372773077539, 0.682811815207086, "Academia: Ativa Pilates\nCidade: Niterói / RJ\nBairro: Icaraí\nEndereço: Rua Doutor Tavares de Macedo, Icaraí - Niterói\nModalidade: pilates\nPlano de entrada: GuruPass Créditos a partir de 105 créditos"),
+]
+
+
+def test_question_rank_as_measured(spark):
+    for question, similarity, score, said in GOLDEN:
+        assert one(spark, blend(F.lit(similarity), question_rank(F.lit(said), question))) == pytest.approx(score, abs=1e-6)
+    assert one(spark, question_rank(F.lit("de a o"), "de a o")) == 0 and one(spark, question_rank(F.lit(None).cast("string"), "academia boa")) == 0
+
+
+def test_ranks_of_many_places(spark):
+    said = ("one two three " * 4000).strip()
+    began = time.time()
+    got = one(spark, ts_rank(F.lit(said), ["one", "two"]))
+    assert got == pytest.approx(1.0) and time.time() - began < 60
+    short = "one " + "x " * 30 + "two " + "y " * 99 + "one " + "z " * 101 + "two"
+    every = [(abs(a - b)) for a in (1, 132) for b in (32, 234)]
+    want = 1 - math.prod(1 - math.sqrt(0.01 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))) for d in every if d <= 100)
+    assert one(spark, ts_rank(F.lit(short), ["one", "two"])) == pytest.approx(want, abs=1e-12)
+
+
 def test_ts_rank_one_term(spark):
     assert one(spark, ts_rank(F.lit("a b a"), ["a"])) == pytest.approx(0.1 * 1.25 / 1.64493, abs=1e-5)
     assert one(spark, ts_rank(F.lit("b"), ["a"])) == 0
@@ -245,6 +281,24 @@ def test_first_integer_of_many_digits(spark):
     assert one(spark, text.brl(F.lit(-1234567.5))) == "-R$\u00a01.234.567,50" and one(spark, text.brl(F.lit(None).cast("double"))) is None
 
 
+def test_json_records_and_seeds(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": 1, "n": "x"},\n {"id": 2}]')
+    (tmp_path / "b.json").write_text('{"data": [{"id": 3, "n": "y"}], "more": 1}')
+    (tmp_path / "c.json").write_text('[{"id": 4}, {broken')
+    read = lambda *names: files.seeds(spark, [str(tmp_path / x) for x in names], "id int, n string")
+    assert sorted(map(tuple, read("a.json", "none.json", "b.json").collect())) == [(1, "x"), (2, None), (3, "y")]
+    assert files.exactly_one(read("b.json")).first()["id"] == 3
+    with pytest.raises(LookupError):
+        files.exactly_one(read("a.json"))
+    with pytest.raises(ValueError):
+        read("none.json")
+
+
+def test_markdown_of_stars(spark):
+    for said, plain in (("**a*b**", "**a*b**"), ("2 ** 3 * 4 ** 5", "2 ** 3 * 4 ** 5"), ("*a* *b* **c**", "a b c"), ("“a” 'b'", "“a” b")):
+        assert one(spark, text.strip_markdown(F.lit(said))) == plain
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"cidade": "X", "uf": "SP"}')
     (tmp_path / "b.json").write_text('{"cidade": ""}')
