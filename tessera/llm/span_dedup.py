@@ -5,8 +5,8 @@ where ``WINDOW`` words in a row have no such end, after the one of them with the
 sentences have at most ``WINDOW`` words, and where they end hangs on the words around alone.
 A second cut does the same line by line, so that short lines align in whatever text they stand.
 From every sentence of either cut on, the shortest run of at least ``LEAST_SENTENCES`` sentences
-and ``LEAST_WORDS`` words is hashed; so is the shortest such run that ends the text, and a text
-too short for one as a whole. Runs are joined over all documents; every word in a run that is
+and ``LEAST_WORDS`` words is hashed; so is the shortest such run that ends the text. A text too
+short for one has none and stays as it is, whether others say the same or not. Runs are joined over all documents; every word in a run that is
 repeated elsewhere goes, except in the run's first place by (doc_id, word). Case and white space
 don't matter.
 
@@ -102,8 +102,8 @@ def runs(hashes: np.ndarray, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.nda
         starts = at[last < len(at)]
         found.append(starts << 20 | at[last[last < len(at)]] - starts)
         tail = min(np.searchsorted(at, size - LEAST_WORDS, "right") - 1, len(at) - 1 - LEAST_SENTENCES)
-        start = at[max(tail, 0)]
-        found.append(np.array([start << 20 | size - start]))
+        if tail >= 0:
+            found.append(np.array([at[tail] << 20 | size - at[tail]]))
     places = np.unique(np.concatenate(found))
     a, n = places >> 20, places & 0xFFFFF
     up, down = powers(1 << max(10, (size - 1).bit_length()))
