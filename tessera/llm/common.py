@@ -19,6 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
@@ -35,7 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    # What was shuffled on the way to the checkpoint isn't read again, so its files needn't wait for the driver's memory to fill up.
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
 
 
 def free_name(df: DataFrame, name: str) -> str:
