@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, html_text, jaccard_join, media, mixing, quality, secrets, span_dedup, token_count, toxicity
+from tessera.llm import decontamination, filter_audit, html_text, jaccard_join, media, mixing, quality, secrets, span_dedup, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_media": media.op9_media,
         "op10_secrets": secrets.op10_secrets,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_jaccard_join": jaccard_join.ORACLE_SQL,
         "op3_mixing": mixing.ORACLE_SQL,
         "op7_decontamination": decontamination.ORACLE_SQL,
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
     }
