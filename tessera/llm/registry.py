@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, filter_audit, html_text, jaccard_join, media, mixing, quality, secrets, span_dedup, token_count, toxicity
+from tessera.llm import decontamination, filter_audit, hard_negatives, html_text, jaccard_join, media, mixing, nearest, quality, secrets, span_dedup, token_count, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_media": media.op9_media,
         "op10_secrets": secrets.op10_secrets,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_nearest": nearest.op12_nearest,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
@@ -31,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.ORACLE_SQL,
         "op7_decontamination": decontamination.ORACLE_SQL,
         "op11_filter_audit": filter_audit.ORACLE_SQL,
+        "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     }
