@@ -195,9 +195,9 @@ WITH w AS (
 s AS (
   SELECT a.id AS anchor_id, a.label AS own, r.id, r.label, list_inner_product(a.v, r.v)::BIGINT AS score
   FROM w a JOIN w r ON a.id <> r.id AND len(a.v) = len(r.v) WHERE a.id % 50 = 0),
-p AS (SELECT anchor_id, own, id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+p AS (SELECT anchor_id, own, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE label = own QUALIFY place <= 5),
 n AS (
-  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, place ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
   FROM p JOIN s USING (anchor_id) WHERE s.label <> p.own AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score)
 SELECT * FROM n WHERE rank <= 3
 """
