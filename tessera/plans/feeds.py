@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.registered import query
 from tessera.session import shared_folder, table
-from tessera.streaming import changes
+from tessera.streaming import changes, keyed
 
 MESSAGE = "message_id long, thread long, turn long, role string, text string"
 
@@ -56,3 +56,18 @@ def refreshed_threads(spark, sf_dir):
     for _ in range(2):
         sink(events, 1)
     return sink.lists(spark, 1)
+
+
+@query("""WITH m AS (SELECT conv_id::VARCHAR AS conversation, 60 * (turn * 7 % 5) + turn AS told, conv_id || '-' || turn AS id, substr(role || ': ' || coalesce(text, ''), 1, 200) AS preview FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL)
+SELECT conversation, max(told) AS last_at, arg_max(preview, (told, id)) AS preview, count(*) AS unread FROM m GROUP BY conversation""")
+def streamed_conversations(spark, sf_dir):
+    """conversations as messages that come out of order, in two deliveries and some in both, kept by key; the stream is run anew for the second."""
+    folder, turn = shared_folder(spark, "conversations"), F.col("turn")
+    messages = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null and role is not null").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string")).alias("provider_id"), F.col("conv_id").cast("string").alias("conversation"),
+        F.timestamp_seconds(60 * (turn * 7 % 5) + turn).alias("ts"), F.substring(F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))), 1, 200).alias("preview"),
+    )
+    for delivered in ("crc32(provider_id) % 3 <= 1", "crc32(provider_id) % 3 >= 1"):
+        messages.where(delivered).write.mode("append").parquet(f"{folder}/in")
+        keyed.start(spark.readStream.schema(keyed.MESSAGE).parquet(f"{folder}/in"), f"{folder}/state").awaitTermination()
+    return keyed.states(spark, f"{folder}/state").select("conversation", F.unix_seconds("last_at").alias("last_at"), "preview", "unread")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import millis, preview
+from tessera.streaming import keyed
 
 #: What an envelope, an item and a message without wrappers are read for; nested JSON stays text.
 ENVELOPE = "event string, type string, data string, key string, message string, messages string"
@@ -84,29 +85,12 @@ def once(messages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     return kept.unionByName(messages.where("provider_id is null"))
 
 
-#: Columns of a state as it is kept.
-STATE = "conversation string, last_at timestamp, last_id string, preview string, unread long"
-
-
-def _states(messages: DataFrame) -> DataFrame:
-    """Sums and maxima only, so hot conversations combine before the shuffle."""
-    last = F.max(F.struct("ts", F.coalesce("provider_id", F.lit("")).alias("id"), "preview")).alias("last")
-    held = messages.groupBy(F.col("conversation").cast("string").alias("conversation")).agg(last, F.count(F.lit(1)).alias("unread"))
-    return held.select("conversation", F.col("last.ts").cast("timestamp").alias("last_at"), F.col("last.id").alias("last_id"), "last.preview", "unread")
-
-
 def conversation_state(messages: DataFrame) -> DataFrame:
     """(conversation, last_at, preview, unread): the last message by time, then provider id, and how many there are."""
     last = F.max(F.struct("ts", F.coalesce("provider_id", F.lit("")).alias("id"), "preview")).alias("last")
     return messages.groupBy("conversation").agg(last, F.count(F.lit(1)).alias("unread")).select("conversation", F.col("last.ts").alias("last_at"), "last.preview", "unread")
 
 
-def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
-    """States of two batches as one: the later message by time, then id, and unread added up."""
-    last = F.max(F.struct("last_at", "last_id", "preview")).alias("last")
-    return old.unionByName(new).groupBy("conversation").agg(last, F.sum("unread").alias("unread")).select("conversation", "last.last_at", "last.last_id", "last.preview", "unread")
-
-
 def messages_of(payloads: DataFrame, column: str = "payload", ts: str = "ts") -> DataFrame:
     """Accepted messages (provider_id, conversation, ts, preview) of payloads with their time of arrival."""
     found = accepted(unpack(payloads.select(column, F.col(ts).alias("arrived")), column, "arrived"))
@@ -162,81 +146,6 @@ def auto_replies(messages: DataFrame, enabled: bool) -> DataFrame:
     return messages.where(F.lit(enabled) & (F.coalesce(F.trim("text"), F.lit("")) != ""))
 
 
-class InboundSink:
-    """foreachBatch writer that keeps conversation states and seen provider ids under a shared path.
-
-    Both are dealt into buckets by a hash of their key, and a batch reads and rewrites only the
-    buckets that it touches: states whole, seen ids as a further file that is merged with the
-    others when there are ``files`` of them. A manifest of one row a bucket names the batches that
-    hold its files. A batch that runs again after a failure starts from the manifest before it and
-    overwrites its own folders, so every batch counts once; folders that neither the last manifest
-    nor the one before it names are deleted.
-    """
-
-    def __init__(self, path: str, buckets: int = 64, files: int = 16):
-        self.path, self.buckets, self.files = path, buckets, files
-
-    def _manifest(self, spark, number: int) -> tuple[dict[int, int], dict[int, list[int]]]:
-        """By bucket the batch of its state and the batches of its seen ids: at most ``buckets`` rows."""
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{number}/_SUCCESS")
-        if number < 0 or not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return {}, {}
-        rows = spark.read.schema("bucket int, state long, seen array<long>").json(f"{self.path}/manifest/{number}").collect()
-        return {r["bucket"]: r["state"] for r in rows if r["state"] is not None}, {r["bucket"]: list(r["seen"]) for r in rows if r["seen"]}
-
-    def _read(self, spark, kind: str, at: list[tuple[int, int]], schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{number}/bucket={bucket}" for bucket, number in at]
-        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int").alias("bucket")
-        states, seens = self._manifest(spark, number - 1)
-        batch = batch.persist()
-        try:
-            touched = lambda rows, c: {r["bucket"] for r in rows.select(bucket(c)).distinct().collect()}
-            ids = touched(batch.where("provider_id is not null"), "provider_id")
-            seen = self._read(spark, "seen", [(b, n) for b in ids for n in seens.get(b, [])], "provider_id string")
-            fresh = once(batch, seen).persist()
-            merged = [b for b in ids if len(seens.get(b, [])) >= self.files]
-            old = self._read(spark, "seen", [(b, n) for b in merged for n in seens[b]], "provider_id string")
-            fresh.where("provider_id is not null").select("provider_id").unionByName(old).select("provider_id", bucket("provider_id")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/seen/{number}")
-            held = touched(fresh.where("provider_id is not null"), "provider_id") | set(merged)
-            talked = touched(fresh, "conversation")
-            before = self._read(spark, "state", [(b, states[b]) for b in talked if b in states], STATE)
-            merge_state(before, _states(fresh)).select("*", bucket("conversation")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/{number}")
-            fresh.unpersist()
-        finally:
-            batch.unpersist()
-        last = ({**states}, {**seens})
-        states |= {b: number for b in talked}
-        seens |= {b: [number] if b in merged else [*seens.get(b, []), number] for b in held}
-        rows = [(b, states.get(b), seens.get(b, [])) for b in sorted({*states, *seens})]
-        spark.createDataFrame(rows, "bucket int, state long, seen array<long>").coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{number}")
-        self._clear(spark, number, [last, (states, seens)])
-
-    def _clear(self, spark, number: int, manifests) -> None:
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        used = {"state": {n for states, _ in manifests for n in states.values()}, "seen": {n for _, seens in manifests for ns in seens.values() for n in ns}, "manifest": {number - 1}}
-        for kind, kept in used.items():
-            folder = fs_path(f"{self.path}/{kind}")
-            fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            for found in fs.listStatus(folder) if fs.exists(folder) else []:
-                name = found.getPath().getName()
-                if name.isdigit() and int(name) < number and int(name) not in kept:
-                    fs.delete(found.getPath(), True)
-
-    def state(self, spark, number: int) -> DataFrame:
-        """(conversation, last_at, preview, unread) after a batch."""
-        states, _ = self._manifest(spark, number)
-        return self._read(spark, "state", sorted(states.items()), STATE).select("conversation", "last_at", "preview", "unread")
-
-
-def start(messages: DataFrame, path: str, checkpoint: str, sink: InboundSink | None = None):
-    """Run a streaming DataFrame (provider_id, conversation, ts, preview) into an InboundSink until it has no more input."""
-    return messages.writeStream.foreachBatch(sink or InboundSink(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def start_payloads(payloads: DataFrame, path: str, checkpoint: str):
-    """The same for a stream of webhook payloads (payload, ts)."""
-    return start(messages_of(payloads), path, checkpoint)
+def start_payloads(payloads: DataFrame, checkpoint: str, into: str | None = None):
+    """Run a stream of webhook payloads (payload, ts) into the keyed states of their conversations, until it has no more input."""
+    return keyed.start(messages_of(payloads), checkpoint, into)

@@ -1,11 +1,13 @@
 """Change feeds, refreshed lists and keyed streaming state on small fixtures."""
 
+import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.streaming import changes
+from tessera.streaming import changes, inbound, keyed
 from tessera.streaming.buckets import Buckets
 
 ROW = "id long, list string, at int, text string"
@@ -113,3 +115,73 @@ def test_buckets_open_only_what_they_must(spark, tmp_path):
     assert {f.split("bucket=")[1].split("/")[0] for f in store.read(spark, first, {only}).inputFiles()} == {str(only)}
     after = store.write(some.limit(0), 1, first, {only})
     assert "k7" not in {r["k"] for r in store.read(spark, after).collect()} and store.read(spark, {}).count() == 0
+
+
+SENT = "provider_id string, conversation string, ts timestamp, preview string"
+
+
+def sent_rows(n):
+    """Out of order, repeated and without ids; one conversation has a third of all."""
+    r = random.Random(9)
+    rows = []
+    for i in range(n):
+        c = "hot" if i % 3 == 0 else f"c{i % 11}"
+        rows.append((f"{c}-{i}" if i % 9 else None, c, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=r.randrange(60)), f"p{i}"))
+    rows += [x for x in rows[: n // 3] if x[0] is not None]
+    r.shuffle(rows)
+    return rows
+
+
+def put(spark, rows, folder, files):
+    for k in range(files):
+        spark.createDataFrame(rows[k::files], SENT).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def stream(spark, folder):
+    return spark.readStream.schema(SENT).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def kept(df):
+    return rows_of(df, "conversation", "last_at", "preview", "unread")
+
+
+def test_keyed_state_equals_batch_and_restarts(spark, tmp_path):
+    rows = sent_rows(180)
+    want = kept(inbound.conversation_state(inbound.once(spark.createDataFrame(rows, SENT))))
+    put(spark, rows[:120], tmp_path / "in", 2)
+    keyed.start(stream(spark, tmp_path / "in"), str(tmp_path / "check")).awaitTermination(240)
+    half = kept(inbound.conversation_state(inbound.once(spark.createDataFrame(rows[:120], SENT))))
+    assert kept(keyed.states(spark, str(tmp_path / "check"))) == half != want
+    # More input after a restart, then a run without any.
+    put(spark, [*rows[120:], (None, None, dt.datetime(2024, 1, 1), "no conversation"), ("x", "c1", None, "no time")], tmp_path / "in", 1)
+    for _ in range(2):
+        keyed.start(stream(spark, tmp_path / "in"), str(tmp_path / "check"), str(tmp_path / "out")).awaitTermination(240)
+        assert kept(keyed.states(spark, str(tmp_path / "check"))) == want
+    assert kept(keyed.states(spark, str(tmp_path / "check"), 1)) == half
+    # A batch tells of the conversations it has messages of.
+    told = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["batch"] for r in told.collect()} == {2} and {r["conversation"] for r in told.collect()} == {r[1] for r in rows[120:]}
+    assert rows_of(keyed.seen(spark, str(tmp_path / "check"))) == sorted({(c, i) for i, c, *_ in rows if i is not None})
+
+
+def test_ids_are_forgotten_and_quiet_is_told(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    put(spark, [("a", "c", at, "one")], tmp_path / "in", 1)
+    run = lambda: keyed.start(stream(spark, tmp_path / "in"), str(tmp_path / "check"), str(tmp_path / "out"), remember_ms=1, quiet_ms=1).awaitTermination(240)
+    run()
+    put(spark, [("a", "c", at, "again"), ("b", "d", at, "two")], tmp_path / "in", 1)
+    run()
+    put(spark, [("b2", "d", at, "three")], tmp_path / "in", 1)
+    run()
+    assert kept(keyed.states(spark, str(tmp_path / "check"))) == [("c", at, "one", 2), ("d", at, "three", 2)]
+    told = rows_of(spark.read.parquet(str(tmp_path / "out")), "batch", "conversation", "kind", "unread")
+    assert (0, "c", "message", 1) in told and (2, "c", "quiet", 2) in told and (2, "d", "message", 2) in told
+
+
+def test_payload_stream(spark, tmp_path):
+    said = lambda i, t: json.dumps({"data": {"key": {"id": i, "remoteJid": "551@s.net"}, "message": {"conversation": t}}})
+    rows = [(said("a", "one"), dt.datetime(2024, 1, 1)), (said("a", "one"), dt.datetime(2024, 1, 2)), (said("b", "two"), dt.datetime(2024, 1, 3)), ("{broken", None)]
+    spark.createDataFrame(rows, "payload string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    payloads = spark.readStream.schema("payload string, ts timestamp").parquet(str(tmp_path / "in"))
+    inbound.start_payloads(payloads, str(tmp_path / "check")).awaitTermination(120)
+    assert kept(keyed.states(spark, str(tmp_path / "check"))) == [("551", dt.datetime(2024, 1, 3), "two", 2)]

@@ -1,6 +1,5 @@
 """Edge cases of the reference's semantics that the driver's tables don't hold."""
 
-import datetime as dt
 import json
 import math
 import time
@@ -205,60 +204,6 @@ def test_envelopes_of_the_reference(spark):
         assert list(map(tuple, got.collect())) == want, payload
 
 
-SENT = "provider_id string, conversation string, ts timestamp, preview string"
-
-
-def sent_rows(n):
-    return [(str(i % 40) if i % 9 else None, f"c{i % 5}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i // 3), f"p{i}") for i in range(n)]
-
-
-def states(df):
-    return sorted(map(tuple, df.collect()))
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    sent = spark.createDataFrame([(*r[:2], r[2], r[0] or r[3]) for r in sent_rows(60)], SENT)
-    sent.repartition(6).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    sink = inbound.InboundSink(str(tmp_path / "out"), buckets=4, files=2)
-    inbound.start(stream, str(tmp_path / "out"), str(tmp_path / "check"), sink).awaitTermination(240)
-    last = max(int(p.name) for p in (tmp_path / "out" / "manifest").iterdir() if p.name.isdigit())
-    got = states(sink.state(spark, last))
-    # A provider id's copies tell the same but for their time, of which the first to arrive counts.
-    want = {r["conversation"]: r["unread"] for r in inbound.conversation_state(inbound.once(sent)).collect()}
-    assert {c: n for c, _, _, n in got} == want and last == 2
-
-
-def test_sink_replays_and_clears(spark, tmp_path):
-    rows = [r for r in sent_rows(90) if r[0] is None or int(r[0]) % 2 == 0]
-    parts = [rows[k::6] for k in range(6)]
-    sink = inbound.InboundSink(str(tmp_path), buckets=3, files=2)
-    for k, part in enumerate(parts):
-        for _ in range(2 if k in (1, 4) else 1):
-            sink(spark.createDataFrame(part + part[:3], SENT), k)
-        assert {int(p.name) for p in (tmp_path / "manifest").iterdir() if p.name.isdigit()} <= {k, k - 1}
-    seen, kept = set(), []
-    for part in parts:
-        for r in sorted(part + [x for x in part[:3] if x[0] is None], key=lambda r: (r[2], r[1], r[3])):
-            if r[0] is None or r[0] not in seen:
-                seen.add(r[0])
-                kept.append(r)
-    want = {}
-    for pid, c, ts, text in kept:
-        at, _, _, n = want.get(c, (dt.datetime.min, "", "", 0))
-        want[c] = max((at, *want.get(c, (0, "", "", 0))[1:3]), (ts, pid or "", text)) + (n + 1,)
-    assert states(sink.state(spark, 5)) == sorted((c, at, text, n) for c, (at, _, text, n) in want.items())
-
-
-def test_payload_stream(spark, tmp_path):
-    said = lambda i, t: json.dumps({"data": {"key": {"id": i, "remoteJid": "551@s.net"}, "message": {"conversation": t}}})
-    rows = [(said("a", "one"), dt.datetime(2024, 1, 1)), (said("a", "one"), dt.datetime(2024, 1, 2)), (said("b", "two"), dt.datetime(2024, 1, 3)), ("{broken", None)]
-    spark.createDataFrame(rows, "payload string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("payload string, ts timestamp").parquet(str(tmp_path / "in"))
-    inbound.start_payloads(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
-    assert states(inbound.InboundSink(str(tmp_path / "out")).state(spark, 0)) == [("551", dt.datetime(2024, 1, 3), "two", 2)]
-
-
 def test_move_stage_refuses_unknown(spark):
     held = spark.createDataFrame([(1, "new", 4)], "lead_id int, stage string, position int")
     led = held.select("lead_id", F.lit("new").alias("status"))
