@@ -72,64 +72,74 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def ts_rank(text: Column, terms: list[str]) -> Column:
-    """Rank of a text for AND-ed terms by the distances of their positions, in words from 1, with weight 0.1.
+def rank_of_places(places: list[np.ndarray]) -> float:
+    """Rank of a text from the ascending places of each of the terms it holds, with weight 0.1.
 
-    One term sums 1/j² over its occurrences; of several, every pair of positions of different
-    terms adds by noisy-or. Pairs more than NEAR words apart would add some 1e-16 each and are
-    left out, so the work grows with the text. Terms must be lower case; ``question_rank`` stems.
+    One term sums 1/j² over its occurrences; of several, every pair of places of different terms
+    adds by noisy-or of their distance. Pairs more than NEAR words apart would add some 1e-16 each
+    and are left out, so the work grows with the text.
     """
-    words = tokens(text)
+    if len(places) == 1:
+        return float((0.1 / np.arange(1.0, len(places[0]) + 1) ** 2).sum() / (math.pi**2 / 6))
+    miss, held = 0.0, [np.asarray(p, np.int64) for p in places]
+    for i, a in enumerate(held):
+        for b in held[i + 1 :]:
+            low, high = np.searchsorted(b, a - NEAR), np.searchsorted(b, a + NEAR, "right")
+            n = high - low
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            d = np.abs(b[at] - np.repeat(a, n))
+            miss += np.log1p(-np.sqrt(0.01 / (1.005 + 0.05 * np.exp(d[d > 0] / 1.5 - 2)))).sum()
+    return float(-np.expm1(miss))
+
 
-    def places(term: str) -> Column:
-        return F.filter(F.transform(words, lambda x, i: F.when(x == term, i + 1)), lambda x: x.isNotNull())
+def ts_rank(text: Column, terms: list[str]) -> Column:
+    """Rank of a text for terms by the distances of their positions, in words from 1; 0 for a null text.
 
-    at = [places(t) for t in dict.fromkeys(terms)]
-    if not at:
+    All places of a term count. Terms must be lower case; ``question_rank`` stems.
+    """
+    wanted = list(dict.fromkeys(terms))
+    if not wanted:
         return F.lit(0.0)
-    if len(at) == 1:
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(at[0]), F.lit(1))), F.lit(0.0), lambda acc, j: acc + F.when(j <= F.size(at[0]), 0.1 / (j * j)).otherwise(0.0)) / (math.pi**2 / 6)
+    word = re.compile(r"[^\W_]+")
 
-    def near(x: Column, term: str) -> Column:
-        """What the places of a term within NEAR words of place x leave of 1."""
-        low = F.greatest(x - NEAR, F.lit(1))
-        around = F.slice(words, low, F.lit(2 * NEAR + 1))
-        left = F.transform(around, lambda w, i: F.when((w == term) & (F.abs(low + i - x) <= NEAR) & (low + i != x), 1 - F.sqrt(0.01 / (1.005 + 0.05 * F.exp(F.abs(low + i - x) / 1.5 - 2)))))
-        return F.aggregate(left, F.lit(1.0), lambda acc, v: acc * F.coalesce(v, F.lit(1.0)))
+    def rank(said: str) -> float:
+        places: dict[str, list[int]] = {t: [] for t in wanted}
+        for i, w in enumerate(word.findall(said), 1):
+            if w in places:
+                places[w].append(i)
+        held = [np.array(p) for p in places.values() if p]
+        return rank_of_places(held) if held and (len(held) > 1 or len(wanted) == 1) else 0.0
 
-    def left_by(places: Column, term: str) -> Column:
-        return F.aggregate(places, F.lit(1.0), lambda acc, x: acc * near(x, term))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([None if t is None else rank(t) for t in texts], dtype="float64")
+
+    # A text without any term needn't leave the JVM.
+    said = F.lower(text)
+    found = F.lit(False)
+    for t in wanted:
+        found |= F.contains(said, F.lit(t))
+    return F.when(found, F.pandas_udf(run, "double")(F.when(found, said))).otherwise(0.0)
 
-    miss, other = F.lit(1.0), list(dict.fromkeys(terms))
-    for i in range(len(at)):
-        for j in range(i + 1, len(at)):
-            miss = miss * left_by(at[i], other[j])
-    return 1 - miss
+
+def split_words(text: str) -> list[str]:
+    """The lower-case words of a text; those with hyphens are followed by their parts."""
+    return [x for w in WORD.findall(text.lower()) for x in ([w, *w.split("-")] if "-" in w else [w])]
 
 
 def stemmed(text: str | None) -> list[tuple[int, str]]:
     """(place, stem) of the words that aren't stop words; places count all words, from 1."""
-    found = [x for w in WORD.findall((text or "").lower()) for x in ([w, *w.split("-")] if "-" in w else [w])]
-    return [(i, stem(w)) for i, w in enumerate(found, 1) if w not in STOP]
+    return [(i, stem(w)) for i, w in enumerate(split_words(text or ""), 1) if w not in STOP]
 
 
 def rank_of(text: str | None, stems: list[str]) -> float:
-    """``ts_rank`` of one text for stems: the same arithmetic, over the places of stems within NEAR words of each other."""
+    """``rank_of_places`` of one text for stems, of which the first MOST_PLACES places each count, as in PostgreSQL."""
     places: dict[str, list[int]] = {s: [] for s in stems}
     for i, s in stemmed(text):
         if s in places:
             places[s].append(i)
-    if len(places) == 1:
-        return sum(0.1 / j**2 for j in range(1, len(next(iter(places.values()))) + 1)) / (math.pi**2 / 6)
-    held = [np.array(p[:MOST_PLACES], np.int64) for p in places.values()]
-    miss = 0.0
-    for i, a in enumerate(held):
-        for b in held[i + 1 :]:
-            low, high = np.searchsorted(b, a - NEAR), np.searchsorted(b, a + NEAR, "right")
-            for x, p, q in zip(a, low, high):
-                d = np.abs(b[p:q] - x)
-                miss += np.log1p(-np.sqrt(0.01 / (1.005 + 0.05 * np.exp(d[d > 0] / 1.5 - 2)))).sum()
-    return float(-np.expm1(miss))
+    held = [np.array(p[:MOST_PLACES], np.int64) for p in places.values() if p]
+    return rank_of_places(held) if held and (len(held) > 1 or len(places) == 1) else 0.0
 
 
 def question_rank(text: Column, question: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import cells
+from tessera.operators import cells, postings
 from tessera.plans.registered import query
 from tessera.session import cut, table
 
@@ -24,3 +24,38 @@ def cells_topk(spark, sf_dir):
     asked = held.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"), "group_id")
     hits, _ = cells.search(index, filed, asked, 10)
     return hits.select("query_id", "chunk_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_ASKED_SQL = f"""
+q AS (SELECT item_id, unnest(list_distinct({_WORDS})) AS word FROM benchmark),
+asked AS (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY length(word) DESC, word) AS n FROM q QUALIFY n <= 2),
+w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM w),
+p AS (SELECT * FROM u WHERE word IN (SELECT word FROM asked))"""
+
+
+def _asked(spark, sf_dir):
+    """The two longest words of each benchmark item as a question."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
+    longest = F.slice(F.transform(F.array_sort(F.transform(words, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("word")))), lambda x: x["word"]), 1, 2)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(longest, " ").alias("question"))
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+@query(f"""WITH {_ASKED_SQL},
+pairs AS (SELECT a.item_id, x.doc_id, abs(x.place - y.place) AS d FROM asked a JOIN asked b ON a.item_id = b.item_id AND a.n = 1 AND b.n = 2 JOIN p x ON x.word = a.word JOIN p y ON y.word = b.word AND y.doc_id = x.doc_id)
+SELECT item_id AS query_id, doc_id AS chunk_id, round(1 - exp(sum(ln(1 - sqrt(0.01 / (1.005 + 0.05 * exp(d / 1.5 - 2)))))), 6) AS rank FROM pairs WHERE d <= 100 GROUP BY ALL""")
+def postings_rank(spark, sf_dir):
+    """The ranks of all documents for all questions, from one index of their words."""
+    found = postings.ranks(postings.postings(_documents(spark, sf_dir), "word"), _asked(spark, sf_dir), "word")
+    return found.select("query_id", "chunk_id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"WITH {_ASKED_SQL} SELECT item_id AS query_id, doc_id AS chunk_id, count(DISTINCT p.word) AS hits FROM asked JOIN p USING (word) GROUP BY ALL")
+def postings_hits(spark, sf_dir):
+    """How many words of each question each document holds."""
+    return postings.term_counts(postings.postings(_documents(spark, sf_dir), "word"), _asked(spark, sf_dir))

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import cells
+from tessera.functions.ranking import question_rank, rank_of_places, ts_rank
+from tessera.operators import cells, postings
 
 
 def near_by_all(rows, asked, k, least):
@@ -68,3 +69,66 @@ def test_cells_of_nothing(spark):
     index = cells.Cells.fit(none)
     hits, report = cells.search(index, index.file(none), none.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"), "group_id"), 3)
     assert hits.count() == 0 and report.count() == 0
+
+
+QUESTIONS = ["Academia de musculação em Arujá", "yoga", "de a o", "", None, "pré-natal natação boa", "Boxe boxe BOXE jiu-jitsu", "inexistente palavra"]
+
+
+def texts_for_ranks():
+    r = random.Random(6)
+    words = ["academia", "academias", "musculação", "Arujá", "yoga", "de", "o", "boa", "boxe", "jiu-jitsu", "pré-natal", "natação", "a.b.c", "_", "x"]
+    return [" ".join(r.choice(words) for _ in range(r.choice([0, 1, 5, 40, 300]))) for _ in range(60)] + ["", None, " ", "yoga " * 700, "musculação " + "x " * 99 + "academia", "Academia, academia; ACADEMIA!"]
+
+
+def test_postings_rank_as_the_scan_does(spark):
+    chunks = spark.createDataFrame(list(enumerate(texts_for_ranks())), "chunk_id long, text string").repartition(4)
+    questions = spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id long, question string")
+    got = {(r["query_id"], r["chunk_id"]): r["rank"] for r in postings.ranks(postings.postings(chunks), questions).collect()}
+    want = {}
+    for k, question in enumerate(QUESTIONS):
+        for r in chunks.select("chunk_id", question_rank(F.col("text"), question or "").alias("rank")).collect():
+            if r["rank"] > 0:
+                want[k, r["chunk_id"]] = r["rank"]
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 60
+
+
+def test_postings_of_words(spark):
+    chunks = spark.createDataFrame(list(enumerate(texts_for_ranks())), "chunk_id long, text string")
+    index = postings.postings(chunks, "word")
+    terms = ["academia", "boxe"]
+    got = {r["chunk_id"]: r["rank"] for r in postings.ranks(index, spark.createDataFrame([(1, "Boxe academia")], "query_id long, question string"), "word").collect()}
+    want = {r["chunk_id"]: r["rank"] for r in chunks.select("chunk_id", ts_rank(F.col("text"), terms).alias("rank")).collect() if r["rank"] > 0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and want
+    hits = postings.term_counts(index, spark.createDataFrame([(1, "Boxe academia nada")], "query_id long, question string"))
+    lower = [(i, (t or "").lower()) for i, t in enumerate(texts_for_ranks())]
+    import re
+
+    count = {i: len({"boxe", "academia"} & set(re.findall(r"[^\W_]+", t))) for i, t in lower}
+    assert {r["chunk_id"]: r["hits"] for r in hits.collect()} == {i: n for i, n in count.items() if n}
+
+
+def test_postings_written_by_stem(spark, tmp_path, monkeypatch):
+    chunks = spark.createDataFrame(list(enumerate(texts_for_ranks())), "chunk_id long, text string")
+    monkeypatch.setattr(postings, "GROUP", 50)  # texts taken apart in several groups
+    index = postings.postings(chunks)
+    postings.write(index, str(tmp_path), 16)
+    rows = lambda df: sorted((r["stem"], r["chunk_id"], tuple(r["places"])) for r in df.collect())
+    assert rows(postings.read(spark, str(tmp_path))) == rows(index)
+    some = postings.read(spark, str(tmp_path), ["academ", "yog"], 16)
+    assert rows(some) == [x for x in rows(index) if x[0] in ("academ", "yog")]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "In(stem" in plan.split("PushedFilters: [")[1]
+    assert postings.postings(chunks.limit(0)).count() == 0
+
+
+def test_rank_of_places():
+    places = [[1, 132], [32, 234], [33]]
+    miss = 1.0
+    for i, a in enumerate(places):
+        for b in places[i + 1 :]:
+            for x in a:
+                for y in b:
+                    if 0 < abs(x - y) <= 100:
+                        miss *= 1 - math.sqrt(0.01 / (1.005 + 0.05 * math.exp(abs(x - y) / 1.5 - 2)))
+    assert rank_of_places([np.array(p) for p in places]) == pytest.approx(1 - miss, abs=1e-12)
+    assert rank_of_places([np.array([3, 9])]) == pytest.approx(0.1 * 1.25 / (math.pi**2 / 6))
