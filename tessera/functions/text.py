@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñ"
-PLAIN = "aaaaaeeeeiiiiooooouuuucn"
+#: Letters that are one of a to z with marks, by their canonical decomposition, and those letters.
+_MARKED = [(c, d[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii()]
+MARKED, BARE = ("".join(x) for x in zip(*_MARKED))
+#: White space as JavaScript's \\s and trim() know it.
+SPACE = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def trim(x: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(x, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
 
 
 def fold(x: Column) -> Column:
-    """Lower case without accents (the letters of ACCENTED), trimmed."""
-    return F.trim(F.translate(F.lower(x), ACCENTED, PLAIN))
+    """Lower case without accents, composed or combining, trimmed."""
+    return trim(F.lower(F.regexp_replace(F.translate(x, MARKED, BARE), r"[\x{300}-\x{36f}]", "")))
 
 
 def squeeze(x: Column) -> Column:
     """fold, and white space of any length as one space."""
-    return F.trim(F.regexp_replace(fold(x), r"\s+", " "))
+    return F.trim(F.regexp_replace(fold(x), rf"{SPACE}+", " "))
 
 
 def slug(x: Column, mark: str = "-", most: int | None = None) -> Column:
@@ -125,8 +134,8 @@ def strip_markdown(x: Column) -> Column:
 
 
 def clean_pdf_text(x: Column) -> Column:
-    """Soft hyphens, words broken at line ends, dot leaders and white space."""
-    for pattern, into in (("­", ""), (r"(\p{L})-\s*\n\s*(\p{L})", "$1$2"), (r"\.{4,}", " "), (r"\n\s*\n+", "\n"), (r"\s+", " ")):
+    """Words broken at line ends joined, soft hyphens and leaders of four or more dots, ellipses or underscores removed, white space of any length as one space."""
+    for pattern, into in ((rf"(\p{{L}})-{SPACE}*\n{SPACE}*(\p{{L}})", "$1$2"), (r"\x{ad}", ""), (r"[.\x{2026}_]{4,}", " "), (rf"{SPACE}+", " ")):
         x = F.regexp_replace(x, pattern, into)
     return F.trim(x)
 
@@ -138,29 +147,52 @@ def fixed_slices(x: Column, size: int = 1200) -> Column:
     return F.when(F.length(x) > 0, each).otherwise(F.array().cast("array<string>"))
 
 
-def _pieces(text: str, size: int, marks: list[str]) -> list[str]:
-    """Parts of at most size characters, cut at the coarsest mark that the text has."""
-    if len(text) <= size:
-        return [text]
-    mark = next((m for m in marks if m in text), "")
-    if not mark:
-        return [text[i : i + size] for i in range(0, len(text), size)]
+#: Where a text is cut, the coarsest first; without any of these it is cut anywhere.
+MARKS = ("\n\n", "\n", ". ", " ")
+
+
+def _windows(parts: list[str], mark: str, size: int, overlap: int) -> list[str]:
+    """Runs of parts, joined by their mark, of at most ``size`` characters where a part isn't longer itself.
+
+    A run starts again with the last parts of the one before it, as many as are together no
+    longer than ``overlap`` and leave room for the next part. Blank runs go.
+    """
+    before = [0]
+    for p in parts:
+        before.append(before[-1] + len(p))
+    length = lambda i, j: before[j] - before[i] + max(0, j - i - 1) * len(mark)
+    out, start = [], 0
+    for end, part in enumerate(parts):
+        room = lambda i: size - len(part) - (len(mark) if end > i else 0)  # noqa: B023, E731
+        if start < end and length(start, end) > room(start):
+            out.append(mark.join(parts[start:end]))
+            while length(start, end) > min(overlap, max(0, room(start))):
+                start += 1
+    out.append(mark.join(parts[start:]))
+    return [x for x in map(str.strip, out) if x]
+
+
+def _pieces(text: str, size: int, marks: tuple[str, ...]) -> list[str]:
+    """Pieces of at most ``size`` characters. Parts between the coarsest mark that the text has are put together again with that mark; one that is too long is cut at finer marks."""
+    mark = next((m for m in marks if m in text), None)
+    if mark is None:
+        return [x for i in range(0, len(text), size) if (x := text[i : i + size].strip())]
     finer = marks[marks.index(mark) + 1 :]
-    return [p for part in text.split(mark) if part for p in _pieces(part, size, finer)]
+    out: list[str] = []
+    short: list[str] = []
+    for part in text.split(mark):
+        if len(part) < size:
+            short.append(part)
+        else:
+            out += _windows(short, mark, size, 0) + _pieces(part, size, finer)
+            short = []
+    return out + _windows(short, mark, size, 0)
 
 
 def split_recursively(text: str | None, size: int = 1000, overlap: int = 120, least: int = 20) -> list[str]:
-    """Chunks of at most ``size``: parts joined by spaces, the last ones of a chunk up to ``overlap`` again at the start of the next."""
-    chunks: list[str] = []
-    held: list[str] = []
-    for part in _pieces((text or "").strip(), size, ["\n\n", "\n", ". ", " "]):
-        if held and sum(map(len, held)) + len(held) + len(part) > size:
-            chunks.append(" ".join(held))
-            while held and (sum(map(len, held)) + len(held) - 1 > overlap or sum(map(len, held)) + len(held) + len(part) > size):
-                held.pop(0)
-        held.append(part)
-    chunks.append(" ".join(held))
-    return [c.strip() for c in chunks if len(c.strip()) >= least]
+    """Chunks of at most ``size`` characters: pieces put together by spaces, each chunk beginning with the last pieces of the one before, up to ``overlap``; chunks under ``least`` go."""
+    pieces = _pieces((text or "").strip(), size, MARKS)
+    return [c for c in _windows(pieces, " ", size, min(overlap, max(0, size - 1))) if len(c) >= least]
 
 
 def recursive_chunks(x: Column, size: int = 1000, overlap: int = 120, least: int = 20) -> Column:

@@ -135,9 +135,14 @@ def markdown_stripped(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.strip_markdown(F.expr(_MARKED.replace("chr(10)", "char(10)"))), 256).alias("plain"))
 
 
-@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text || chr(10) || 'frag-' || chr(10) || 'mento ..... 9', chr(173), ''), '(\p{L})-\s*\n\s*(\p{L})', '\1\2', 'g'), '\.{4,}', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '\s+', ' ', 'g'))) AS clean FROM documents""")
+_BROKEN = "text || chr(10) || 'frag-' || chr(10) || 'mento ..... 9' || chr(10) || chr(10) || 'A ______ 3 …_.… B ... C' || chr(173) || 'D' || chr(160) || chr(8195) || 'e-' || chr(173) || chr(10) || 'f g' || chr(173) || '-' || chr(10) || 'h'"
+_BLANK = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+@query(rf"""WITH b AS (SELECT doc_id, {_BROKEN} AS x FROM documents), h AS (SELECT doc_id, replace(regexp_replace(x, '(\p{{L}})-{_BLANK}*\n{_BLANK}*(\p{{L}})', '\1\2', 'g'), chr(173), '') AS x FROM b)
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(x, '[.…_][.…_][.…_][.…_]+', ' ', 'g'), '{_BLANK}+', ' ', 'g'))) AS clean FROM h""")
 def pdf_text_cleaned(spark, sf_dir):
-    broken = F.concat("text", F.lit("\nfrag-\nmento ..... 9"))
+    broken = F.expr(_BROKEN.replace("chr(10)", "char(10)"))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.clean_pdf_text(broken), 256).alias("clean"))
 
 

@@ -136,7 +136,7 @@ _QUESTION = "text || ' ' || (['em São Paulo', 'Pilates em Niterói', 'no rj mus
 
 
 @query(f"""WITH b AS (SELECT item_id, {_QUESTION} AS query FROM benchmark),
-n AS (SELECT *, trim(regexp_replace(trim(translate(lower(query), '{text.ACCENTED}', '{text.PLAIN}')), '\\s+', ' ', 'g')) AS q FROM b),
+n AS (SELECT *, trim(regexp_replace(trim(lower(strip_accents(query))), '\\s+', ' ', 'g')) AS q FROM b),
 c(ord, alias, label, short) AS (VALUES {_CITY_ROWS}),
 h AS (SELECT item_id, arg_min(label, (strpos(q, alias), ord)) AS label FROM n, c
       WHERE CASE WHEN short THEN regexp_matches(q, '(^|[^a-z0-9])' || alias || '([^a-z0-9]|$)') ELSE contains(q, alias) END
@@ -161,7 +161,7 @@ def name_modality_rules(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", retrieval.effective_activity(name, stated).alias("e")).select("p_partkey", "e.*")
 
 
-@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(trim(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(trim(lower(strip_accents(text))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
 regexp_replace(text, '[^0-9]', '', 'g') AS digits, TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS BIGINT) AS first_integer,
 CASE WHEN length(text) > 280 THEN trim(substr(text, 1, 277)) || '…' ELSE text END AS short, sha256(concat_ws('|', lang, text)) AS hash FROM documents""")
 def text_functions(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import time
 
 import pytest
@@ -135,11 +136,75 @@ def test_text(spark):
     assert one(spark, text.fixed_slices(F.lit("abcdefg"), 3)) == ["abc", "def", "g"]
 
 
+def joined(parts, mark, size, overlap):
+    """All runs of parts tried one by one: what a chunk may hold, and where the next one may begin."""
+    out, first = [], 0
+    while first < len(parts):
+        last = first + 1
+        # A run of nothing but empty parts takes any part.
+        while last < len(parts) and (len(mark.join(parts[first : last + 1])) <= size or not mark.join(parts[first:last])):
+            last += 1
+        out.append(mark.join(parts[first:last]).strip())
+        if last == len(parts):
+            break
+        fits = [i for i in range(first, last) if len(mark.join(parts[i:last])) <= overlap and len(mark.join([*parts[i:last], parts[last]])) <= size]
+        empty = [i for i in range(first, last) if mark.join(parts[i:last]) == ""]
+        first = min([*fits, *empty, last])
+    return [x for x in out if x]
+
+
+def cut_up(text, size, marks):
+    """A text's pieces by the definition, marks tried in order."""
+    for k, mark in enumerate(marks):
+        if mark in text:
+            out, group = [], []
+            for part in [*text.split(mark), None]:
+                if part is not None and len(part) < size:
+                    group.append(part)
+                    continue
+                out += joined(group, mark, size, 0)
+                group = []
+                out += cut_up(part, size, marks[k + 1 :]) if part is not None else []
+            return out
+    return [x for x in (text[i : i + size].strip() for i in range(0, len(text), size)) if x]
+
+
 def test_recursive_chunks():
-    long = ". ".join("w" * 30 for _ in range(200))
-    got = text.split_recursively(long)
-    assert all(20 <= len(c) <= 1000 for c in got) and len(got) > 5
+    sentences = " ".join(f"Sentence number {i} ends here." for i in range(120))
+    got = text.split_recursively(sentences)
+    assert sum(c.count(".") for c in got) == 117 and all(20 <= len(c) <= 1000 for c in got)
+    # By hand: sentences stay together while they fit, and the last piece comes again where it is short enough.
+    assert text.split_recursively("aa. bb. cc dd", 6, 0, 1) == ["aa. bb", "cc dd"]
+    assert text.split_recursively("one two\n\nthree four\nfive", 12, 0, 1) == ["one two", "three four", "five"]
+    assert text.split_recursively("aaa bbb ccc ddd", 7, 3, 1) == ["aaa bbb", "ccc ddd"]
     assert text.split_recursively(None) == [] and text.split_recursively("a" * 2500)[:2] == ["a" * 1000] * 2
+    assert text.split_recursively("short") == [] and text.split_recursively(" \n ") == []
+
+
+@pytest.mark.parametrize("size,overlap", [(1000, 120), (30, 8), (30, 0), (12, 11), (5, 20)])
+def test_recursive_chunks_by_definition(spark, size, overlap):
+    r = random.Random(size)
+    texts = ["".join(r.choice(["word", "a", "longerword", ". ", ". ", " ", "\n", "\n\n", "é", "x" * r.randrange(40), "  "]) for _ in range(r.randrange(200))) for _ in range(150)]
+    if size == 1000:
+        texts += [x["text"] for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for said in texts:
+        want = [c for c in joined(cut_up(said.strip(), size, ["\n\n", "\n", ". ", " "]), " ", size, min(overlap, size - 1)) if len(c) >= 3]
+        assert text.split_recursively(said, size, overlap, 3) == want, said
+
+
+def test_folds(spark):
+    for said, plain in (("Sa\u0303o", "sao"), ("Škoda ŽIŽKA", "skoda zizka"), ("\u00a0Łódź\n", "łodz"), ("Việt ÑANDÚ", "viet nandu"), ("ÇÃO", "cao")):
+        assert one(spark, text.fold(F.lit(said))) == plain
+    assert one(spark, text.slug(F.lit("Sa\u0303o José - Škoda"))) == "sao-jose-skoda" and one(spark, text.slug(F.lit("a b c d"), "_", 4)) == "a_b_"
+    assert one(spark, text.squeeze(F.lit(" É \u2003 a\t\nb "))) == "e a b"
+    began = time.time()
+    assert one(spark, F.length(text.trim(F.concat(F.lit("a"), F.repeat(F.lit(" "), 300_000), F.lit("b"))))) == 300_002 and time.time() - began < 20
+
+
+def test_clean_pdf_text(spark):
+    cases = {"aca-\ndemias": "academias", "a \u00ad-\nb": "a - b", "A ______ 3 e B ……": "A 3 e B ……", "x ._…. y ... z": "x y ... z", "a-\u00a0\n b": "ab", "a-\nb-\nc": "ab- c", "p\n\n\nq\u2003r": "p q r"}
+    for said, clean in cases.items():
+        assert one(spark, text.clean_pdf_text(F.lit(said))) == clean, said
 
 
 def test_cosine_of_lengths(spark):
