@@ -20,7 +20,7 @@ _PAGE = "title:string,name:string,id:string,text:string,body:string,content:stri
 #: What a payload is read for.
 PAYLOAD = f"""aggregator string, ingest_kind string, domain string, kind string, title string, text string,
 academias array<struct<{_GYM}>>, items array<struct<{_GYM}>>, accept_list array<struct<{_GYM}>>,
-partners array<struct<name:string,slug:string,url:string,plan_hint:{_HINT},comodidades:array<string>>>, catalog_prices_brl map<string,double>,
+partners array<struct<name:string,slug:string,url:string,plan_hint:{_HINT},comodidades:array<string>,totalpass_hit:boolean>>, catalog_prices_brl map<string,double>,
 geo_sample struct<items:array<struct<name:string,bairro:string,totalpass_hit:boolean,plan_hint:{_HINT}>>>,
 pages array<struct<{_PAGE}>>, documents array<struct<{_PAGE}>>, laws array<struct<{_PAGE}>>, normas array<struct<{_PAGE}>>,
 rag_chunks array<struct<id:string,type:string,text:string>>"""
@@ -34,8 +34,12 @@ def filled(*xs: Column) -> Column:
 
 
 def number(x: Column) -> Column:
-    """A double as JavaScript prints it."""
-    return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+    """A double as JavaScript prints it: the shortest digits that give it back, without an exponent from 1e-6 up to 1e21."""
+    x = x.cast("double")
+    size = F.abs(x)
+    digits = lambda kind: F.regexp_replace(x.cast("string").cast(kind).cast("string"), r"\.?0+$", "")
+    power = F.regexp_replace(F.regexp_replace(F.replace(x.cast("string"), F.lit(".0E"), F.lit("E")), "E-", "e-"), "E", "e+")
+    return F.when(size == 0, "0").when((size >= 1e-6) & (size < 1), digits("decimal(38,30)")).when((size >= 1) & (size < 1e21), digits("decimal(38,16)")).otherwise(power)
 
 
 def _said(x: Column, missing: str = "null") -> Column:
@@ -68,36 +72,43 @@ def _each(items: Column, build) -> Column:
     return F.coalesce(F.transform(items, build), F.array()).cast(CHUNK)
 
 
-def _rag(doc: Column, before: Column, source_ref: Column) -> Column:
+def _rag(doc: Column, before: Column, source_ref: Column, domain: Column) -> Column:
     """Ready chunks that have a text; those without an id are named after their place among all chunks."""
     held = F.filter(doc["rag_chunks"], lambda r: filled(r["text"]).isNotNull())
     named = lambda r, i: F.coalesce(filled(r["id"]), F.concat(F.lit("rag-"), (before + i).cast("string")))
-    return F.coalesce(F.transform(held, lambda r, i: _chunk(named(r, i), F.coalesce(filled(r["type"]), F.lit("rag")), r["text"], source_ref=source_ref)), F.array()).cast(CHUNK)
+    return F.coalesce(F.transform(held, lambda r, i: _chunk(named(r, i), F.coalesce(filled(r["type"]), F.lit("rag")), r["text"], source_ref=source_ref, domain=domain)), F.array()).cast(CHUNK)
 
 
 def gym_chunks(doc: Column, source_ref: Column, city: str = "Fortaleza", state: str = "CE") -> Column:
-    """Chunks of an accept list with its ready chunks, or else of a page export with a summary."""
+    """Chunks of an accept list with its ready chunks, or else of a page export with a summary.
+
+    A gym's fields stand in the metadata themselves and once more as the gym, there with the credits that its plan implies.
+    """
 
     def line(name: Column, district: Column, plan: Column, price: Column, *more: Column) -> Column:
         return F.concat_ws(" | ", name, _said(filled(district), "?"), _said(plan), F.concat(F.lit("R$"), _said(number(price))), *more)
 
+    domain, names = F.lit("gurupass"), [f.split(":")[0] for f in _GYM.split(",")]
+
     def accepted(g: Column) -> Column:
-        credits = credits_of(g["creditos_minimos"], g["plano_minimo"])
-        gym = F.struct(g["name"].alias("name"), g["bairro"].alias("bairro"), g["cidade"].alias("cidade"), g["uf"].alias("uf"), g["plano_minimo"].alias("plano_minimo"), credits.alias("creditos_minimos"), g["valor_mensal_brl"].alias("valor_mensal_brl"), g["modalidades"].alias("modalidades"))
-        text = line(g["name"], g["bairro"], g["plano_minimo"], g["valor_mensal_brl"], F.concat(F.lit("créditos≥"), _said(number(credits.cast("double")))))
-        return _chunk(F.concat(F.lit("gp-gym-"), slug(g["name"])), "gp_gym", text, gym=gym, source_ref=source_ref)
+        credits = credits_of(g["creditos_minimos"], g["plano_minimo"]).cast("double")
+        text = line(g["name"], g["bairro"], g["plano_minimo"], g["valor_mensal_brl"], F.concat(F.lit("créditos≥"), _said(number(credits))))
+        own = {n: g[n] for n in names}
+        gym = F.struct(*[(credits if n == "creditos_minimos" else g[n]).alias(n) for n in names])
+        return _chunk(F.concat(F.lit("gp-gym-"), slug(g["name"])), "gp_gym", text, **own, gym=gym, source_ref=source_ref, domain=domain)
 
     def exported(g: Column) -> Column:
         name = F.coalesce(filled(g["nome"], g["name"]), F.lit("sem-nome"))
         district = F.coalesce(filled(g["bairro"]), district_before(F.coalesce(filled(g["endereco"], g["address"]), F.lit(""))))
         plan = filled(g["plano_minimo"])
-        gym = F.struct(name.alias("name"), district.alias("bairro"), F.lit(city).alias("cidade"), F.lit(state).alias("uf"), plan.alias("plano_minimo"), credits_of(F.lit(None), plan).alias("creditos_minimos"), g["valor_mensal_brl"].alias("valor_mensal_brl"), F.coalesce(g["modalidades"], F.array().cast("array<string>")).alias("modalidades"))
-        return _chunk(F.concat(F.lit("gp-gym-"), slug(name)), "gp_gym", line(name, district, plan, g["valor_mensal_brl"]), gym=gym, source_ref=source_ref)
+        own = {"name": name, "bairro": district, "cidade": F.lit(city), "uf": F.lit(state), "plano_minimo": plan, "creditos_minimos": credits_of(F.lit(None), plan).cast("double"), "valor_mensal_brl": g["valor_mensal_brl"], "modalidades": F.coalesce(g["modalidades"], F.array().cast("array<string>"))}
+        gym = F.struct(*[v.alias(n) for n, v in own.items()])
+        return _chunk(F.concat(F.lit("gp-gym-"), slug(name)), "gp_gym", line(name, district, plan, g["valor_mensal_brl"]), **own, gym=gym, source_ref=source_ref, domain=domain)
 
-    listed = F.concat(_each(doc["accept_list"], accepted), _rag(doc, F.size(doc["accept_list"]), source_ref))
+    listed = F.concat(_each(doc["accept_list"], accepted), _rag(doc, F.size(doc["accept_list"]), source_ref, domain))
     pages = F.coalesce(doc["academias"], doc["items"])
     words = F.concat(F.lit(f"Gurupass {city}: "), F.size(pages).cast("string"), F.lit(" academias indexadas (plano_minimo + preço)."))
-    summary = F.array(_chunk(F.concat(F.lit("gp-summary-"), slug(F.lit(city))), "summary", words, source_ref=source_ref)).cast(CHUNK)
+    summary = F.array(_chunk(F.concat(F.lit("gp-summary-"), slug(F.lit(city))), "summary", words, source_ref=source_ref, domain=domain)).cast(CHUNK)
     return F.when(doc["accept_list"].isNotNull(), listed).when(pages.isNotNull(), F.concat(_each(pages, exported), summary)).otherwise(F.array().cast(CHUNK))
 
 
@@ -114,7 +125,11 @@ def partner_chunks(doc: Column, source_ref: Column) -> Column:
         price = F.coalesce(hint["price_brl_month"], F.try_element_at(prices, F.regexp_replace(plan, r"\s+", "")), F.try_element_at(prices, plan))
         extras = F.array_join(F.slice(F.coalesce(p["comodidades"], F.array().cast("array<string>")), 1, 6), ", ")
         text = F.concat(name, F.lit(" TotalPass | plano_minimo="), plan, F.lit(" | R$"), _said(number(price), "?"), F.lit(" | "), extras)
-        held = F.struct(name.alias("name"), p["slug"].alias("slug"), p["url"].alias("url"), plan.alias("plan_minimo"), price.alias("price_brl_month"))
+        none = F.array().cast("array<string>")
+        held = F.struct(
+            name.alias("name"), p["slug"].alias("slug"), p["url"].alias("url"), plan.alias("plan_minimo"), price.alias("price_brl_month"),
+            F.coalesce(hint["modalities"], none).alias("modalidades"), F.coalesce(p["comodidades"], none).alias("comodidades"), F.coalesce(p["totalpass_hit"], F.lit(True)).alias("totalpass_hit"),
+        )
         return _chunk(F.concat(F.lit("tp-partner-"), slug(name)), "tp_partner", text, domain=domain, partner=held, source_ref=source_ref)
 
     summary = F.array(_chunk(F.lit("tp-summary"), "summary", F.concat(F.lit("TotalPass: "), F.size(partners).cast("string"), F.lit(" partners indexados (plan_minimo + preço).")), domain=domain, source_ref=source_ref))
@@ -149,15 +164,17 @@ def page_chunks(doc: Column, source_ref: Column, domain: Column) -> Column:
 
 def generic_chunks(doc: Column, raw: Column, source_ref: Column) -> Column:
     """Ready chunks, or the payload's own JSON as one."""
-    ready = _rag(doc, F.lit(0), source_ref)
-    blob = F.array(_chunk(F.lit("generic-json-0"), "raw_json", F.substring(raw, 1, BLOB), source_ref=source_ref)).cast(CHUNK)
+    domain = F.lit("generic")
+    ready = _rag(doc, F.lit(0), source_ref, domain)
+    blob = F.array(_chunk(F.lit("generic-json-0"), "raw_json", F.substring(raw, 1, BLOB), domain=domain, source_ref=source_ref)).cast(CHUNK)
     return F.when(F.size(ready) > 0, ready).otherwise(blob)
 
 
 def chunks_of(payloads: DataFrame) -> DataFrame:
     """(source_ref, domain, ord, chunk_id, chunk_type, text, meta) of payloads (source_ref, payload).
 
-    Of a general payload's chunks with one id the first stays. A payload that isn't a JSON object counts as an empty one.
+    meta is JSON without nulls; each has its domain, which for ready chunks and raw payloads of the
+    general kind is generic whatever their pages' domain. Of a general payload's chunks with one id the first stays. A payload that isn't a JSON object counts as an empty one.
     """
     parsed = payloads.select("source_ref", "payload", F.coalesce(F.from_json("payload", PAYLOAD), F.from_json(F.lit("{}"), PAYLOAD)).alias("doc"))
     parsed = parsed.withColumn("domain", detect_domain(F.col("doc")))

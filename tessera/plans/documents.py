@@ -24,13 +24,13 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(k % 5 != 0, F.col("c_mktsegment"))
     s = lambda **x: F.struct(*[v.alias(n) for n, v in x.items()])
     prices = F.create_map(F.lit("TP1"), F.lit(49.9), F.lit("TP 2"), F.lit(99.0))
-    hint = s(plan_minimo=F.concat(F.lit("TP "), (k % 4).cast("string")), price_brl_month=F.when(k % 9 == 0, price))
+    hint = s(plan_minimo=F.concat(F.lit("TP "), (k % 4).cast("string")), price_brl_month=F.when(k % 9 == 0, price), modalities=F.when(k % 5 == 0, F.array(F.lit("Yoga"))))
     none = F.lit(None).cast("string")
     gym = lambda nome, own_name, bairro, endereco, address, plano, price: s(nome=nome, name=own_name, bairro=bairro, endereco=endereco, address=address, plano_minimo=plano, valor_mensal_brl=price)
     kinds = [
         s(academias=F.array(gym(name, none, own, F.lit("Rua 1, Centro - Fortaleza, CE"), none, plan, price), gym(none, F.lit("Outra"), none, none, F.lit("sem"), none, F.lit(90.0)))),
         s(accept_list=F.array(s(name=name, bairro=own, plano_minimo=plan, creditos_minimos=F.when(k % 7 != 0, (k % 50).cast("double")), valor_mensal_brl=price)), rag_chunks=F.array(s(id=F.lit("r"), text=name), s(id=none, text=F.lit("")), s(id=none, text=F.lit("t")))),
-        s(catalog_prices_brl=prices, partners=F.array(s(name=name, plan_hint=hint, comodidades=F.array(F.lit("a"), F.lit("b")))), geo_sample=s(items=F.array(s(name=F.lit("G"), bairro=own, totalpass_hit=F.lit(True)), s(name=F.lit("H"), bairro=own, totalpass_hit=F.lit(False))))),
+        s(catalog_prices_brl=prices, partners=F.array(s(name=name, plan_hint=hint, comodidades=F.when(k % 7 != 0, F.array(F.lit("a"), F.lit("b"))), totalpass_hit=F.when(k % 4 == 0, F.lit(False)))), geo_sample=s(items=F.array(s(name=F.lit("G"), bairro=own, totalpass_hit=F.lit(True)), s(name=F.lit("H"), bairro=own, totalpass_hit=F.lit(False))))),
         s(laws=F.array(s(title=name, text=F.repeat(name, 200)), s(title=F.lit("leer"), text=F.lit("  ")))),
         s(aggregator=F.lit("Wellhub"), pages=F.array(s(id=name, body=name)), title=name, text=F.lit("own")),
         s(foo=k),
@@ -38,27 +38,41 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.cast("string").alias("source_ref"), F.coalesce(*[F.when(k % 6 == i, F.to_json(x)) for i, x in enumerate(kinds)]).alias("payload"))
 
 
+#: Metadata as JSON text: by kind of chunk, what stands between the braces.
+_REF = '"source_ref":"\' || c_custkey || \'"'
+_OWN = '"domain":"{0}",' + _REF
+_STAMPED = _REF + ',"domain":"gurupass"'
+_DOUBLE = "c_acctbal::DOUBLE::VARCHAR"
+_SEGMENT = """CASE WHEN c_custkey % 5 <> 0 THEN '"bairro":"' || c_mktsegment || '",' ELSE '' END"""
+_PAGE_GYM = f""""name":"' || c_name || '","bairro":"' || CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE 'Centro' END || '","cidade":"Fortaleza","uf":"CE","plano_minimo":"Ilimitado ' || c_custkey % 90 || '","creditos_minimos":' || c_custkey % 90 || '.0,"valor_mensal_brl":' || {_DOUBLE} || ',"modalidades":[]"""
+_OTHER_GYM = '"name":"Outra","cidade":"Fortaleza","uf":"CE","valor_mensal_brl":90.0,"modalidades":[]'
+_LISTED_GYM = f""""name":"' || c_name || '",' || {_SEGMENT} || '"plano_minimo":"Ilimitado ' || c_custkey % 90 || '"' || {{0}} || ',"valor_mensal_brl":' || {_DOUBLE} || '"""
+_STATED = _LISTED_GYM.format("CASE WHEN c_custkey % 7 <> 0 THEN ',\"creditos_minimos\":' || c_custkey % 50 || '.0' ELSE '' END")
+_IMPLIED = _LISTED_GYM.format("',\"creditos_minimos\":' || CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 50 ELSE c_custkey % 90 END || '.0'")
+_PRICE = f"""CASE WHEN c_custkey % 9 = 0 THEN ',"price_brl_month":' || {_DOUBLE} WHEN c_custkey % 4 = 1 THEN ',"price_brl_month":49.9' WHEN c_custkey % 4 = 2 THEN ',"price_brl_month":99.0' ELSE '' END"""
+_PARTNER = f""""partner":{{"name":"' || c_name || '","plan_minimo":"TP ' || c_custkey % 4 || '"' || {_PRICE} || ',"modalidades":[' || CASE WHEN c_custkey % 5 = 0 THEN '"Yoga"' ELSE '' END || '],"comodidades":[' || CASE WHEN c_custkey % 7 <> 0 THEN '"a","b"' ELSE '' END || '],"totalpass_hit":' || CASE WHEN c_custkey % 4 = 0 THEN 'false' ELSE 'true' END || '}}"""
+
 PAYLOADS_SQL = rf"""
 built AS (
-  SELECT c_custkey AS k, 'gurupass' AS domain, 0 AS ord, 'gp-gym-' || {_NAME} AS chunk_id, 'gp_gym' AS chunk_type, c_name || ' | ' || CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE 'Centro' END || ' | Ilimitado ' || c_custkey % 90 || ' | R$' || {_BAL} AS text FROM customer WHERE c_custkey % 6 = 0
-  UNION ALL SELECT c_custkey, 'gurupass', 1, 'gp-gym-outra', 'gp_gym', 'Outra | ? | null | R$90' FROM customer WHERE c_custkey % 6 = 0
-  UNION ALL SELECT c_custkey, 'gurupass', 2, 'gp-summary-fortaleza', 'summary', 'Gurupass Fortaleza: 2 academias indexadas (plano_minimo + preço).' FROM customer WHERE c_custkey % 6 = 0
-  UNION ALL SELECT c_custkey, 'gurupass', 0, 'gp-gym-' || {_NAME}, 'gp_gym', c_name || ' | ' || CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE '?' END || ' | Ilimitado ' || c_custkey % 90 || ' | R$' || {_BAL} || ' | créditos≥' || CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 50 ELSE c_custkey % 90 END FROM customer WHERE c_custkey % 6 = 1
-  UNION ALL SELECT c_custkey, 'gurupass', 1, 'r', 'rag', c_name FROM customer WHERE c_custkey % 6 = 1
-  UNION ALL SELECT c_custkey, 'gurupass', 2, 'rag-2', 'rag', 't' FROM customer WHERE c_custkey % 6 = 1
-  UNION ALL SELECT c_custkey, 'totalpass', 0, 'tp-catalog-prices', 'tp_catalog', 'TotalPass preços: TP1=R$49.9; TP 2=R$99' FROM customer WHERE c_custkey % 6 = 2
-  UNION ALL SELECT c_custkey, 'totalpass', 1, 'tp-partner-' || {_NAME}, 'tp_partner', c_name || ' TotalPass | plano_minimo=TP ' || c_custkey % 4 || ' | R$' || CASE WHEN c_custkey % 9 = 0 THEN {_BAL} WHEN c_custkey % 4 = 1 THEN '49.9' WHEN c_custkey % 4 = 2 THEN '99' ELSE '?' END || ' | a, b' FROM customer WHERE c_custkey % 6 = 2
-  UNION ALL SELECT c_custkey, 'totalpass', 2, 'tp-summary', 'summary', 'TotalPass: 1 partners indexados (plan_minimo + preço).' FROM customer WHERE c_custkey % 6 = 2
-  UNION ALL SELECT c_custkey, 'totalpass', 3, 'tp-geo-g', 'tp_partner', 'G | ' || CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE '?' END || ' | ? | R$?' FROM customer WHERE c_custkey % 6 = 2
-  UNION ALL SELECT c_custkey, 'regulatory', i, 'regulatory-' || {_NAME} || '-' || i, 'law_chunk', c_name || chr(10) || substr(repeat(c_name, 200), i * 1200 + 1, 1200) FROM customer, range(5) t(i) WHERE c_custkey % 6 = 3 AND i * 1200 < 200 * length(c_name)
-  UNION ALL SELECT c_custkey, 'wellhub', 0, 'wellhub-' || {_NAME} || '-0', 'doc_chunk', c_name || chr(10) || c_name FROM customer WHERE c_custkey % 6 = 4
-  UNION ALL SELECT c_custkey, 'wellhub', 2, 'generic-json-0', 'raw_json', '{{"aggregator":"Wellhub","pages":[{{"id":"' || c_name || '","body":"' || c_name || '"}}],"title":"' || c_name || '","text":"own"}}' FROM customer WHERE c_custkey % 6 = 4
-  UNION ALL SELECT c_custkey, 'generic', 0, 'generic-json-0', 'raw_json', '{{"foo":' || c_custkey || '}}' FROM customer WHERE c_custkey % 6 = 5)"""
-
-
-@query(f"WITH {PAYLOADS_SQL} SELECT k::VARCHAR AS source_ref, domain, ord::INT AS ord, chunk_id, chunk_type, text FROM built")
+  SELECT c_custkey AS k, 'gurupass' AS domain, 0 AS ord, 'gp-gym-' || {_NAME} AS chunk_id, 'gp_gym' AS chunk_type, c_name || ' | ' || CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE 'Centro' END || ' | Ilimitado ' || c_custkey % 90 || ' | R$' || {_BAL} AS text, '{{{_PAGE_GYM},"gym":{{{_PAGE_GYM}}},{_STAMPED}}}' AS meta FROM customer WHERE c_custkey % 6 = 0
+  UNION ALL SELECT c_custkey, 'gurupass', 1, 'gp-gym-outra', 'gp_gym', 'Outra | ? | null | R$90', '{{{_OTHER_GYM},"gym":{{{_OTHER_GYM}}},{_STAMPED}}}' FROM customer WHERE c_custkey % 6 = 0
+  UNION ALL SELECT c_custkey, 'gurupass', 2, 'gp-summary-fortaleza', 'summary', 'Gurupass Fortaleza: 2 academias indexadas (plano_minimo + preço).', '{{{_STAMPED}}}' FROM customer WHERE c_custkey % 6 = 0
+  UNION ALL SELECT c_custkey, 'gurupass', 0, 'gp-gym-' || {_NAME}, 'gp_gym', c_name || ' | ' || CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE '?' END || ' | Ilimitado ' || c_custkey % 90 || ' | R$' || {_BAL} || ' | créditos≥' || CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 50 ELSE c_custkey % 90 END, '{{{_STATED},"gym":{{{_IMPLIED}}},{_STAMPED}}}' FROM customer WHERE c_custkey % 6 = 1
+  UNION ALL SELECT c_custkey, 'gurupass', 1, 'r', 'rag', c_name, '{{{_STAMPED}}}' FROM customer WHERE c_custkey % 6 = 1
+  UNION ALL SELECT c_custkey, 'gurupass', 2, 'rag-2', 'rag', 't', '{{{_STAMPED}}}' FROM customer WHERE c_custkey % 6 = 1
+  UNION ALL SELECT c_custkey, 'totalpass', 0, 'tp-catalog-prices', 'tp_catalog', 'TotalPass preços: TP1=R$49.9; TP 2=R$99', '{{"domain":"totalpass","catalog_prices_brl":{{"TP1":49.9,"TP 2":99.0}},{_REF}}}' FROM customer WHERE c_custkey % 6 = 2
+  UNION ALL SELECT c_custkey, 'totalpass', 1, 'tp-partner-' || {_NAME}, 'tp_partner', c_name || ' TotalPass | plano_minimo=TP ' || c_custkey % 4 || ' | R$' || CASE WHEN c_custkey % 9 = 0 THEN {_BAL} WHEN c_custkey % 4 = 1 THEN '49.9' WHEN c_custkey % 4 = 2 THEN '99' ELSE '?' END || ' | ' || CASE WHEN c_custkey % 7 <> 0 THEN 'a, b' ELSE '' END, '{{"domain":"totalpass",{_PARTNER},{_REF}}}' FROM customer WHERE c_custkey % 6 = 2
+  UNION ALL SELECT c_custkey, 'totalpass', 2, 'tp-summary', 'summary', 'TotalPass: 1 partners indexados (plan_minimo + preço).', '{{{_OWN.format('totalpass')}}}' FROM customer WHERE c_custkey % 6 = 2
+  UNION ALL SELECT c_custkey, 'totalpass', 3, 'tp-geo-g', 'tp_partner', 'G | ' || CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE '?' END || ' | ? | R$?', '{{"domain":"totalpass","partner":{{"name":"G"' || CASE WHEN c_custkey % 5 <> 0 THEN ',"bairro":"' || c_mktsegment || '"' ELSE '' END || '}},{_REF}}}' FROM customer WHERE c_custkey % 6 = 2
+  UNION ALL SELECT c_custkey, 'regulatory', i, 'regulatory-' || {_NAME} || '-' || i, 'law_chunk', c_name || chr(10) || substr(repeat(c_name, 200), i * 1200 + 1, 1200), '{{"domain":"regulatory","title":"' || c_name || '","part":' || i || ',{_REF}}}' FROM customer, range(5) t(i) WHERE c_custkey % 6 = 3 AND i * 1200 < 200 * length(c_name)
+  UNION ALL SELECT c_custkey, 'wellhub', 0, 'wellhub-' || {_NAME} || '-0', 'doc_chunk', c_name || chr(10) || c_name, '{{"domain":"wellhub","title":"' || c_name || '","part":0,{_REF}}}' FROM customer WHERE c_custkey % 6 = 4
+  UNION ALL SELECT c_custkey, 'wellhub', 2, 'generic-json-0', 'raw_json', '{{"aggregator":"Wellhub","pages":[{{"id":"' || c_name || '","body":"' || c_name || '"}}],"title":"' || c_name || '","text":"own"}}', '{{{_OWN.format('generic')}}}' FROM customer WHERE c_custkey % 6 = 4
+  UNION ALL SELECT c_custkey, 'generic', 0, 'generic-json-0', 'raw_json', '{{"foo":' || c_custkey || '}}', '{{{_OWN.format('generic')}}}' FROM customer WHERE c_custkey % 6 = 5)"""
+
+
+@query(f"WITH {PAYLOADS_SQL} SELECT k::VARCHAR AS source_ref, domain, ord::INT AS ord, chunk_id, chunk_type, text, meta FROM built")
 def payload_chunks(spark, sf_dir):
-    return knowledge.chunks_of(payloads(spark, sf_dir)).select("source_ref", "domain", "ord", "chunk_id", "chunk_type", "text")
+    return knowledge.chunks_of(payloads(spark, sf_dir)).select("source_ref", "domain", "ord", "chunk_id", "chunk_type", "text", "meta")
 
 
 @query(f"WITH {PAYLOADS_SQL} SELECT chunk_type, count(*) AS chunks FROM built GROUP BY chunk_type")

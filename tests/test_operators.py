@@ -319,3 +319,9 @@ def test_files(spark, tmp_path):
     good, bad = files.json_folder(spark, str(tmp_path), "cidade string, uf string", ["cidade", "uf"])
     assert [r["file"] for r in good.collect()] == ["a.json"] and sorted(r["file"] for r in bad.collect()) == ["b.json", "c.json"]
     assert [r["file"] for r in files.text_folder(spark, str(tmp_path)).collect()] == ["d.txt"]
+
+
+def test_numbers_as_javascript_prints_them(spark):
+    for x, said in ((12345678.9, "12345678.9"), (1e7, "10000000"), (0.0001, "0.0001"), (1.5e-7, "1.5e-7"), (1e-7, "1e-7"), (1e21, "1e+21"), (1e20, "100000000000000000000"), (-0.0, "0"), (-1234.5, "-1234.5"), (0.1 + 0.2, "0.30000000000000004"), (49.9, "49.9"), (123456789012345680.0, "123456789012345680")):
+        assert one(spark, knowledge.number(F.lit(x))) == said
+    assert one(spark, knowledge.number(F.lit(None).cast("double"))) is None
