@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import cells, postings
+from tessera.operators import cells, crm, geo, postings
 from tessera.plans.registered import query
 from tessera.session import cut, table
 
@@ -59,3 +59,20 @@ def postings_rank(spark, sf_dir):
 def postings_hits(spark, sf_dir):
     """How many words of each question each document holds."""
     return postings.term_counts(postings.postings(_documents(spark, sf_dir), "word"), _asked(spark, sf_dir))
+
+
+_POINTS = """CASE WHEN doc_id % 3 = 0 THEN -22.5 + doc_id % 101 / 50.0 WHEN doc_id % 97 = 1 THEN 90.0 - doc_id % 2 * 180.0 ELSE doc_id * 7919 % 18001 / 100.0 - 90 END AS {0}lat,
+CASE WHEN doc_id % 3 = 0 THEN -45.0 + doc_id % 103 / 50.0 WHEN doc_id % 89 = 1 THEN 179.9 - doc_id % 2 * 359.85 ELSE doc_id * 104729 % 36001 / 100.0 - 180 END AS {0}lng"""
+
+
+@query(f"""WITH p AS (SELECT doc_id AS point_id, {_POINTS.format('')} FROM documents),
+c AS (SELECT n_nationkey * 9 + 3 * x + y + 4 AS centre_id, n_name AS name, n_nationkey * 7.5 - 90 + 1.5 * x AS clat, n_nationkey * 15.0 - 180 + 1.5 * y AS clng FROM nation, (SELECT unnest([-1, 0, 1]) AS x), (SELECT unnest([-1, 0, 1]) AS y)),
+d AS (SELECT point_id, centre_id, name, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians((lat - clat)::DOUBLE) / 2), 2) + cos(radians(lat::DOUBLE)) * cos(radians(clat::DOUBLE)) * pow(sin(radians((lng - clng)::DOUBLE) / 2), 2)))) AS km FROM p, c WHERE clat BETWEEN -90 AND 90)
+SELECT point_id, arg_min(centre_id, (round(km, 6), centre_id)) AS centre_id, round(min(km), 3) AS km, count(*) AS centres, array_to_string(list_sort(list_distinct(list(name))), ',') AS places FROM d WHERE km <= 300 GROUP BY point_id""")
+def geo_merge(spark, sf_dir):
+    """documents as points, a third of them around one spot, merged by id from searches of 300 km around nine points a nation."""
+    points = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), *[F.expr(x) for x in _POINTS.format("").split(",\n")])
+    cities = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_nationkey", (F.col("n_nationkey") * 7.5 - 90).alias("lat"), (F.col("n_nationkey") * 15.0 - 180).alias("lng"))
+    centres = crm.grid(cities, F.lit(True), 1.5).withColumn("centre_id", F.col("n_nationkey") * 9 + 3 * F.col("x") + F.col("y") + 4)
+    found = geo.merged(points, centres, 300.0)
+    return found.select("point_id", "centre_id", F.round("km", 3).alias("km"), "centres", F.array_join("places", ",").alias("places"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.ranking import question_rank, rank_of_places, ts_rank
-from tessera.operators import cells, postings
+from tessera.operators import cells, geo, postings
 
 
 def near_by_all(rows, asked, k, least):
@@ -132,3 +132,30 @@ def test_rank_of_places():
                         miss *= 1 - math.sqrt(0.01 / (1.005 + 0.05 * math.exp(abs(x - y) / 1.5 - 2)))
     assert rank_of_places([np.array(p) for p in places]) == pytest.approx(1 - miss, abs=1e-12)
     assert rank_of_places([np.array([3, 9])]) == pytest.approx(0.1 * 1.25 / (math.pi**2 / 6))
+
+
+def apart(a, b, c, d):
+    h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * geo.EARTH_KM * math.asin(math.sqrt(min(1, h)))
+
+
+@pytest.mark.parametrize("km", [5.0, 400.0, 9000.0, 30_000.0])
+def test_within_as_all_pairs(spark, monkeypatch, km):
+    monkeypatch.setattr(geo, "HOT", 20)
+    r = random.Random(7)
+    spots = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(150)]
+    spots += [(s * (90 - r.random() * 3), r.uniform(-180, 180)) for s in (1, -1) for _ in range(40)] + [(r.uniform(-5, 5), s * (180 - r.random())) for s in (1, -1) for _ in range(40)]
+    spots += [(10 + r.random() / 50, 20 + r.random() / 50) for _ in range(100)] + [(90.0, 0.0), (-90.0, 77.0), (0.0, 180.0), (0.0, -180.0), (12.0, 540.0), (12.0, 180.0)]
+    points = [(i, *x) for i, x in enumerate(spots)] + [(900, None, 1.0), (901, 1.0, None), (902, float("nan"), 1.0), (903, 91.0, 0.0), (904, 1.0, float("nan"))]
+    centres = [(i, *x) for i, x in enumerate(spots[::9])] + [(99, None, 0.0)]
+    got = [(x["centre_id"], x["point_id"]) for x in geo.within(spark.createDataFrame(points, "point_id long, lat double, lng double"), spark.createDataFrame(centres, "centre_id long, lat double, lng double"), km).collect()]
+    want = {(c, p) for c, a, b in centres[:-1] for p, x, y in points[: len(spots)] if apart(a, b, x, y) <= km}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_merged_by_id(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 50.0, 50.0)], "point_id long, lat double, lng double")
+    centres = spark.createDataFrame([(7, 0.0, 0.5, "a"), (8, 0.0, 1.0, "b"), (9, 0.0, -0.5, "a")], "centre_id long, lat double, lng double, name string")
+    got = sorted(tuple(x) for x in geo.merged(points, centres, 60.0).select("point_id", "centre_id", "centres", "places").collect())
+    assert got == [(1, 7, 2, ["a"]), (2, 8, 2, ["a", "b"])]
+    assert geo.merged(points.limit(0), centres, 60.0).count() == 0
