@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import cells, crm, geo, postings
+from tessera.operators import cells, crm, geo, pages, postings
 from tessera.plans.registered import query
 from tessera.session import cut, table
 
@@ -76,3 +76,28 @@ def geo_merge(spark, sf_dir):
     centres = crm.grid(cities, F.lit(True), 1.5).withColumn("centre_id", F.col("n_nationkey") * 9 + 3 * F.col("x") + F.col("y") + 4)
     found = geo.merged(points, centres, 300.0)
     return found.select("point_id", "centre_id", F.round("km", 3).alias("km"), "centres", F.array_join("places", ",").alias("places"))
+
+
+_OFFERED = """CASE page_id % 5 WHEN 0 THEN '1' || chr(10) || 'Muay Kids ' || chr(10) || chr(10) || 'Disponível a partir do plano TP 3' || chr(10) || 'Yoga Flow' || chr(10) || '(aula de uma hora) ' || chr(10) || chr(10) || 'DISPONÍVEL A PARTIR DO PLANO tp' || chr(10) || 'go. Muay thai' || chr(10) || 'Disponível a partir do plano TP 1'
+WHEN 1 THEN '7' || chr(10) || 'Dança-livre' || chr(10) || '(x) y' || chr(10) || 'Escalada' || chr(10) || '(muro' || chr(10) || '(alto)' || chr(10) || 'Disponível a partir do plano  TP 5 e Escalada' || chr(10) || 'Disponível a partir do plano TP 6'
+WHEN 2 THEN ' Temos Natação, SPA e dança. Sobre: ' || repeat('bom lugar ', 40) WHEN 3 THEN '9 Disponível a partir do plano' ELSE '' END"""
+_NAME = r"([A-ZÁÉÍÓÚÂÊÎÔÛÃÕÇ][a-záéíóúâêîôûãõç\s-]+?)\s*\n+(?:\(([^)]+)\)\s*\n+)?Disponível a partir do plano\s+(TP\s*\w+)"
+_LABELLED = "CASE {0} ELSE nome END".format(" ".join(f"WHEN {' OR '.join(f'contains(lower(nome), {p!r})' for p in parts)} THEN '{label}'" for parts, label in [(["muay"], "Muay Thai"), (["jiu"], "Jiu Jitsu"), (["boxe", "boxing"], "Boxe"), (["capoeira"], "Capoeira"), (["pilates"], "Pilates"), (["yoga"], "Yoga"), (["nata", "swim"], "Natação"), (["funcional"], "Treinamento Funcional"), (["crossfit"], "Crossfit"), (["dança", "danca", "pole"], "Dança"), (["muscul"], "Musculação"), (["fisio"], "Fisioterapia"), (["spa"], "Spa"), (["massag"], "Massoterapia"), (["tênis", "tenis"], "Tênis")]))
+_WORDS_LISTED = "['Musculação', 'Funcional', 'Crossfit', 'Jiu Jitsu', 'Muay Thai', 'Boxe', 'Capoeira', 'Pilates', 'Yoga', 'Natação', 'Dança', 'Fisioterapia', 'Spa', 'Massagem', 'Tênis', 'Lutas']"
+
+
+@query(rf"""WITH t AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', chr(10), 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', chr(10), 'g'), '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') || {_OFFERED} AS text FROM pages),
+g AS (SELECT page_id, text, regexp_extract_all(text, '(?i){_NAME}', 1) AS n, regexp_extract_all(text, '(?i){_NAME}', 2) AS x, regexp_extract_all(text, '(?i){_NAME}', 3) AS p FROM t),
+o AS (SELECT page_id, generate_subscripts(n, 1) AS i, regexp_replace(unnest(n), '^\s+|\s+$', '', 'g') AS nome, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS extra, regexp_replace(unnest(p), '\s+', ' ', 'g') AS plano FROM g),
+l AS (SELECT page_id, i, {_LABELLED} AS nome, plano, extra FROM o),
+f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY page_id, nome ORDER BY i) = 1),
+k AS (SELECT page_id, list_filter({_WORDS_LISTED}, lambda w: contains(lower(text), lower(w))) AS ws FROM t)
+SELECT k.page_id, coalesce(string_agg(f.nome || '=' || plano || '=' || coalesce(extra, ''), ';' ORDER BY i), array_to_string(list_transform(any_value(ws), lambda w: w || '=TP 1='), ';')) AS activities,
+       any_value(regexp_replace(substr(regexp_extract(text, '(?is)(?:descrição|sobre|apresenta)(.{{0,300}})', 1), 1), '^\s+', '')[:20]) AS said
+FROM k JOIN t ON t.page_id = k.page_id LEFT JOIN f ON f.page_id = k.page_id GROUP BY k.page_id""")
+def page_activities(spark, sf_dir):
+    """The activities that pages offer, in the order in which they state them."""
+    held = table(spark, sf_dir, "pages").select("page_id", F.concat(pages.page_text(F.col("html")), F.expr(_OFFERED.replace("chr(10)", "char(10)"))).alias("text"))
+    found = pages.with_activities(held)
+    line = F.transform("modalidades", lambda m: F.concat_ws("=", m["nome"], m["plano_minimo"], F.coalesce(m["descricao_extra"], F.lit(""))))
+    return found.select("page_id", F.array_join(line, ";").alias("activities"), F.substring("descricao_curta", 1, 20).alias("said"))

@@ -2,13 +2,15 @@
 
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.ranking import question_rank, rank_of_places, ts_rank
-from tessera.operators import cells, geo, postings
+from tessera.operators import cells, geo, pages, postings
 
 
 def near_by_all(rows, asked, k, least):
@@ -101,8 +103,6 @@ def test_postings_of_words(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and want
     hits = postings.term_counts(index, spark.createDataFrame([(1, "Boxe academia nada")], "query_id long, question string"))
     lower = [(i, (t or "").lower()) for i, t in enumerate(texts_for_ranks())]
-    import re
-
     count = {i: len({"boxe", "academia"} & set(re.findall(r"[^\W_]+", t))) for i, t in lower}
     assert {r["chunk_id"]: r["hits"] for r in hits.collect()} == {i: n for i, n in count.items() if n}
 
@@ -159,3 +159,39 @@ def test_merged_by_id(spark):
     got = sorted(tuple(x) for x in geo.merged(points, centres, 60.0).select("point_id", "centre_id", "centres", "places").collect())
     assert got == [(1, 7, 2, ["a"]), (2, 8, 2, ["a", "b"])]
     assert geo.merged(points.limit(0), centres, 60.0).count() == 0
+
+
+#: An offer as one pattern, tried from left to right.
+OFFER = re.compile(r"([A-ZÁÉÍÓÚÂÊÎÔÛÃÕÇ][a-záéíóúâêîôûãõç\s\-]+?)\s*\n+(?:\(([^)]+)\)\s*\n+)?Disponível a partir do plano\s+(TP\s*[A-Za-z0-9_]+)", re.IGNORECASE)
+
+
+def test_offers_as_a_regex_loop_finds_them():
+    r = random.Random(12)
+    parts = ["Disponível a partir do plano TP 3", "DISPONÍVEL a partir do plano  tp\ngo", "Disponível a partir do plano", "Yoga", "a", "Muay Thai", "(aula)", "(", ")", "()", "\n", "\n", "\n", "\n\n", "\n(aula)\n", "\nDisponível a partir do plano TP 5\n", " ", "-", "1", ".", "é", "ü", "TP 1"]
+    hits = 0
+    for _ in range(12_000):
+        said = "".join(r.choice(parts) for _ in range(r.randrange(2, 22)))
+        want = [(m[1].strip(), " ".join(m[3].split()), m[2] and m[2].strip()) for m in OFFER.finditer(said)]
+        got, _, _ = pages.read_page(said)
+        assert got == want, repr(said)
+        hits += len(want)
+    assert hits > 800
+
+
+def test_hostile_pages():
+    end = "\n\nDisponível a partir do plano TP 3"
+    hostile = ["a " * 500_000, "a\n(" * 300_000, "\n" * 1_000_000, "a\n(b)\n" * 150_000, "Disponível a partir do plano " * 40_000, "(" * 1_000_000 + end, ("a" * 50 + "\n(" + "b" * 50) * 9000 + ")" + end, "Disponível a partir do plano TP 3 " * 30_000, "a\n(b)" + "\n" * 500_000 + "x", "a\n(b\n" * 100_000 + ")\n" + end]
+    for said in hostile:
+        began = time.time()
+        pages.read_page(said)
+        assert time.time() - began < 8, said[:40]
+
+
+def test_activities(spark):
+    texts = ["Muay Kids\n\nDisponível a partir do plano TP 3\n.Muay thai\n\nDisponível a partir do plano TP 1", "temos YOGA e spa, nada de lutas", None, "", "sobre nós: " + "x" * 400]
+    held = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {x["i"]: ([(m["nome"], m["plano_minimo"]) for m in x["modalidades"]], x["descricao_curta"]) for x in pages.with_activities(held).collect()}
+    assert got[0] == ([("Muay Thai", "TP 3")], "") and got[1][0] == [("Yoga", "TP 1"), ("Spa", "TP 1"), ("Lutas", "TP 1")] and got[2] == got[3] == ([], "")
+    assert got[4][1] == "nós: " + "x" * 195 + "..."
+    html = "<script>var a = '<b>';</script><p>A&nbsp;&amp;&lt;b<!-- c --><br>d"
+    assert spark.range(1).select(pages.page_text(F.lit(html)).alias("x")).first()["x"].split() == ["A", "&<b", "d"]
