@@ -135,7 +135,7 @@ def markdown_stripped(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.strip_markdown(F.expr(_MARKED.replace("chr(10)", "char(10)"))), 256).alias("plain"))
 
 
-_BROKEN = "text || chr(10) || 'frag-' || chr(10) || 'mento ..... 9' || chr(10) || chr(10) || 'A ______ 3 …_.… B ... C' || chr(173) || 'D' || chr(160) || chr(8195) || 'e-' || chr(173) || chr(10) || 'f g' || chr(173) || '-' || chr(10) || 'h'"
+_BROKEN = "text || chr(10) || 'frag-' || chr(10) || 'mento ..... 9' || chr(10) || chr(10) || 'A ______ 3 …_.… B ... C' || chr(173) || 'D' || chr(160) || ' ' || 'e-' || chr(173) || chr(10) || 'f g' || chr(173) || '-' || chr(10) || 'h'"
 _BLANK = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
