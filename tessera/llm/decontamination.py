@@ -9,8 +9,11 @@ bitmap of fixed size that holds the class's sketches, up to the class's largest
 documents that are too small for a class skip it. A document with a hit also gives its
 shingles that any item has, from which the containment of each candidate is counted exactly.
 
-Words are runs without ASCII white space, A-Z lower-cased; a text of fewer words than a
-shingle is one shingle as a whole. Null and empty texts match nothing. Null ids stay null in
+An item of fewer words than a shingle is one shingle as a whole, and leaks into every document
+that holds its words in a row: documents are searched for all their runs of the lengths that
+such items have, at most four, against a bitmap of those items.
+
+Words are runs without ASCII white space, A-Z lower-cased. Null and empty texts match nothing. Null ids stay null in
 the result; rows of one id with different texts are searched apart, and equal results appear
 once. Empty tables give an empty result; extra columns are ignored.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
-from tessera.llm.shingles import shingle_sets
+from tessera.llm.shingles import shingle_and_gram_sets, word_hashes
 
 #: Bits of a bitmap; 1 MB, whatever the number of items.
 BITS = 1 << 23
@@ -34,14 +37,16 @@ BITS = 1 << 23
 def _item_shingles(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ns, hs, sketch = [], [], [], []
-            for item_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
+            ids, ns, hs, sketch, words = [], [], [], [], []
+            lengths = np.diff(word_hashes(batch.column(1))[1]).tolist()
+            for item_id, length, (s, _) in zip(batch.column(0).to_pylist(), lengths, shingle_and_gram_sets(batch.column(1), size, ())):
                 m = len(s) + -percent * len(s) // 100 + 1 if len(s) else 0
                 ids += [item_id] * len(s)
                 ns += [len(s)] * len(s)
                 hs.append(s.view(np.int64))
                 sketch += [True] * m + [False] * (len(s) - m)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(np.concatenate([*hs, np.zeros(0, np.int64)])), pa.array(sketch, pa.bool_())], ["item_id", "n", "h", "sketch"])
+                words += [length] * len(s)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(np.concatenate([*hs, np.zeros(0, np.int64)])), pa.array(sketch, pa.bool_()), pa.array(words, pa.int32())], ["item_id", "n", "h", "sketch", "words"])
 
     return run
 
@@ -55,18 +60,20 @@ def _bitmap(rows: DataFrame) -> np.ndarray:
     return np.unpackbits(held.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _probe(classes: list[tuple[int, int, bytes]], every: bytes, size: int):
-    """classes: (least number of a document's shingles, largest sketch hash, packed bitmap)."""
+def _probe(classes: list[tuple[int, int, bytes]], every: bytes, size: int, shorter: tuple[int, ...], short: bytes):
+    """classes: (least number of a document's shingles, largest sketch hash, packed bitmap); shorter: the lengths of items below size, and short: their bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_map = lambda x: np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").astype(bool)
-        held, sketches = open_map(every), [(least, np.uint64(top), open_map(x)) for least, top, x in classes]
+        held, brief, sketches = open_map(every), open_map(short), [(least, np.uint64(top), open_map(x)) for least, top, x in classes]
         for batch in batches:
             ids, marks, hs = [], [], []
-            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
+            for doc_id, (s, runs) in zip(batch.column(0).to_pylist(), shingle_and_gram_sets(batch.column(1), size, shorter)):
                 at = (s & np.uint64(BITS - 1)).astype(np.int64)
-                if any(len(s) >= least and bits[at[: np.searchsorted(s, top, side="right")]].any() for least, top, bits in sketches):
-                    own = s[held[at]].view(np.int64)
+                met = runs[brief[(runs & np.uint64(BITS - 1)).astype(np.int64)]]
+                found = any(len(s) >= least and bits[at[: np.searchsorted(s, top, side="right")]].any() for least, top, bits in sketches)
+                if found or len(met):
+                    own = np.unique(np.concatenate([s[held[at]] if found else s[:0], met])).view(np.int64)
                     ids += [doc_id] * len(own)
                     marks += [int(np.bitwise_xor.reduce(s).view(np.int64))] * len(own)
                     hs.append(own)
@@ -78,16 +85,19 @@ def _probe(classes: list[tuple[int, int, bytes]], every: bytes, size: int):
 def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_shingles, shared, containment) for items (item_id, text) in docs (doc_id, text)."""
     own = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    shingles = cut(own.mapInArrow(_item_shingles(size, percent), "item_id long, n int, h long, sketch boolean"))
-    sketches = shingles.where("sketch").withColumn("kind", F.floor(F.log2("n")).cast("int"))
+    shingles = cut(own.mapInArrow(_item_shingles(size, percent), "item_id long, n int, h long, sketch boolean, words int"))
+    sketches = shingles.where("sketch").withColumn("kind", F.when(F.col("words") < size, -1).otherwise(F.floor(F.log2("n")).cast("int")))
     # Hashes are unsigned; with the top bit turned over, their order is that of signed numbers.
     top = F.max(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
-    kinds = sorted((r["kind"], r["least"], r["top"] + (1 << 63)) for r in sketches.groupBy("kind").agg(F.min("n").alias("least"), top.alias("top")).collect())
+    kinds = sorted((r["kind"], r["least"], r["top"] + (1 << 63)) for r in sketches.where("kind >= 0").groupBy("kind").agg(F.min("n").alias("least"), top.alias("top")).collect())
     pack = lambda x: np.packbits(_bitmap(x), bitorder="little").tobytes()
     classes = [(-(-percent * least // 100), high, pack(sketches.where(F.col("kind") == kind))) for kind, least, high in kinds]
 
+    brief = sketches.where("kind < 0")
+    shorter = tuple(sorted(r["words"] for r in brief.select("words").distinct().collect()))
+
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hits = cut(texts.mapInArrow(_probe(classes, pack(shingles), size), "doc_id long, mark long, h long"))
+    hits = cut(texts.mapInArrow(_probe(classes, pack(shingles.where(F.col("words") >= size)), size, shorter, pack(brief)), "doc_id long, mark long, h long"))
     candidates = hits.join(sketches.select("h", "item_id"), "h").select("doc_id", "mark", "item_id").distinct()
     # Only a candidate's own shingles are looked up, so frequent shingles of other items cost nothing.
     wanted = candidates.alias("c").join(shingles.alias("s"), F.expr("c.item_id <=> s.item_id")).select("c.*", "s.h", "s.n")
@@ -110,7 +120,10 @@ WITH w AS (
 s AS (
   SELECT DISTINCT id, kind, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
                                    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
-  FROM w),
+  FROM w WHERE kind = 1 OR len(w) >= 5
+  UNION
+  SELECT id, 0, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))
+  FROM w, (SELECT DISTINCT len(w) AS n FROM w WHERE kind = 1 AND len(w) BETWEEN 1 AND 4) WHERE kind = 0 AND len(w) >= n),
 n AS (SELECT id, count(*)::INT AS n FROM s WHERE kind = 1 GROUP BY id),
 p AS (SELECT d.id AS doc_id, b.id AS item_id, count(*)::INT AS shared FROM s d JOIN s b ON d.s = b.s AND d.kind = 0 AND b.kind = 1 GROUP BY 1, 2)
 SELECT doc_id, item_id, n AS n_shingles, shared, shared::DOUBLE / n AS containment FROM p JOIN n ON n.id = item_id WHERE 100 * shared >= 80 * n

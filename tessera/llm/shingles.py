@@ -74,3 +74,22 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         words, starts = word_hashes(texts.take(pa.array(np.arange(a, b))))  # not a slice: ascii_lower misreads those
         for row in shingle_rows(words, starts, size):
             yield np.unique(row)
+
+
+def gram_rows(words: np.ndarray, starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """For each text the hashes of all its runs of size words, each as ``shingle_rows`` gives it for a text of just those words."""
+    rolled = words.copy()
+    for j in range(1, size):
+        rolled[: len(rolled) - j] = rolled[: len(rolled) - j] * _STEP + words[j:] if len(words) > j else rolled[: len(rolled) - j]
+    rolled = _mix(rolled + np.uint64(size))
+    for a, b in zip(starts[:-1], starts[1:]):
+        yield rolled[a : max(a, b - size + 1)]
+
+
+def shingle_and_gram_sets(texts: pa.Array, size: int, shorter: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct shingles, ascending, and the distinct runs of each of some shorter lengths."""
+    for a, b in groups(texts):
+        words, starts = word_hashes(texts.take(pa.array(np.arange(a, b))))
+        runs = [gram_rows(words, starts, n) for n in shorter]
+        for row in shingle_rows(words, starts, size):
+            yield np.unique(row), np.unique(np.concatenate([next(r) for r in runs])) if runs else row[:0]

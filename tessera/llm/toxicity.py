@@ -21,8 +21,8 @@ fewer, different words that it follows: near copies don't make a rare word look
 Nulls and empty texts score as a text without any toxic window; a null id is never held out
 and its labels aren't learned from. Equal texts get equal scores, repeated rows stay repeated,
 an empty table gives an empty result. Without labels of both classes outside the held-out fold,
-or without a word that sets toxic texts apart, every text scores 0.5, which says nothing, and
-none counts as toxic. Columns ``margin`` and ``score`` of docs are replaced, all others stay.
+or without a word that sets toxic texts apart, every text scores the share of toxic labels, but
+at most ``MOST_UNTRAINED``, so none counts as toxic. Columns ``margin`` and ``score`` of docs are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ ORDINARY_BYTES, TOXIC_BYTES, COUNTED, TAKEN = 16_384, 8_192, 6, 32
 #: A word is evidence in this share of the toxic texts, and in 4 of them at least, if its share there is so many times that in ordinary ones.
 LEAST_SHARE, CONTRAST = 0.015, 10
 PARTS = 3
+#: The most that a text scores where nothing sets toxic texts apart.
+MOST_UNTRAINED = 0.49
 #: What a doubled window takes beyond its own bytes with a dictionary that has nothing of it, and the bytes by which it must be shorter to count.
 FIXED_COST, LEAST_SAVED = 15, 3
 NOT_LETTERS = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -85,8 +87,7 @@ class ToxicityModel:
     ordinary: bytes = b" " * 16
     toxic: bytes = b" " * 16
     margins: list[float] = field(default_factory=lambda: [0.0])
-    scores: list[float] = field(default_factory=lambda: [0.5])
-    trained: bool = False
+    scores: list[float] = field(default_factory=lambda: [0.0])
 
     def meters(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         return compressor(self.ordinary), compressor(self.toxic)
@@ -124,8 +125,8 @@ def _margins(models: list[ToxicityModel]):
     return F.pandas_udf(run, "int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_ordinary: int) -> tuple[DataFrame, dict[int, float]]:
-    """The bounded sample (toxic, part, text), and for each class the labelled ids that one of it stands for."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_ordinary: int) -> tuple[DataFrame, dict[int, float], float]:
+    """The bounded sample (toxic, part, text), for each class the labelled ids that one of it stands for, and the share of toxic ones, one ordinary id added."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     there = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bounds = {1: max_toxic, 0: max_ordinary}
@@ -134,7 +135,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_ordina
     # At most max_toxic + max_ordinary ids: a proven bound for a broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part")
-    return rows.select("toxic", part, F.coalesce("text", F.lit("")).alias("text")), {y: max(1.0, there.get(y, 0) / bounds[y]) for y in bounds}
+    rate = there.get(1, 0) / (there.get(1, 0) + there.get(0, 0) + 1)
+    return rows.select("toxic", part, F.coalesce("text", F.lit("")).alias("text")), {y: max(1.0, there.get(y, 0) / bounds[y]) for y in bounds}, rate
 
 
 def _texts_of_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,13 +186,13 @@ def _some_windows(each: int):
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_ordinary: int = 12_000, candidates: int = 20_000, max_windows: int = 100_000) -> ToxicityModel:
     """Learn dictionaries and calibration from labels outside the held-out fold."""
-    rows, weight = training_rows(docs, labels, max_toxic, max_ordinary)
+    rows, weight, rate = training_rows(docs, labels, max_toxic, max_ordinary)
     rows = rows.persist()
     try:
         size = Counter({(r["toxic"], r["part"]): r["n"] for r in rows.groupBy("toxic", "part").agg(F.count(F.lit(1)).alias("n")).collect()})
         all_of = lambda y, without=None: sum(size[y, p] for p in range(PARTS) if p != without)
         if not all_of(1) or not all_of(0):
-            return ToxicityModel()
+            return ToxicityModel(scores=[min(rate, MOST_UNTRAINED)])
         toxic = rows.where("toxic = 1")
         least = max(4, LEAST_SHARE * all_of(1) * (PARTS - 1) / PARTS)
         common = toxic.mapInPandas(_texts_of_words, "word binary, n int").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -207,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_ordinar
 
         evident = {k: evidence(k) for k in (None, *range(PARTS))}
         if not evident[None]:
-            return ToxicityModel()
+            return ToxicityModel(scores=[min(rate, MOST_UNTRAINED)])
         residues = [(r["part"], [bytes(w) for w in r["words"]]) for r in toxic.mapInPandas(_residues(frozenset().union(*evident.values())), "part int, words array<binary>").collect()]
         each = max(1, max_windows // all_of(0))
         windows = [(r["part"], bytes(r["window"])) for r in rows.where("toxic = 0").mapInPandas(_some_windows(each), "part int, window binary").collect()]
@@ -217,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_ordinar
             # The trainer takes the best piece of each stretch of its samples: hash order deals them evenly and always alike.
             samples = sorted((b" " + b" ".join(ws) + b" " for ws in left if ws), key=xxhash.xxh3_128_digest)
             plain = sorted((w for part, w in windows if part != without), key=xxhash.xxh3_128_digest)
-            return ToxicityModel(trained_dictionary(plain, ORDINARY_BYTES), trained_dictionary(samples, TOXIC_BYTES), trained=True)
+            return ToxicityModel(trained_dictionary(plain, ORDINARY_BYTES), trained_dictionary(samples, TOXIC_BYTES))
 
         model, others = fitted(None), [fitted(k) for k in range(PARTS)]
         fit = rows.select("toxic", _margins(others)("text", "part").alias("margin")).groupBy("margin", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -239,13 +241,13 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return margins.withColumn("score", F.element_at(line, at))
 
 
-def predicted(model: ToxicityModel) -> Column:
-    """1 where a scored text counts as toxic, 0 elsewhere; a model without training calls none toxic."""
-    return (F.col("score") >= 0.5).cast("int") if model.trained else F.lit(0)
+def predicted() -> Column:
+    """1 where a scored text counts as toxic, 0 elsewhere."""
+    return (F.col("score") >= 0.5).cast("int")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document: doc_id, held_out, score, predicted, margin."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted(model).alias("predicted"), "margin")
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted().alias("predicted"), "margin")

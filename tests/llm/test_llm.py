@@ -197,6 +197,7 @@ def test_toxicity_stage_without_both_classes(spark, tmp_path, kind):
     assert kept.columns == corpus_pipeline.COLUMNS and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
     got = toxicity.op8_toxicity(spark, str(tmp_path))
     assert dict(got.dtypes)["predicted"] == "int" and [x["predicted"] for x in got.collect()] == [0] * 60
+    assert len({x["score"] for x in got.collect()}) == 1 and all(0 <= x["score"] < 0.5 for x in got.collect())
 
 
 def test_html():
@@ -278,7 +279,8 @@ def brute_leaks(docs, items):
     out = set()
     for i, t in docs:
         for k, u in items:
-            a, b = sets_of(t, 5), sets_of(u, 5)
+            n = len((u or "").split())
+            a, b = (sets_of(t, n) if 0 < n < 5 else sets_of(t, 5)), sets_of(u, 5)
             if b and 100 * len(a & b) >= 80 * len(b):
                 out.add((i, k, len(b), len(a & b)))
     return out
@@ -286,8 +288,8 @@ def brute_leaks(docs, items):
 
 def test_decontamination(spark):
     r = random.Random(8)
-    items = [(k, prose(r, r.choice([2, 6, 20, 70]))) for k in range(20)] + [(20, ""), (21, None)]
-    docs = [(100, prose(r, 15_000) + " " + items[5][1].upper() + " x"), (101, items[0][1]), (102, None), (103, "")]
+    items = [(k, prose(r, r.choice([2, 6, 20, 70]))) for k in range(20)] + [(20, ""), (21, None), (22, "What is FOUR words"), (23, "one"), (24, "w1 w2 w3"), (25, "one one")]
+    docs = [(100, prose(r, 15_000) + " " + items[5][1].upper() + " x"), (101, items[0][1]), (102, None), (103, ""), (104, "so what is four  words here, one"), (105, "what is four"), (106, "One"), (107, "x w1\tw2\nw3"), (108, "is four words what"), (None, "one w1 w2 w3"), (109, "one one one"), (109, "one one one"), (109, "what is four words")]
     for k, t in items[:20]:
         w = t.split()
         if len(w) > 30:
@@ -296,6 +298,13 @@ def test_decontamination(spark):
     table = spark.createDataFrame([(k, t, "z") for k, t in items], "item_id long, text string, doc_id string")
     got = {tuple(x)[:4] for x in decontamination.leaks(frame(spark, [(i, t, "s") for i, t in docs]), table).collect()}
     assert got == brute_leaks(docs, items) and len(got) > 12
+    import duckdb
+    import pyarrow as pa
+
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": [i for i, _ in docs], "text": pa.array([t for _, t in docs], pa.string())}))
+    c.register("benchmark", pa.table({"item_id": [k for k, _ in items], "text": pa.array([t for _, t in items], pa.string())}))
+    assert {tuple(x)[:4] for x in c.sql(decontamination.ORACLE_SQL).fetchall()} == got
     assert decontamination.leaks(frame(spark, []), table).count() == 0 and decontamination.leaks(frame(spark, [(1, "a", "b")]), table.limit(0)).count() == 0
 
 
