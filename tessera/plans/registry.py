@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import query_filters, text
 from tessera.operators import crm, evaluation, retrieval, store
-from tessera.plans import catalog, documents, feeds, indexes  # noqa: F401  (their queries register themselves)
+from tessera.plans import catalog, documents, feeds, indexes, intake  # noqa: F401  (their queries register themselves)
 from tessera.plans.adapt import CHUNKS_SQL, GYMS_SQL, LEADS_SQL, chunks, gyms, leads, query_vector
 from tessera.plans.registered import oracle_sql, queries, query  # noqa: F401
 from tessera.session import table
