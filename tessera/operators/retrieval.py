@@ -115,8 +115,9 @@ def cut_to_city(hits: DataFrame, municipio: str | None) -> DataFrame:
         return hits
     wanted = fold(F.lit(municipio))
     marked = hits.withColumn("is_primary", F.coalesce(fold(F.col("cidade")) == wanted, F.lit(False))).withColumn("is_related", F.exists(F.coalesce("municipios_relacionados", F.array().cast("array<string>")), lambda m: fold(m) == wanted))
-    any_primary = marked.agg(F.coalesce(F.max("is_primary"), F.lit(False)).alias("any_primary"))
-    return marked.crossJoin(F.broadcast(any_primary)).where(F.when(F.col("any_primary"), F.col("is_primary")).otherwise(F.col("is_related"))).drop("is_primary", "is_related", "any_primary")
+    # Hits of one search, 50 rows at most, so the window over all of them is small; the search runs once.
+    found = marked.withColumn("any_primary", F.max("is_primary").over(Window.partitionBy(F.lit(1))))
+    return found.where(F.when(F.col("any_primary"), F.col("is_primary")).otherwise(F.col("is_related"))).drop("is_primary", "is_related", "any_primary")
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,12 +11,13 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFr
 
     Rows with a null in the key never meet and are all kept.
     """
-    last = Window.partitionBy(*key).orderBy(F.desc(order))
     complete = F.lit(True)
     for k in key:
         complete &= F.col(k).isNotNull()
-    latest = new.where(complete).withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place").unionByName(new.where(~complete))
-    return old.join(latest.select(*key), key, "left_anti").unionByName(latest.drop(order) if order not in old.columns else latest)
+    keyed = new.where(complete)
+    # The last row by partial maxima: a key that a batch repeats often is combined before the shuffle.
+    latest = keyed.groupBy(*key).agg(F.max_by(F.struct(*new.columns), F.struct(order)).alias("last")).select("last.*").unionByName(new.where(~complete))
+    return old.join(keyed.select(*key), key, "left_anti").unionByName(latest.drop(order) if order not in old.columns else latest)
 
 
 def replace_where(old: DataFrame, new: DataFrame, condition: Column) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import classify, text
-from tessera.operators import crm, evaluation, knowledge, store
-from tessera.plans.adapt import LEADS_SQL, leads
+from tessera.operators import crm, evaluation, knowledge, retrieval, store
+from tessera.plans.adapt import CHUNKS_SQL, LEADS_SQL, chunks, leads
 from tessera.plans.registered import query
 from tessera.session import table
 from tessera.streaming import inbound
@@ -167,30 +167,39 @@ def small_functions(spark, sf_dir):
     )
 
 
-_HITS_SQL = "h AS (SELECT b.item_id AS query_id, d.doc_id, (row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id))::INT AS rank, translate(lower(d.text), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn') || ' {\"lang\":\"' || d.lang || '\"}' AS blob, d.source, d.lang FROM benchmark b JOIN documents d ON d.doc_id % 97 = b.item_id % 97 AND d.text IS NOT NULL)"
+_FOLDED = "translate(lower({0}), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn')"
+_HITS_SQL = f"""{CHUNKS_SQL},
+n AS (SELECT x.vec_id AS query_id, c.vec_id AS doc_id, (row_number() OVER (PARTITION BY x.vec_id ORDER BY list_cosine_similarity(c.embedding, x.embedding) DESC, c.chunk_id))::INT AS rank
+      FROM chunks x JOIN chunks c ON c.group_id = x.group_id WHERE x.vec_id % 50 = 0 AND list_cosine_similarity(c.embedding, x.embedding) >= 0.0 QUALIFY rank <= 15),
+b AS (SELECT vec_id AS query_id, text FROM chunks WHERE vec_id % 50 = 0),
+h AS (SELECT query_id, n.doc_id, rank, {_FOLDED.format("coalesce(d.text, '')")} || ' {{"lang":"' || d.lang || '"}}' AS blob, d.source, d.lang FROM n JOIN documents d USING (doc_id))"""
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as hits of benchmark items by their ids' remainder, ranked by id."""
-    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("k", F.col("doc_id") % 97)
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 97).alias("k"))
-    found = b.join(d, "k").withColumn("rank", F.expr("row_number() over (partition by query_id order by doc_id)"))
-    return found.select("query_id", "rank", "text", F.to_json(F.struct("lang")).alias("meta"), "source", "lang")
+    """What the searches of the chunks whose ids are divisible by 50 find, with the documents' fields."""
+    held = chunks(spark, sf_dir)
+    asked = held.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "group_id")
+    found = retrieval.batch_match(held, asked).select("query_id", "rank", F.col("vec_id").alias("doc_id"))
+    return found.join(table(spark, sf_dir, "documents"), "doc_id").select("query_id", "rank", "text", F.to_json(F.struct("lang")).alias("meta"), "source", "lang")
 
 
-@query(f"""WITH {_HITS_SQL}, q AS (SELECT item_id AS query_id, ['The', 'LANG":"de', split_part(text, ' ', 3)] AS kw FROM benchmark),
-m AS (SELECT h.query_id, rank, i, contains(blob, translate(lower(kw[i]), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn')) AS hit FROM h JOIN q USING (query_id), range(1, 4) t(i)),
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "text")
+
+
+@query(f"""WITH {_HITS_SQL}, kws AS (SELECT query_id, ['The', 'LANG":"de', split_part(text, ' ', 3)] AS kw FROM b),
+m AS (SELECT h.query_id, rank, i, contains(blob, {_FOLDED.format('kw[i]')}) AS hit FROM h JOIN kws USING (query_id), range(1, 4) t(i)),
 r AS (SELECT query_id, rank, bool_or(hit) AS hit FROM m GROUP BY ALL),
 a AS (SELECT query_id, count(*) AS retrieved, avg(hit::INT::DOUBLE) FILTER (rank <= 5) AS precision, 1.0 / min(rank) FILTER (hit) AS mrr FROM r GROUP BY query_id),
 k AS (SELECT query_id, count(DISTINCT i) / 3.0 AS recall FROM m WHERE hit AND rank <= 5 GROUP BY query_id)
-SELECT q.query_id, coalesce(retrieved, 0) AS retrieved, round(coalesce(recall, 0), 6) AS recall, round(coalesce(precision, 0), 6) AS precision, round(coalesce(mrr, 0), 6) AS mrr FROM q LEFT JOIN a USING (query_id) LEFT JOIN k USING (query_id)""")
+SELECT kws.query_id, coalesce(retrieved, 0) AS retrieved, round(coalesce(recall, 0), 6) AS recall, round(coalesce(precision, 0), 6) AS precision, round(coalesce(mrr, 0), 6) AS mrr FROM kws LEFT JOIN a USING (query_id) LEFT JOIN k USING (query_id)""")
 def eval_keywords(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.lit("The"), F.lit('LANG":"de'), F.split_part("text", F.lit(" "), F.lit(3))).alias("keywords"))
+    b = _questions(spark, sf_dir).select("query_id", F.array(F.lit("The"), F.lit('LANG":"de'), F.split_part("text", F.lit(" "), F.lit(3))).alias("keywords"))
     found = evaluation.keyword_metrics(_hits(spark, sf_dir), b)
     return found.select("query_id", "retrieved", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr")])
 
 
-@query(f"""WITH {_HITS_SQL}, m AS (SELECT b.item_id, b.item_id % 3 AS document, coalesce(bool_or(contains('src1', source) OR contains(source, 'src1')), false) AS doc_match, CASE WHEN b.item_id % 4 <> 0 THEN coalesce(bool_or(lang = 'de'), false) END AS city_match, count(query_id)::DOUBLE AS recall FROM benchmark b LEFT JOIN h ON query_id = item_id AND rank <= 5 GROUP BY b.item_id)
+@query(f"""WITH {_HITS_SQL}, m AS (SELECT b.query_id, coalesce(bool_or(contains('src1', source) OR contains(source, 'src1')), false) AS doc_match, CASE WHEN b.query_id % 4 <> 0 THEN coalesce(bool_or(lang = 'de'), false) END AS city_match, count(h.query_id)::DOUBLE AS recall FROM b LEFT JOIN h ON h.query_id = b.query_id AND rank <= 5 GROUP BY b.query_id)
 SELECT round(avg(recall), 6) AS avg_recall, round(avg(doc_match::INT), 6) AS doc_match_rate, round(avg(city_match::INT), 6) AS city_match_rate, round(avg(NULL::DOUBLE), 6) AS none_rate FROM m""")
 def eval_rates(spark, sf_dir):
     return evaluation.rates(_judged(spark, sf_dir), ["recall"], ["doc_match", "city_match", "none"])
@@ -198,12 +207,12 @@ def eval_rates(spark, sf_dir):
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _hits(spark, sf_dir).where("rank <= 5").groupBy("query_id").agg(F.collect_set("source").alias("refs"), F.max(F.col("lang") == "de").alias("de"), F.count(F.lit(1)).cast("double").alias("n"))
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).join(top, "query_id", "left")
+    b = _questions(spark, sf_dir).select("query_id").join(top, "query_id", "left")
     k = F.col("query_id")
     return b.select("query_id", (k % 3).alias("document"), evaluation.document_match(F.col("refs"), F.lit("SRC1")).alias("doc_match"), F.when(k % 4 != 0, F.coalesce("de", F.lit(False))).alias("city_match"), F.lit(None).cast("boolean").alias("none"), F.coalesce("n", F.lit(0.0)).alias("recall"))
 
 
-@query(f"WITH {_HITS_SQL}, m AS (SELECT item_id, count(query_id)::DOUBLE AS recall FROM benchmark LEFT JOIN h ON query_id = item_id AND rank <= 5 GROUP BY ALL) SELECT item_id % 3 AS document, round(avg(recall), 6) AS recall, count(*) AS queries FROM m GROUP BY 1")
+@query(f"WITH {_HITS_SQL}, m AS (SELECT b.query_id, count(h.query_id)::DOUBLE AS recall FROM b LEFT JOIN h ON h.query_id = b.query_id AND rank <= 5 GROUP BY ALL) SELECT query_id % 3 AS document, round(avg(recall), 6) AS recall, count(*) AS queries FROM m GROUP BY 1")
 def eval_recall_by_document(spark, sf_dir):
     return evaluation.recall_by(_judged(spark, sf_dir), "document")
 

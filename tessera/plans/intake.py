@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import collation
-from tessera.operators import embedding, ingest, settings
+from tessera.operators import answers, embedding, ingest, settings
 from tessera.plans.registered import query
 from tessera.session import shared_folder, table
 
@@ -98,3 +98,58 @@ def rights_by_role(spark, sf_dir):
     role = F.element_at(F.array(*[F.lit(x) for x in ("admin", "creator", "viewer", "bot", "stranger", None)]), (k % 6 + 1).cast("int"))
     mine, theirs = F.when(k % 5 != 0, F.concat(F.lit("t"), (k % 3).cast("string"))), F.when(k % 4 != 0, F.concat(F.lit("t"), (k % 2).cast("string")))
     return table(spark, sf_dir, "documents").select("doc_id", settings.row_filter(_RIGHTS, role, mine, theirs).alias("visible"), settings.allows(_RIGHTS, role, "edit").alias("editable"))
+
+
+_GYM = """doc_id AS ord, CASE WHEN doc_id % 500 = 77 THEN 'Crossfit Aldeota ' || doc_id ELSE 'Gym ' || doc_id END AS name,
+CASE doc_id % 9 WHEN 0 THEN 'Coco' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE source END AS bairro, CASE WHEN doc_id % 4 <> 0 THEN 'Ilimitado ' || doc_id % 90 END AS plano_minimo,
+CASE WHEN doc_id % 7 = 1 THEN doc_id % 50 END AS creditos_minimos, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 90 + 0.5 END AS valor_mensal_brl"""
+_GYM_QUESTION = """CASE item_id % 9 WHEN 0 THEN 'Qual o VALOR do plano Ilimitado ' || item_id % 95 || '?' WHEN 1 THEN 'academias no cocó com ' || item_id % 100 || ' créditos' WHEN 2 THEN 'a mais barata com ilimitado ' || item_id % 30
+WHEN 3 THEN 'crossfit aldeota com ' || item_id % 100 || ' creditos' WHEN 4 THEN 'Crossfit Aldeota' WHEN 5 THEN 'quais aceitam ilimitado ' || item_id % 60 WHEN 6 THEN 'bom dia' WHEN 7 THEN 'LISTA' ELSE 'mais barata' END"""
+
+
+@query(f"""WITH g AS (SELECT *, coalesce(creditos_minimos, TRY_CAST(nullif(regexp_extract(plano_minimo, '[0-9]+'), '') AS BIGINT)) AS need, plano_minimo IS NOT NULL OR creditos_minimos IS NOT NULL OR valor_mensal_brl IS NOT NULL AS listed,
+  '• ' || name || ' (' || coalesce(nullif(bairro, ''), '?') || ') — ' || coalesce(plano_minimo, '?') || ' / R$' || coalesce(valor_mensal_brl::DOUBLE::VARCHAR, '?') AS line FROM (SELECT {_GYM} FROM documents)),
+q AS (SELECT item_id, lower({_GYM_QUESTION}) AS q FROM benchmark),
+a AS (SELECT *, TRY_CAST(coalesce(nullif(regexp_extract(q, 'ilimitado\\s*([0-9]+)', 1), ''), nullif(regexp_extract(q, '([0-9]+)\\s*cr[eé]ditos?', 1), '')) AS BIGINT) AS c FROM q),
+t AS (SELECT count(*) FILTER (listed) AS listed, arg_min(line, ord) FILTER (contains(lower(name), 'crossfit aldeota')) AS named, coalesce(arg_min(need, ord) FILTER (contains(lower(name), 'crossfit aldeota')), 70) AS named_need,
+  arg_min(coalesce(plano_minimo, 'null') || ' (R$' || coalesce(valor_mensal_brl::DOUBLE::VARCHAR, 'null') || ')', ord) FILTER (contains(lower(name), 'crossfit aldeota')) AS named_plan FROM g),
+f AS (SELECT item_id, count(ord) AS n, count(ord) FILTER (contains(lower(bairro), 'coco')) AS coco, arg_min(line, (coalesce(valor_mensal_brl, 9e9), ord)) AS cheapest FROM a LEFT JOIN g ON listed AND (c IS NULL OR need <= c) GROUP BY item_id),
+p AS (SELECT item_id, arg_min(name, ord) AS name, arg_min(coalesce(valor_mensal_brl, -1), ord) AS price FROM a JOIN g ON listed AND need = c GROUP BY item_id),
+i AS (SELECT *, CASE WHEN regexp_matches(q, 'valor|pre[cç]o|custa|quanto') AND c IS NOT NULL AND NOT regexp_matches(q, 'academ|aceit|lista|quais') THEN 'price' WHEN regexp_matches(q, 'coco|cocó') THEN 'district' WHEN regexp_matches(q, 'barat|menor pre') THEN 'cheapest'
+  WHEN contains(q, 'crossfit aldeota') THEN 'named' WHEN regexp_matches(q, 'quais|lista|aceit|gurupass|academ') OR c IS NOT NULL THEN 'list' ELSE 'hint' END AS intent FROM a)
+SELECT item_id, intent, CASE intent WHEN 'price' THEN 'Ilimitado ' || c || ' = R$' || printf('%.2f', CASE WHEN p.price IS NULL OR p.price < 0 THEN round(c::DOUBLE * 4.95::DOUBLE, 2) ELSE p.price::DOUBLE END) || '/mês' || CASE WHEN p.name IS NULL THEN ' (tabela R$4,95/crédito)' ELSE ' (visto em ' || p.name || ')' END || '.'
+  WHEN 'district' THEN CASE WHEN coco > 0 THEN '' ELSE 'Nenhuma academia indexada com bairro Cocó neste agente. Snapshot atual é Fortaleza city-wide.' END
+  WHEN 'cheapest' THEN coalesce('Mais barata no filtro' || coalesce(' (≤' || c || ' créditos)', '') || ':' || chr(10) || cheapest, 'Nenhuma academia no filtro do seu plano.')
+  WHEN 'named' THEN CASE WHEN named IS NULL THEN 'Crossfit Aldeota não está no índice.' WHEN c < named_need THEN 'Crossfit Aldeota exige ' || named_plan || '. Seu plano (' || c || ' créditos) NÃO cobre.' ELSE named END
+  WHEN 'list' THEN CASE WHEN c IS NOT NULL THEN 'Gurupass com ≤' || c || ' créditos: ' || n || '/' || listed || ' academias' ELSE 'Gurupass indexado: ' || n || ' academias' END || CASE WHEN n = 0 THEN chr(10) || '(nenhuma no filtro)' ELSE '' END
+  ELSE 'Pergunte: lista Gurupass, bairro, plano (ex. Ilimitado 35), ou academia específica.' END AS text
+FROM i JOIN f USING (item_id) LEFT JOIN p USING (item_id), t""")
+def gym_answers(spark, sf_dir):
+    """What a table of questions gets from documents as gyms."""
+    gyms = spark.sql(f"SELECT {_GYM} FROM {{docs}}", docs=table(spark, sf_dir, "documents"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.expr(_GYM_QUESTION).alias("question"))
+    found, _ = answers.answer_gyms(asked, gyms)
+    return found.select(F.col("question_id").alias("item_id"), "intent", "text")
+
+
+_PARTNER = """doc_id AS ord, 'P' || doc_id AS name, CASE WHEN doc_id % 9 = 0 THEN 'Coco' END AS bairro, CASE WHEN doc_id % 5 <> 0 THEN 'TP ' || doc_id % 8 END AS plan_minimo, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 90 + 0.5 END AS price_brl_month"""
+_PARTNER_QUESTION = "(['quais academias TP 3', 'TP 5+ no coco', 'mais barata TP go', 'Tabela', 'oi', 'lista', 'Cocó', 'qual a mais barata', 'TP free no coco', 'tp1'])[(item_id % 10 + 1)::INT]"
+
+
+@query(f"""WITH g AS (SELECT *, CASE plan_minimo WHEN 'TP 0' THEN 1 WHEN 'TP 1' THEN 2 WHEN 'TP 2' THEN 4 WHEN 'TP 3' THEN 5 WHEN 'TP 4' THEN 6 WHEN 'TP 5' THEN 7 WHEN 'TP 6' THEN 9 WHEN 'TP 7' THEN 10 END AS need,
+  '• ' || name || coalesce(' (' || bairro || ')', '') || ' — ' || plan_minimo || ' / R$' || coalesce(price_brl_month::DOUBLE::VARCHAR, '?') AS line FROM (SELECT {_PARTNER} FROM documents)),
+q AS (SELECT item_id, {_PARTNER_QUESTION} AS q FROM benchmark),
+a AS (SELECT item_id, lower(q) AS q, CASE q WHEN 'quais academias TP 3' THEN 'TP 3' WHEN 'TP 5+ no coco' THEN 'TP 5' WHEN 'mais barata TP go' THEN 'TP GO' WHEN 'TP free no coco' THEN 'TP Free' WHEN 'tp1' THEN 'TP 1' END AS plan,
+  CASE q WHEN 'quais academias TP 3' THEN 5 WHEN 'TP 5+ no coco' THEN 7 WHEN 'mais barata TP go' THEN 1 WHEN 'TP free no coco' THEN 0 WHEN 'tp1' THEN 2 END AS r FROM q),
+f AS (SELECT item_id, count(ord) AS n, count(ord) FILTER (bairro = 'Coco') AS coco, arg_min(line, (coalesce(price_brl_month, 9e9), ord)) AS cheapest FROM a LEFT JOIN g ON plan_minimo IS NOT NULL AND (r IS NULL OR need <= r) GROUP BY item_id),
+i AS (SELECT *, CASE WHEN regexp_matches(q, 'coco|cocó') THEN CASE WHEN coco = 0 AND contains(q, 'tp') THEN 'network' ELSE 'district' END WHEN contains(q, 'barat') THEN 'cheapest' WHEN contains(q, 'tabela') THEN 'catalog' WHEN plan IS NOT NULL OR contains(q, 'lista') THEN 'list' ELSE 'hint' END AS intent FROM a JOIN f USING (item_id))
+SELECT item_id, intent, CASE intent WHEN 'network' THEN 'TotalPass (fixture Cocó / partners): ' || n || ' academias com ≤' || plan WHEN 'district' THEN CASE WHEN coco > 0 THEN '' ELSE 'Nenhum partner TP com bairro Cocó no meta.' END
+  WHEN 'cheapest' THEN coalesce('Mais barata no filtro:' || chr(10) || cheapest, 'Nenhuma no filtro.') WHEN 'list' THEN CASE WHEN plan IS NULL THEN 'TotalPass indexado: ' || n || ' academias' ELSE 'TotalPass com ≤' || plan || ': ' || n || '/' || (SELECT count(*) FROM g) END || CASE WHEN n = 0 THEN chr(10) || '(nenhuma)' ELSE '' END
+  ELSE 'TotalPass preços: TP1=R$49.9' END AS text FROM i""")
+def partner_answers(spark, sf_dir):
+    """What a table of questions gets from documents as partners with ranked plans."""
+    partners = spark.sql(f"SELECT {_PARTNER} FROM {{docs}}", docs=table(spark, sf_dir, "documents"))
+    listed = F.array(*[F.lit(x) for x in ("quais academias TP 3", "TP 5+ no coco", "mais barata TP go", "Tabela", "oi", "lista", "Cocó", "qual a mais barata", "TP free no coco", "tp1")])
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.element_at(listed, (F.col("item_id") % 10 + 1).cast("int")).alias("question"))
+    found, _ = answers.answer_partners(asked, partners, "TotalPass preços: TP1=R$49.9")
+    return found.select(F.col("question_id").alias("item_id"), "intent", "text")
