@@ -111,6 +111,29 @@ def none_if_blank(x: Column) -> Column:
     return F.nullif(F.trim(x), F.lit(""))
 
 
+def _meta_value(meta: Column, key: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(meta), f"$.{key}", "variant")
+
+
+def meta_text(meta: Column, key: str) -> Column:
+    """A key's text in JSON metadata, trimmed; null where it is blank, missing or no text."""
+    value = _meta_value(meta, key)
+    return F.when(F.schema_of_variant(value) == "STRING", none_if_blank(trim(F.try_variant_get(value, "$", "string"))))
+
+
+def meta_number(meta: Column, key: str) -> Column:
+    """A key's number in JSON metadata, or its text where that is a number; null where it is neither or not finite."""
+    value = _meta_value(meta, key)
+    number = F.when(F.schema_of_variant(value) != "BOOLEAN", trim(F.try_variant_get(value, "$", "string"))).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+
+
+def month_grid(day: Column) -> Column:
+    """struct(first_weekday, days) of a date's month: how many cells a calendar that starts on Sunday leaves empty before it, and its days."""
+    first = F.trunc(day, "month")
+    return F.struct((F.dayofweek(first) - 1).alias("first_weekday"), F.dayofmonth(F.last_day(first)).alias("days"))
+
+
 def content_hash(*parts: Column) -> Column:
     """sha256 of the parts joined by bars; null parts are skipped."""
     return F.sha2(F.concat_ws("|", *parts), 256)

@@ -69,3 +69,15 @@ def paired(base: DataFrame, other: DataFrame, missing: int = 99) -> DataFrame:
     """Improved, worsened and unchanged queries between two runs, by first_rank; none counts as ``missing``."""
     b, o = (x.select("query_id", F.coalesce("first_rank", F.lit(missing)).alias(n)) for x, n in ((base, "b"), (other, "o")))
     return b.join(o, "query_id").agg(F.count_if(F.col("o") < F.col("b")).alias("improved"), F.count_if(F.col("o") > F.col("b")).alias("worsened"), F.count_if(F.col("o") == F.col("b")).alias("unchanged"))
+
+
+def rank_changes(base: DataFrame, other: DataFrame, missing: int = 99) -> DataFrame:
+    """(query_id, delta_rank, top_changed) of two runs (query_id, first_rank, top_city).
+
+    delta_rank is how many places the first right hit has come up; where only the other run has one it is ``missing``,
+    where only the base has one minus that, and 0 where neither has. top_changed tells whether the cities of the first hits differ.
+    """
+    b, o = (x.select("query_id", F.col("first_rank").alias(f"{n}_rank"), F.col("top_city").alias(f"{n}_city")) for x, n in ((base, "b"), (other, "o")))
+    had, has = F.col("b_rank").isNotNull(), F.col("o_rank").isNotNull()
+    delta = F.when(had & has, F.col("b_rank") - F.col("o_rank")).when(has, missing).when(had, -missing).otherwise(0)
+    return b.join(o, "query_id").select("query_id", delta.cast("int").alias("delta_rank"), (~F.col("b_city").eqNullSafe(F.col("o_city"))).alias("top_changed"))

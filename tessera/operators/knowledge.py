@@ -317,3 +317,12 @@ def sources(hits: DataFrame) -> DataFrame:
         "chunk_id", "score", trimmed("nome_academia").alias("nome_academia"), cities.alias("municipios"), trimmed("modalidade").alias("modalidade"),
         F.coalesce(trimmed("plano_minimo"), F.get("m.planos_aceitos", F.lit(0))).alias("plano_minimo"), trimmed("warning_message").alias("warning"), F.coalesce(trimmed("source_ref"), "own_ref").alias("source_ref"),
     )
+
+
+def missing_plans(chunks: DataFrame) -> DataFrame:
+    """(group_id, missing) of chunks (group_id, chunk_type, meta JSON): groups that have gym chunks of which none states a plan, credits or price. Groups that have partner or law chunks as well are exempt."""
+    m = F.from_json("meta", "plano_minimo string, creditos_minimos double, valor_mensal_brl double")
+    states = F.coalesce(m["plano_minimo"], m["creditos_minimos"].cast("string"), m["valor_mensal_brl"].cast("string")).isNotNull()
+    gym, other = F.col("chunk_type") == "gp_gym", F.col("chunk_type").isin("tp_partner", "law_chunk")
+    found = chunks.groupBy("group_id").agg(F.count_if(gym).alias("gyms"), F.count_if(gym & states).alias("stated"), F.count_if(other).alias("others"))
+    return found.select("group_id", ((F.col("gyms") > 0) & (F.col("stated") == 0) & (F.col("others") == 0)).alias("missing"))

@@ -30,10 +30,12 @@ def has_activity(key: str) -> Column:
 
 
 def in_city(name: str, mode: str = "strict") -> Column:
-    """strict: equal without case to the city or a related one; contains: either side inside the other. Accents count."""
+    """strict: equal without case to the city or a related one; equal: to the city only; contains: either side inside the other. Accents count."""
     wanted = F.lower(F.lit(name))
     city = F.coalesce(F.lower("cidade"), F.lit(""))
     related = F.coalesce("municipios_relacionados", F.array().cast("array<string>"))
+    if mode == "equal":
+        return city == wanted
     if mode == "strict":
         return (city == wanted) | F.exists(related, lambda m: F.lower(m) == wanted)
     return F.contains(city, wanted) | ((city != "") & F.contains(wanted, city)) | F.exists(related, lambda m: F.contains(F.lower(m), wanted))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -101,3 +101,27 @@ def publish_status(chunks: DataFrame) -> DataFrame:
     """(group_id, chunk_count, status): published if no chunk is pending, else training."""
     pending = F.col("embedding").isNull() | (F.col("embedding_model") == "pending")
     return chunks.groupBy("group_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.when(F.count_if(pending) == 0, "published").otherwise("training").alias("status"))
+
+
+def agent_status(chunks: DataFrame, errors: DataFrame, shown: int = 3) -> DataFrame:
+    """``publish_status`` with last_error: a group's first few errors (group_id, at, message) in order, joined by bars, null where it has none.
+
+    Errors are numbered and cut before they are gathered, so a group with very many of them gathers no more than are shown.
+    """
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy("at", "message"))
+    first = errors.where("message is not null").withColumn("place", place).where(F.col("place") <= shown)
+    said = first.groupBy("group_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "message"))), lambda x: x["message"]), " | ").alias("last_error"))
+    return publish_status(chunks).join(said, "group_id", "left")
+
+
+def check_violations(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Rows that a check doesn't hold of, with ``violated``, the names of all such checks in order. As in SQL a check that is null holds."""
+    failed = F.array_compact(F.array(*[F.when(~check, F.lit(name)) for name, check in checks.items()]))
+    return rows.withColumn("violated", failed.cast("array<string>")).where(F.size("violated") > 0)
+
+
+def replace_counted(old: DataFrame, new: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """``replace_where``, and one row with how many rows were deleted and inserted."""
+    gone = old.agg(F.count_if(F.coalesce(condition, F.lit(False))).alias("deleted"), F.lit(0).cast("long").alias("inserted"))
+    come = new.agg(F.lit(0).cast("long").alias("deleted"), F.count(F.lit(1)).alias("inserted"))
+    return replace_where(old, new, condition), gone.unionByName(come).agg(F.sum("deleted").alias("deleted"), F.sum("inserted").alias("inserted"))

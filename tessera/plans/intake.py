@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import collation
-from tessera.operators import answers, embedding, ingest, settings
+from tessera.functions import collation, text
+from tessera.operators import answers, embedding, ingest, knowledge, settings, store
 from tessera.plans.registered import query
 from tessera.session import shared_folder, table
 
@@ -153,3 +153,42 @@ def partner_answers(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.element_at(listed, (F.col("item_id") % 10 + 1).cast("int")).alias("question"))
     found, _ = answers.answer_partners(asked, partners, "TotalPass preços: TP1=R$49.9")
     return found.select(F.col("question_id").alias("item_id"), "intent", "text")
+
+
+@query("""WITH c AS (SELECT doc_id, list_filter([CASE WHEN NOT (n_chars <= 3000) THEN 'length' END, CASE WHEN NOT (lang IN ('en', 'de')) THEN 'lang' END, CASE WHEN NOT (doc_id % 7 <> 3) THEN 'id' END], lambda x: x IS NOT NULL) AS v FROM documents)
+SELECT doc_id, array_to_string(v, ',') AS violated FROM c WHERE len(v) > 0""")
+def check_violations(spark, sf_dir):
+    found = store.check_violations(table(spark, sf_dir, "documents"), {"length": F.col("n_chars") <= 3000, "lang": F.col("lang").isin("en", "de"), "id": F.col("doc_id") % 7 != 3})
+    return found.select("doc_id", F.array_join("violated", ",").alias("violated"))
+
+
+@query("""WITH e AS (SELECT source, 'e' || doc_id AS message, row_number() OVER (PARTITION BY source ORDER BY n_chars, 'e' || doc_id) AS place FROM documents WHERE doc_id % 3 = 1 AND source <> 'src1'),
+m AS (SELECT source, string_agg(message, ' | ' ORDER BY place) AS last_error FROM e WHERE place <= 3 GROUP BY source)
+SELECT d.source AS group_id, count(*) AS chunk_count, CASE WHEN count(*) FILTER (d.source IN ('src0', 'src2') AND doc_id % 5 = 0) = 0 THEN 'published' ELSE 'training' END AS status, any_value(last_error) AS last_error
+FROM documents d LEFT JOIN m ON m.source = d.source WHERE d.source IS NOT NULL GROUP BY d.source""")
+def agent_status(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    model = F.when(F.col("source").isin("src0", "src2") & (F.col("doc_id") % 5 == 0), "pending").otherwise("m")
+    chunks = docs.select(F.col("source").alias("group_id"), F.array(F.lit(1.0)).alias("embedding"), model.alias("embedding_model"))
+    errors = docs.where("doc_id % 3 = 1 and source <> 'src1'").select(F.col("source").alias("group_id"), F.col("n_chars").alias("at"), F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("message"))
+    return store.agent_status(chunks, errors)
+
+
+_META = """CASE doc_id % 6 WHEN 0 THEN '{"plano_minimo":" TP 1 ","valor_mensal_brl":" 12.5 "}' WHEN 1 THEN '{"valor_mensal_brl":3,"plano_minimo":7}' WHEN 2 THEN '{"plano_minimo":"  ","valor_mensal_brl":"x"}' WHEN 3 THEN '{broken' WHEN 4 THEN '{"valor_mensal_brl":true,"plano_minimo":null}' END"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'TP 1' END AS plan, CASE doc_id % 6 WHEN 0 THEN 12.5 WHEN 1 THEN 3.0 END::DOUBLE AS price, dayofweek(date_trunc('month', d))::INT AS first_weekday, day(last_day(d))::INT AS days
+FROM (SELECT doc_id, DATE '2023-01-15' + (doc_id % 900)::INT AS d FROM documents)""")
+def meta_values(spark, sf_dir):
+    grid = text.month_grid(F.date_add(F.lit("2023-01-15").cast("date"), (F.col("doc_id") % 900).cast("int")))
+    meta = F.expr(_META)
+    return table(spark, sf_dir, "documents").select("doc_id", text.meta_text(meta, "plano_minimo").alias("plan"), text.meta_number(meta, "valor_mensal_brl").alias("price"), grid["first_weekday"].alias("first_weekday"), grid["days"].alias("days"))
+
+
+@query("""SELECT source AS group_id, count(*) FILTER (doc_id % 4 <> 0 AND NOT (source = 'src1' AND doc_id % 9 = 5)) > 0 AND count(*) FILTER (doc_id % 4 <> 0 AND source IN ('src0', 'src2') AND doc_id % 11 = 1) = 0 AND count(*) FILTER (source = 'src1' AND doc_id % 9 = 5) = 0 AS missing
+FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def missing_plans(spark, sf_dir):
+    k, other = F.col("doc_id"), (F.col("source") == "src1") & (F.col("doc_id") % 9 == 5)
+    kind = F.when(other, "tp_partner").when(k % 4 != 0, "gp_gym").otherwise("summary")
+    meta = F.when(F.col("source").isin("src0", "src2") & (k % 11 == 1), '{"creditos_minimos":5}').otherwise("{}")
+    return knowledge.missing_plans(table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("group_id"), kind.alias("chunk_type"), meta.alias("meta")))

@@ -12,7 +12,7 @@ from tessera.functions import text
 from tessera.functions.query_filters import extract_filters
 from tessera.functions.ranking import blend, cosine, question_rank, ts_rank
 from tessera.functions.stems import stem
-from tessera.operators import crm, knowledge, retrieval, store
+from tessera.operators import crm, evaluation, knowledge, retrieval, store
 from tessera.sources import files
 from tessera.streaming import inbound
 
@@ -325,3 +325,36 @@ def test_numbers_as_javascript_prints_them(spark):
     for x, said in ((12345678.9, "12345678.9"), (1e7, "10000000"), (0.0001, "0.0001"), (1.5e-7, "1.5e-7"), (1e-7, "1e-7"), (1e21, "1e+21"), (1e20, "100000000000000000000"), (-0.0, "0"), (-1234.5, "-1234.5"), (0.1 + 0.2, "0.30000000000000004"), (49.9, "49.9"), (123456789012345680.0, "123456789012345680")):
         assert one(spark, knowledge.number(F.lit(x))) == said
     assert one(spark, knowledge.number(F.lit(None).cast("double"))) is None
+
+
+def test_small_text_functions(spark):
+    assert one(spark, text.opening_hours(F.lit("Obs | Horário: 6h às 22h | x"))) == "6h às 22h" and one(spark, text.opening_hours(F.lit("nada"))) is None
+    assert one(spark, text.is_uuid(F.lit("123E4567-e89b-12d3-a456-426614174000"))) is True and one(spark, text.is_uuid(F.lit("123e4567-e89b-62d3-a456-426614174000"))) is False
+    assert one(spark, text.preview(F.lit(""), F.lit("image"))) == "[image]" and one(spark, text.preview(F.lit("x" * 300), F.lit("t"))) == "x" * 200
+    assert one(spark, F.length(text.slug(F.lit("ab " * 60), "-", 60))) == 60
+    number = lambda v: one(spark, text.meta_number(F.lit(v).cast("string"), "k"))
+    assert [number(v) for v in ('{"k": 1.5}', '{"k": " 2 "}', '{"k": "1e3"}', '{"k": "NaN"}', '{"k": "Infinity"}', '{"k": {}}', '{"k": null}', "[]", None)] == [1.5, 2.0, 1000.0, None, None, None, None, None, None]
+    assert one(spark, text.meta_text(F.lit('{"k": "\\u00a0 a b "}'), "k")) == "a b" and one(spark, text.meta_text(F.lit('{"k": 1}'), "k")) is None
+
+
+def test_in_city_by_equality(chunks):
+    assert ids(retrieval.match_chunks(chunks, [1.0, 0.0], min_similarity=0.0, municipio="arujá", municipio_mode="equal")) == ["a"]
+
+
+def test_replaced_and_counted(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "k int, v string")
+    rows, counts = store.replace_counted(old, old.where("k = 1"), F.col("v") == "a")
+    assert sorted(r["k"] for r in rows.collect()) == [1, 3] and tuple(counts.first()) == (2, 1)
+    assert store.check_violations(old, {"v": F.col("v") != "a", "k": F.col("k") < 2}).count() == 3
+
+
+def test_upsert_keeps_a_row_without_an_order(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "b", None), (2, "c", None), (2, "d", 1)], "k int, v string, o int")
+    assert sorted((r["k"], r["v"]) for r in store.upsert(old, new, ["k"], "o").collect()) == [(1, "b"), (2, "d")]
+
+
+def test_rank_changes(spark):
+    runs = lambda rows: spark.createDataFrame(rows, "query_id int, first_rank int, top_city string")
+    got = evaluation.rank_changes(runs([(1, 3, "a"), (2, None, "a"), (3, 1, None), (4, None, None)]), runs([(1, 1, "b"), (2, 2, "a"), (3, None, "x"), (4, None, None)]))
+    assert sorted(map(tuple, got.collect())) == [(1, 2, True), (2, 99, False), (3, -99, True), (4, 0, False)]
