@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.functions import collation, text
-from tessera.operators import answers, embedding, ingest, knowledge, settings, store
+from tessera.operators import answers, embedding, ingest, knowledge, render, retrieval, settings, store
+from tessera.plans.adapt import CHUNKS_SQL, chunks
 from tessera.plans.registered import query
 from tessera.session import shared_folder, table
 
@@ -192,3 +195,44 @@ def missing_plans(spark, sf_dir):
     kind = F.when(other, "tp_partner").when(k % 4 != 0, "gp_gym").otherwise("summary")
     meta = F.when(F.col("source").isin("src0", "src2") & (k % 11 == 1), '{"creditos_minimos":5}').otherwise("{}")
     return knowledge.missing_plans(table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("group_id"), kind.alias("chunk_type"), meta.alias("meta")))
+
+
+_HIT = """'g' || vec_id % 40 AS gym_id, CASE vec_id % 40 % 4 WHEN 0 THEN 'Ácqua ' WHEN 1 THEN 'acqua ' WHEN 2 THEN 'Zênite ' ELSE 'zen ' END || vec_id % 40 || CASE WHEN vec_id % 5 = 0 THEN ' Yoga' ELSE '' END AS nome,
+CASE WHEN vec_id % 3 = 0 THEN 'B' || vec_id % 6 END AS bairro, CASE WHEN vec_id % 7 <> 0 THEN 'Plan ' || vec_id % 4 END AS plano, CASE WHEN vec_id % 7 <> 0 THEN vec_id % 4 + 1 END AS plan_rank,
+CASE vec_id % 4 WHEN 0 THEN 'N/A' WHEN 1 THEN 'R$ ' || vec_id END AS valor, CASE WHEN vec_id % 8 = 3 THEN '6h' END AS horario"""
+
+
+@query(f"""WITH {CHUNKS_SQL},
+p AS (SELECT x.vec_id AS query_id, x.cidade AS municipio, c.*, list_cosine_similarity(c.embedding, x.embedding) AS sim FROM chunks x JOIN chunks c ON c.group_id = x.group_id WHERE x.vec_id % 50 = 0 AND sim >= 0.0),
+h AS (SELECT query_id, municipio, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS ord, round(sim, 6) AS score, modalidade_key, {_HIT} FROM p QUALIFY ord <= 15),
+m AS (SELECT * EXCLUDE (plano, plan_rank), coalesce(plano, 'Plano não informado') AS plano, coalesce(plan_rank, 99) AS plan_rank, CASE WHEN contains(nome, 'Yoga') THEN 'yoga' ELSE modalidade_key END AS modality FROM h),
+u AS (SELECT *, min(ord) OVER (PARTITION BY query_id, gym_id) AS seen FROM m QUALIFY row_number() OVER (PARTITION BY query_id, gym_id ORDER BY plan_rank, ord) = 1),
+b AS (SELECT query_id, plano, count(*) AS gyms, min(plan_rank) AS rank, min(seen) AS seen, arg_max(valor, seen) FILTER (valor IS NOT NULL AND valor <> 'N/A') AS valor FROM u GROUP BY query_id, plano),
+su AS (SELECT query_id, sum(gyms)::BIGINT AS total, string_agg(plano || ': ' || gyms || ' academia(s)' || coalesce(' (valor referência: ' || valor || ')', ''), chr(10) ORDER BY rank, seen) AS plans FROM b GROUP BY query_id),
+g AS (SELECT *, min(ord) OVER (PARTITION BY query_id, modality, gym_id) AS seen FROM m QUALIFY row_number() OVER (PARTITION BY query_id, modality, gym_id ORDER BY score DESC, ord) = 1),
+f AS (SELECT query_id, modality, min(ord) AS came FROM m GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, modality ORDER BY nome COLLATE pt, seen) AS place FROM g),
+t AS (SELECT query_id, modality, came, string_agg(nome || coalesce(' (' || bairro || ')', '') || ' — ' || plano || coalesce(' | Horário: ' || horario, ''), chr(10) ORDER BY place) AS lines FROM n JOIN f USING (query_id, modality) GROUP BY ALL),
+c AS (SELECT query_id, string_agg(CASE modality WHEN 'musculacao' THEN 'Musculação' WHEN 'pilates' THEN 'Pilates' WHEN 'muay_thai' THEN 'Muay Thai' WHEN 'yoga' THEN 'Yoga' WHEN 'boxe' THEN 'Boxe' ELSE 'Dança' END || chr(10) || lines, chr(10) || chr(10)
+  ORDER BY list_position(['musculacao', 'funcional', 'crossfit', 'pilates', 'yoga', 'muay_thai', 'jiu_jitsu', 'boxe', 'natacao', 'danca'], modality), came) AS sections FROM t GROUP BY query_id),
+a AS (SELECT vec_id AS query_id, cidade AS municipio FROM chunks WHERE vec_id % 50 = 0)
+SELECT a.query_id, coalesce('Academias em ' || municipio || ' que aceitam Wellhub (resultados recuperados):' || chr(10) || chr(10) || 'Total: ' || total || ' academia(s) única(s) nos resultados recuperados.' || chr(10) || 'Por plano mínimo Wellhub:' || chr(10) || plans || chr(10) || chr(10) || sections,
+  'Não encontrei academias Wellhub no catálogo para essa busca.') AS text FROM a LEFT JOIN su USING (query_id) LEFT JOIN c USING (query_id)""")
+def rendered_answers(spark, sf_dir):
+    """The answers to all searches whose ids are divisible by 50."""
+    held = chunks(spark, sf_dir)
+    asked = held.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "group_id", F.col("cidade").alias("wanted"))
+    found = retrieval.batch_match(held, asked).select("query_id", F.col("rank").alias("ord"), F.round("similarity", 6).alias("score"), F.col("modalidade_key").alias("modalidade"), *[F.expr(x) for x in _split(_HIT)])
+    return render.answers(asked.select("query_id", F.col("wanted").alias("municipio")), found)
+
+
+def _split(columns: str) -> list[str]:
+    """A select list at the commas between its columns, each of which ends in a name."""
+    out = columns.replace("\n", " ").split(", ")
+    joined, held = [], []
+    for part in out:
+        held.append(part)
+        if re.search(r" AS \w+$", part.rstrip(",")):
+            joined.append(", ".join(held).rstrip(","))
+            held = []
+    return joined

@@ -5,4 +5,4 @@ from tessera.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4"})
+    return local_session(4, "tests", **{"spark.sql.shuffle.partitions": "2"})

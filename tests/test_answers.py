@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tessera.operators import answers
+from tessera.operators import answers, render
 
 GYMS = [
     (1, "A", "Centro", "Ilimitado 35", None, 173.25), (2, "B", None, "Ilimitado 20", 15, None), (3, "Crossfit Aldeota", "Aldeota", "Ilimitado 60", None, 297.0), (4, "D", "Coco Norte", None, 70, 99.5),
@@ -91,3 +91,20 @@ def test_partner_answers(spark):
     bare = rendered(*answers.answer_partners(asked.where("question_id >= 8"), table))
     assert bare[8] == bare[9] == "Pergunte: lista TotalPass, TP3, Cocó, ou preço tabela."
     assert "Sem partners" in rendered(*answers.answer_partners(asked, table.limit(0)))[0]
+
+
+HIT = "query_id int, ord int, gym_id string, nome string, bairro string, modalidade string, plano string, plan_rank int, valor string, horario string, score double"
+
+
+def test_rendered_hits(spark):
+    hits = [
+        (1, 0, "z", "Zulu", None, "boxe", "Silver", 2, "R$ 50", None, 0.9), (1, 1, "a", "Ácqua", "Centro", "natacao", "Gold", 3, "N/A", "6h às 22h", 0.8), (1, 2, "b", "acqua fit", "", "Natacao", None, None, None, "", 0.7),
+        (1, 3, "a", "Ácqua", "Centro", "natacao", "Basic", 1, None, None, 0.8), (1, 4, "z", "Zulu Yoga", None, "boxe", "Silver", 2, "R$ 70", None, 0.95), (1, 5, "s", "Sol", None, "surf_e_sol", "Silver", 4, None, None, None),
+    ]
+    searches = spark.createDataFrame([(1, " Recife "), (2, None)], "query_id int, municipio string")
+    got = {x["query_id"]: x["text"] for x in render.answers(searches, spark.createDataFrame(hits, HIT).repartition(3)).collect()}
+    assert got[1].split("\n") == [
+        "Academias em Recife que aceitam Wellhub (resultados recuperados):", "", "Total: 4 academia(s) única(s) nos resultados recuperados.", "Por plano mínimo Wellhub:", "Basic: 1 academia(s)", "Silver: 2 academia(s) (valor referência: R$ 50)", "Plano não informado: 1 academia(s)", "",
+        "Yoga", "Zulu Yoga — Silver", "", "Boxe", "Zulu — Silver", "", "Natação", "Ácqua (Centro) — Gold | Horário: 6h às 22h", "acqua fit — Plano não informado", "", "Surf E Sol", "Sol — Silver",
+    ]
+    assert got[2] == render.NOTHING
