@@ -60,11 +60,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def shuffle_count(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 #: Bits of a membership bitmap; 8 MB, whatever it is made of.
 BITMAP_BITS = 1 << 26
 
