@@ -66,11 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written as Parquet in the folder of spark.checkpoint.dir and read again."""
+    """All stages in turn, each written as Parquet in the folder of spark.checkpoint.dir and read again; what a stage has read is deleted once its result is written."""
     cut(spark.range(1))  # a session without a checkpoint folder gets one
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+        done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
     return STAGES[-1][1](spark, docs, sf_dir)
