@@ -27,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of 5-word shingles at 80 of 100, the document with the smallest id stays; so do rows without an id, and rows that repeat an id with other texts."""
     found = jaccard_join.near_duplicates(docs, size=5, percent=80)
-    kept = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows"))
+    # Ids only, and read twice: a plan that holds the join twice takes much of the driver's memory.
+    kept = cut(found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows")))
     held = docs.select(*COLUMNS)
     # Only ids with several rows are looked at for rows that say the same.
     named = held.join(kept, F.col("doc_id") == F.col("kept_id"))

@@ -261,19 +261,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sc = docs.sparkSession.sparkContext
     prefixes = texts.mapInArrow(_prefixes(size, percent), "key long, h long")
     shared = cut(prefixes.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("h"))
-    base = cut(texts.mapInArrow(_signatures(size, percent, sc.broadcast(bitmap(shared, "h"))), "doc_id long, n long, node binary, key long, need int, head array<long>"))
+    held = sc.broadcast(bitmap(shared, "h"))
+    base = cut(texts.mapInArrow(_signatures(size, percent, held), "doc_id long, n long, node binary, key long, need int, head array<long>"))
+    held.destroy()
     classes = base.where("node is not null").groupBy("node", "key").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     kept = cut(classes.join(_survivors(base, shared), "key").select("node", "low").withColumn("hashed", F.xxhash64("low")))
 
-    chosen = texts.select("doc_id", F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_chosen(sc.broadcast(bitmap(kept, "hashed"))), "doc_id long, text string")
+    held = sc.broadcast(bitmap(kept, "hashed"))
+    chosen = texts.select("doc_id", F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_chosen(held), "doc_id long, text string")
     sets = chosen.join(kept, F.col("doc_id") == F.col("low")).select("node", "text").mapInArrow(_sets(size), "node binary, n long, shingles array<long>, sketch array<long>")
     # Short ids stand for digests while shingles are shuffled; the checkpoint fixes them.
     named = cut(sets.withColumn("digest", F.col("node")).withColumn("node", F.monotonically_increasing_id()))
+    held.destroy()
     labels = _components(named.select("node", "n", "shingles", "sketch"), percent)
     ids = named.select("node", "digest").join(kept.select(F.col("node").alias("digest"), "low"), "digest")
     labelled = labels.join(ids, "node")
     smallest = labelled.groupBy("label").agg(F.min("low").alias("component"))
-    linked = labelled.join(smallest, "label").groupBy(F.col("digest").alias("node")).agg(F.min("component").alias("component"))
+    # A plan of its own: the driver holds plans, their generated code and their metrics, and one of everything is far larger than its parts.
+    linked = cut(labelled.join(smallest, "label").groupBy(F.col("digest").alias("node")).agg(F.min("component").alias("component")))
 
     several = classes.select("node", "low", "copies").join(linked, "node", "left").where("copies > 1 or component is not null").select("node", F.coalesce("component", "low").alias("component"))
     return base.select("doc_id", "n", "node").join(several, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -414,6 +414,20 @@ def test_secrets_base_by_brute_force(spark):
         assert [y for y in x["spans"] if y["kind"] < 3] == x["base"]
 
 
+def shuffle_files(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle_")}
+
+
+def test_cut_drops_what_was_shuffled(spark):
+    before = shuffle_files(spark)
+    held = common.cut(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    until = time.time() + 10
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and len(held.collect()) == 10
+
+
 def test_secrets_recall(spark):
     r = random.Random(32)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
