@@ -7,10 +7,10 @@ threshold is a secret of kind ``markov``, unless it meets a base span. Of other
 segments between ``/``, ``_``, ``=`` and ``-`` are weighed in the same way, so that ordinary words
 beside a key don't hide it; segments of digits alone are numbers rather than keys.
 
-Both models are first-order with add-one smoothing over one alphabet and come from labelled
-samples: generated keys in three spellings, and identifiers of one to three words of at most
-``train_docs`` documents, in the order of a hash of their ids. The threshold is what at most
-one of a thousand sample identifiers of a candidate's length reaches, and at least 0.
+Both models are first-order with add-one smoothing over one alphabet: one learns from generated
+keys in three spellings, the other from the identifiers of one to three words of all documents.
+The threshold is what at most one of a thousand of these identifiers of a candidate's length
+reaches, and at least 0.
 
 Null and empty texts have no spans; the digest is then that of the empty string. Ids may be
 null or repeat; an empty table gives an empty result and models of smoothing alone. Columns
@@ -38,7 +38,7 @@ LEAST_VALUE = 8
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Parts of a run that are weighed on their own; 12 characters set keys and words apart.
 SEGMENT = r"[A-Za-z0-9+]{12,}"
-#: Words of samples: letters that aren't part of a longer run of key characters.
+#: Words of identifiers: letters that aren't part of a longer run of key characters.
 WHOLE_WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,16}(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -115,40 +115,68 @@ class KeyModel:
         return F.aggregate(places, F.struct(F.lit(-1).alias("a"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
 
 
-def samples(docs: DataFrame, train_docs: int, random_rows: int) -> DataFrame:
-    """(s, random): generated keys, and identifiers of documents' words."""
-    spark = docs.sparkSession
+def random_keys(spark: SparkSession, rows: int) -> DataFrame:
+    """(s): generated keys in three spellings."""
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
     letters = F.base64(F.unhex(digest))
     style = F.when(F.col("id") % 3 == 0, letters).when(F.col("id") % 3 == 1, digest).otherwise(F.upper(F.regexp_replace(letters, "[+/=]", "")))
-    keys = spark.range(random_rows).select(style.alias("s"), F.lit(1).alias("random"))
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    # At most train_docs ids: a proven bound for a broadcast.
-    words = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WHOLE_WORD), F.lit(0)).alias("w"))
-    joined = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1, F.lit(n)), lambda i: F.concat_ws("_", F.slice("w", i, F.lit(n))))
-    names = F.flatten(F.array(*[F.when(F.size("w") >= n, joined(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
-    return keys.unionByName(words.select(F.explode(names).alias("s"), F.lit(0).alias("random")))
-
-
-def train(docs: DataFrame, train_docs: int = 400, random_rows: int = 20_000) -> KeyModel:
-    """Count pairs of characters by class; at most 68 * 68 counts a class reach the driver."""
-    rows = samples(docs, train_docs, random_rows).persist()
-    try:
-        place = lambda c: F.instr(F.lit(ALPHABET), c)
-        at = F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i")
-        pairs = rows.where(F.length("s") > 1).select("random", "s", at).groupBy("random", place(F.substring("s", F.col("i"), F.lit(1))).alias("a"), place(F.substring("s", F.col("i") + 1, F.lit(1))).alias("b"))
-        size = len(ALPHABET) + 1
-        counts = [[[1.0] * size for _ in range(size)] for _ in range(2)]
-        for r in pairs.agg(F.count(F.lit(1)).alias("n")).collect():
-            counts[r["random"]][r["a"]][r["b"]] += r["n"]
-        chance = [[[math.log(x / sum(row)) for x in row] for row in table] for table in counts]
-        model = KeyModel([round(chance[1][a][b] - chance[0][a][b], 6) for a in range(size) for b in range(size)], 0.0)
-        long = rows.where((F.col("random") == 0) & (F.length("s") >= 20)).select(model.ratio(F.col("s")).alias("r"))
-        reached = long.agg(F.percentile_approx("r", 0.999, 10_000).alias("r")).first()["r"]
-        model.threshold = max(0.0, reached or 0.0)
-        return model
-    finally:
-        rows.unpersist()
+    return spark.range(rows).select(style.alias("s"))
+
+
+def words(docs: DataFrame) -> DataFrame:
+    """(w): the words of each text, in order."""
+    return docs.select(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WHOLE_WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
+
+
+def identifiers(docs: DataFrame, least: int = 1) -> DataFrame:
+    """(s): the identifiers of a text, which are its words one by one, by twos and by threes, joined by ``_``, of ``least`` characters or more."""
+    def joined(n: int) -> Column:
+        at = lambda i: F.concat_ws("_", *[F.element_at("w", i + k) for k in range(n)])
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1, F.lit(n)), at)).otherwise(F.array().cast("array<string>"))
+
+    names = F.concat(*[F.filter(joined(n), lambda x: F.length(x) >= least) for n in (1, 2, 3) if 16 * n + n - 1 >= least])
+    return words(docs).select(F.explode(names).alias("s"))
+
+
+def identifier_pairs(docs: DataFrame) -> DataFrame:
+    """(a, b, n): how often a character follows another in all identifiers of all documents.
+
+    Each different word is taken apart once, with the times that identifiers hold it, and that they have it before or behind ``_``.
+    """
+    i, m = F.col("i"), F.col("m")
+    within = lambda n: i < m - m % n
+    times = lambda *tests: sum((t.cast("long") for t in tests), F.lit(0))
+    each = words(docs).select(F.size("w").alias("m"), F.posexplode("w").alias("i", "s")).select(
+        "s",
+        (times(within(2), within(3)) + 1).alias("inside"),
+        times(within(2) & (i % 2 == 1), within(3) & (i % 3 > 0)).alias("behind"),
+        times(within(2) & (i % 2 == 0), within(3) & (i % 3 < 2)).alias("before"),
+    )
+    known = each.groupBy("s").agg(*[F.sum(c).alias(c) for c in ("inside", "behind", "before")])
+    marked = known.select(F.concat(F.lit("_"), "s", F.lit("_")).alias("s"), "inside", "behind", "before", F.explode(F.sequence(F.lit(1), F.length("s") + 1)).alias("at"))
+    n = F.when(F.col("at") == 1, F.col("behind")).when(F.col("at") == F.length("s") - 1, F.col("before")).otherwise(F.col("inside"))
+    return pairs(marked, n)
+
+
+def pairs(rows: DataFrame, n: Column) -> DataFrame:
+    """(a, b, n): places in ALPHABET of the characters at ``at`` of ``s`` and behind it, n times each."""
+    place = lambda at: F.instr(F.lit(ALPHABET), F.substring("s", at, F.lit(1)))
+    return rows.groupBy(place(F.col("at")).alias("a"), place(F.col("at") + 1).alias("b")).agg(F.sum(n).alias("n"))
+
+
+def train(docs: DataFrame, random_rows: int = 20_000) -> KeyModel:
+    """Count pairs of characters by class, over all documents; at most 68 * 68 counts a class reach the driver."""
+    keys = random_keys(docs.sparkSession, random_rows).select("s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("at"))
+    size = len(ALPHABET) + 1
+    counts = [[[1.0] * size for _ in range(size)] for _ in range(2)]
+    for kind, found in ((0, identifier_pairs(docs)), (1, pairs(keys, F.lit(1)))):
+        for r in found.collect():
+            counts[kind][r["a"]][r["b"]] += r["n"]
+    chance = [[[math.log(x / sum(row)) for x in row] for row in table] for table in counts]
+    model = KeyModel([round(chance[1][a][b] - chance[0][a][b], 6) for a in range(size) for b in range(size)], 0.0)
+    reached = identifiers(docs, 20).select(model.ratio(F.col("s")).alias("r")).agg(F.percentile_approx("r", 0.999, 10_000).alias("r")).first()["r"]
+    model.threshold = max(0.0, reached or 0.0)
+    return model
 
 
 def scan(docs: DataFrame, model: KeyModel) -> DataFrame:

@@ -12,6 +12,7 @@ import zipfile
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -428,6 +429,30 @@ def test_cut_drops_what_was_shuffled(spark):
     assert not shuffle_files(spark) - before and len(held.collect()) == 10
 
 
+def test_secrets_learn_from_every_document(spark):
+    r = random.Random(5)
+    rows = [(k, " ".join("".join(r.choice("abcde" if k < 900 else "xyzQZ") for _ in range(r.randint(1, 17))) for _ in range(r.randint(0, 8))) + r.choice(["", ". Aa1 x_y", "=zz "]), None) for k in range(1000)]
+    docs = frame(spark, [*rows, (None, "nobody named this one", None), (7, "same id again", None)])
+    place = lambda c: secrets.ALPHABET.find(c) + 1
+    size = len(secrets.ALPHABET) + 1
+    names = []
+    for _, said, _ in docs.select("doc_id", "text", "doc_id").collect():
+        w = re.findall(secrets.WHOLE_WORD, said)
+        names += ["_".join(w[i : i + n]) for n in (1, 2, 3) for i in range(0, len(w) - n + 1, n)]
+    assert sorted(x["s"] for x in secrets.identifiers(docs).collect()) == sorted(names)
+    counts = np.ones((2, size, size))
+    for kind, held in ((0, names), (1, [x["s"] for x in secrets.random_keys(spark, 300).collect()])):
+        for s in held:
+            for a, b in zip(s, s[1:]):
+                counts[kind, place(a), place(b)] += 1
+    chance = np.log(counts / counts.sum(axis=2, keepdims=True))
+    model = secrets.train(docs, random_rows=300)
+    assert np.allclose(np.array(model.ratios).reshape(size, size), chance[1] - chance[0], atol=1e-5)
+    ratio = lambda s: sum(model.ratios[place(a) * size + place(b)] for a, b in zip(s, s[1:]))
+    over = [ratio(s) > model.threshold + 1e-9 for s in names if len(s) >= 20]
+    assert model.threshold == 0 and not any(over) or sum(over) <= 0.001 * len(over) + 1
+
+
 def test_secrets_recall(spark):
     r = random.Random(32)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
