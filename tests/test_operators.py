@@ -5,6 +5,8 @@ import math
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +329,17 @@ def test_numbers_as_javascript_prints_them(spark):
     assert one(spark, knowledge.number(F.lit(None).cast("double"))) is None
 
 
+def test_recursive_chunks_takes_few_texts_at_a_time(spark):
+    said = ["ab cd. " * 30_000, None, "", *["Some words. " * 400] * 900, "ef " * 700_000]
+    got = list(text.chunked()(iter([pa.array(said), pa.array([], pa.string())])))
+    assert sum(map(len, got)) == len(said) and len(got) > 5
+    assert max(sum(len(t or "") for t in said[a : a + len(x)]) for a, x in zip(np.cumsum([0, *map(len, got)]), got) if len(x) > 1) <= text.GROUP_BYTES
+    want = [text.split_recursively(t) for t in said]
+    assert [c for x in got for c in x.to_pylist()] == want
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").coalesce(1)
+    assert [r["c"] for r in rows.select("i", text.recursive_chunks(F.col("t")).alias("c")).orderBy("i").collect()] == want
+
+
 def test_small_text_functions(spark):
     assert one(spark, text.opening_hours(F.lit("Obs | Horário: 6h às 22h | x"))) == "6h às 22h" and one(spark, text.opening_hours(F.lit("nada"))) is None
     assert one(spark, text.is_uuid(F.lit("123E4567-e89b-12d3-a456-426614174000"))) is True and one(spark, text.is_uuid(F.lit("123e4567-e89b-62d3-a456-426614174000"))) is False
