@@ -340,6 +340,16 @@ def test_recursive_chunks_takes_few_texts_at_a_time(spark):
     assert [r["c"] for r in rows.select("i", text.recursive_chunks(F.col("t")).alias("c")).orderBy("i").collect()] == want
 
 
+def test_slugs_look_for_marks_only_where_there_may_be_some(spark):
+    assert "[^0-9]+" in str(text.digits_only(F.col("x"))) and "CASE WHEN" in str(text.slug(F.col("x")))
+    said = ["", " \u2003 A b\t", "\u3000É\u0301\u00a0-\ufeff", "plain 12-3 text ", "\U0001f600 ñandú 9", "--", "a\u0301\u0302b", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
+    got = rows.select("i", text.slug(F.col("t")).alias("s"), text.fold(F.col("t")).alias("f"), text.digits_only(F.col("t")).alias("d")).orderBy("i").collect()
+    assert [(r["s"], r["f"], r["d"]) for r in got] == [
+        ("", "", ""), ("a-b", "a b", ""), ("e", "e\u00a0-", ""), ("plain-12-3-text", "plain 12-3 text", "123"), ("nandu-9", "\U0001f600 nandu 9", "9"), ("", "--", ""), ("ab", "ab", ""), (None, None, None),
+    ]
+
+
 def test_small_text_functions(spark):
     assert one(spark, text.opening_hours(F.lit("Obs | Horário: 6h às 22h | x"))) == "6h às 22h" and one(spark, text.opening_hours(F.lit("nada"))) is None
     assert one(spark, text.is_uuid(F.lit("123E4567-e89b-12d3-a456-426614174000"))) is True and one(spark, text.is_uuid(F.lit("123e4567-e89b-62d3-a456-426614174000"))) is False
