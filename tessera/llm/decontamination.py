@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import bounded_memory, cut, table
 from tessera.llm.shingles import shingle_and_gram_sets, word_hashes
 
 #: Bits of a bitmap; 1 MB, whatever the number of items.
@@ -51,29 +51,34 @@ def _item_shingles(size: int, percent: int):
     return run
 
 
-def _bitmap(rows: DataFrame) -> np.ndarray:
-    """Bits of the column h; at most BITS / 32 rows reach the driver."""
+def _bitmap(rows: DataFrame) -> bytes:
+    """Bits of the column h, eight to a byte; at most BITS / 32 rows reach the driver."""
     words = rows.groupBy(F.expr(f"cast(shiftright(h & {BITS - 1}L, 5) as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 31L as int)))").alias("bits")).collect()
-    held = np.zeros(BITS // 32, np.uint32)
+    held = np.zeros(BITS // 32, "<u4")
     for r in words:
         held[r["w"]] = r["bits"]
-    return np.unpackbits(held.view(np.uint8), bitorder="little").astype(bool)
+    return held.tobytes()
+
+
+def _set_in(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit in a bitmap, which stays packed: a byte for each bit would be 8 MB for each class and worker."""
+    at = hashes & np.uint64(BITS - 1)
+    return (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _probe(classes: list[tuple[int, int, bytes]], every: bytes, size: int, shorter: tuple[int, ...], short: bytes):
     """classes: (least number of a document's shingles, largest sketch hash, packed bitmap); shorter: the lengths of items below size, and short: their bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_map = lambda x: np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").astype(bool)
-        held, brief, sketches = open_map(every), open_map(short), [(least, np.uint64(top), open_map(x)) for least, top, x in classes]
+        packed = lambda x: np.frombuffer(x, np.uint8)
+        held, brief, sketches = packed(every), packed(short), [(least, np.uint64(top), packed(x)) for least, top, x in classes]
         for batch in batches:
             ids, marks, hs = [], [], []
             for doc_id, (s, runs) in zip(batch.column(0).to_pylist(), shingle_and_gram_sets(batch.column(1), size, shorter)):
-                at = (s & np.uint64(BITS - 1)).astype(np.int64)
-                met = runs[brief[(runs & np.uint64(BITS - 1)).astype(np.int64)]]
-                found = any(len(s) >= least and bits[at[: np.searchsorted(s, top, side="right")]].any() for least, top, bits in sketches)
+                met = runs[_set_in(brief, runs)]
+                found = any(len(s) >= least and _set_in(bits, s[: np.searchsorted(s, top, side="right")]).any() for least, top, bits in sketches)
                 if found or len(met):
-                    own = np.unique(np.concatenate([s[held[at]] if found else s[:0], met])).view(np.int64)
+                    own = np.unique(np.concatenate([s[_set_in(held, s)] if found else s[:0], met])).view(np.int64)
                     ids += [doc_id] * len(own)
                     marks += [int(np.bitwise_xor.reduce(s).view(np.int64))] * len(own)
                     hs.append(own)
@@ -84,20 +89,20 @@ def _probe(classes: list[tuple[int, int, bytes]], every: bytes, size: int, short
 
 def leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_shingles, shared, containment) for items (item_id, text) in docs (doc_id, text)."""
-    own = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    shingles = cut(own.mapInArrow(_item_shingles(size, percent), "item_id long, n int, h long, sketch boolean, words int"))
-    sketches = shingles.where("sketch").withColumn("kind", F.when(F.col("words") < size, -1).otherwise(F.floor(F.log2("n")).cast("int")))
-    # Hashes are unsigned; with the top bit turned over, their order is that of signed numbers.
-    top = F.max(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
-    kinds = sorted((r["kind"], r["least"], r["top"] + (1 << 63)) for r in sketches.where("kind >= 0").groupBy("kind").agg(F.min("n").alias("least"), top.alias("top")).collect())
-    pack = lambda x: np.packbits(_bitmap(x), bitorder="little").tobytes()
-    classes = [(-(-percent * least // 100), high, pack(sketches.where(F.col("kind") == kind))) for kind, least, high in kinds]
-
-    brief = sketches.where("kind < 0")
-    shorter = tuple(sorted(r["words"] for r in brief.select("words").distinct().collect()))
-
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hits = cut(texts.mapInArrow(_probe(classes, pack(shingles.where(F.col("words") >= size)), size, shorter, pack(brief)), "doc_id long, mark long, h long"))
+    with bounded_memory(docs.sparkSession):
+        own = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+        shingles = cut(own.mapInArrow(_item_shingles(size, percent), "item_id long, n int, h long, sketch boolean, words int"))
+        sketches = shingles.where("sketch").withColumn("kind", F.when(F.col("words") < size, -1).otherwise(F.floor(F.log2("n")).cast("int")))
+        # Hashes are unsigned; with the top bit turned over, their order is that of signed numbers.
+        top = F.max(F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
+        kinds = sorted((r["kind"], r["least"], r["top"] + (1 << 63)) for r in sketches.where("kind >= 0").groupBy("kind").agg(F.min("n").alias("least"), top.alias("top")).collect())
+        classes = [(-(-percent * least // 100), high, _bitmap(sketches.where(F.col("kind") == kind))) for kind, least, high in kinds]
+
+        brief = sketches.where("kind < 0")
+        shorter = tuple(sorted(r["words"] for r in brief.select("words").distinct().collect()))
+
+        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        hits = cut(texts.mapInArrow(_probe(classes, _bitmap(shingles.where(F.col("words") >= size)), size, shorter, _bitmap(brief)), "doc_id long, mark long, h long"))
     candidates = hits.join(sketches.select("h", "item_id"), "h").select("doc_id", "mark", "item_id").distinct()
     # Only a candidate's own shingles are looked up, so frequent shingles of other items cost nothing.
     wanted = candidates.alias("c").join(shingles.alias("s"), F.expr("c.item_id <=> s.item_id")).select("c.*", "s.h", "s.n")

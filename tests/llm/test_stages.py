@@ -2,13 +2,15 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import mixing, quality, secrets, span_dedup, toxicity
+from tessera.llm import common, decontamination, jaccard_join, mixing, quality, secrets, span_dedup, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -80,3 +82,35 @@ def test_pipeline_of_nothing_and_of_repeated_ids(spark, tmp_path):
         assert got == ([] if name == "none" else ["1", "1", "3", "4", "5", "None"])
 
 
+def test_stages_give_python_few_rows_and_broadcast_little(spark, monkeypatch):
+    """A batch of whole texts is held several times by either side, and a broadcast is hashed by the driver."""
+    docs, _ = tables(spark)
+    seen, real = [], common.cut
+
+    def spy(df):
+        seen.append((int(spark.conf.get(common.BATCH_ROWS)), int(spark.conf.get(common.BROADCAST).rstrip("b"))))
+        return real(df)
+
+    for module in (jaccard_join, decontamination):
+        monkeypatch.setattr(module, "cut", spy)
+    before = [spark.conf.get(key) for key in (common.BATCH_ROWS, common.BROADCAST)]
+    few = docs.limit(50)
+    jaccard_join.near_duplicates(few).count()
+    decontamination.leaks(few, docs.limit(3).selectExpr("doc_id as item_id", "text")).count()
+    assert len(seen) > 5 and all(rows <= 1000 and size <= 1 << 18 for rows, size in seen)
+    assert [spark.conf.get(key) for key in (common.BATCH_ROWS, common.BROADCAST)] == before
+
+
+def test_bitmaps_of_the_benchmark_stay_packed():
+    """Eight size classes take a worker their packed bitmaps, 1 MB each, and not a byte for each bit."""
+    packed = b"\xff" * (decontamination.BITS // 8)
+    probe = decontamination._probe([(1, (1 << 64) - 1, packed)] * 8, packed, 5, (1,), packed)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two three four five six seven", None])], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        got = list(probe(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # Three runs of five words and seven words.
+    assert got[0].num_rows == 10 and peak < 8 << 20
