@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the smallest node of its component.
 
     Each round takes the smallest label among neighbours and then follows labels once, so
-    paths halve. Rounds end when no label changes; each cuts the lineage. Only the number of
-    changed labels reaches the driver. Null ends are ignored; loops and repeated edges do no harm.
+    paths halve. Rounds end when no label changes; each cuts the lineage. Only whether a
+    label has changed reaches the driver. Null ends are ignored; loops and repeated edges do no harm.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         root = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
         moved = cut(hooked.join(root, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label")))
-        changed = moved.where("old <> label").limit(1).count()
+        done = moved.where("old <> label").isEmpty()
         labels = moved.select("node", "label")
-        if not changed:
+        if done:
             return labels
