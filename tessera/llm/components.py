@@ -14,15 +14,19 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours and then follows labels once, so
     paths halve. Rounds end when no label changes; each cuts the lineage. Only whether a
     label has changed reaches the driver. Null ends are ignored; loops and repeated edges do no harm.
+
+    The driver's memory follows the number of exchanges that it plans, so a round has as few as
+    it can: what neighbours offer and what nodes have go through one aggregation, not a join.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("other")).select("node", F.least("node", "other").alias("label")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("other")).select("node", F.least("node", "other").alias("label"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).alias("old"))
+        offered = near.unionByName(labels.withColumn("old", F.col("label")))
+        hooked = offered.groupBy("node").agg(F.max("old").alias("old"), F.min("label").alias("label"))
         root = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        moved = cut(hooked.join(root, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label")))
+        moved = cut(hooked.join(root, "label").select("node", "old", F.least("label", "root").alias("label")))
         done = moved.where("old <> label").isEmpty()
         labels = moved.select("node", "label")
         if done:

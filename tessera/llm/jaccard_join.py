@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bitmap, bounded_memory, cut, in_bitmap, table
+from tessera.llm.common import bitmap, bounded_memory, cut, in_bitmap, many_small_plans, table
 from tessera.llm.components import components
 from tessera.llm.shingles import shingle_sets
 
@@ -45,6 +45,7 @@ EXTRA = 8
 MOST_MATCHES = 8
 #: Words of 64 bits of a parity sketch.
 SKETCH = 8
+BITS = [f"bits{i}" for i in range(SKETCH)]
 VERIFY_COST = 0.05
 #: Rounds of stars at most, before all sets of what is left in a list meet.
 MOST_STARS = 6
@@ -87,26 +88,25 @@ def _prefixes(size: int, percent: int):
 
 
 def _signatures(size: int, percent: int, shared: Broadcast):
-    """Each row's set: its size, digests, the shingles needed of its first prefix and those of them that the bitmap knows."""
+    """Each row's set: its size, digest, the shingles needed of its first prefix and those of them that the bitmap knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            ids, n, nodes, keys, needs, heads = [], [], [], [], [], []
+            ids, n, nodes, needs, heads = [], [], [], [], []
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
-                node, key = _node(doc_id, s)
+                node, _ = _node(doc_id, s)
                 length, need = first_prefix(len(s), percent) if node else (0, 0)
                 head = s[:length]
                 head = head[in_bitmap(held, head)]
                 ids.append(doc_id)
                 n.append(len(s))
                 nodes.append(node)
-                keys.append(key)
                 needs.append(need)
                 heads.append(head.view(np.int64) if len(head) >= max(need, 1) else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), pa.array(needs, pa.int32()), pa.array(heads, pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "key", "need", "head"],
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(needs, pa.int32()), pa.array(heads, pa.list_(pa.int64()))],
+                ["doc_id", "n", "node", "need", "head"],
             )
 
     return run
@@ -131,30 +131,34 @@ def parity_sketch(s: np.ndarray) -> list[int]:
 
 
 def _sets(size: int):
-    """Rows (node, text) as (node, n, shingles, sketch), without those whose text has another set than the node's."""
+    """Rows (digest, low, text) as (digest, low, n, shingles, sketch), without those whose text has another set than the digest's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            held = [(node, s) for node, s in zip(nodes, shingle_sets(batch.column(1), size)) if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == node]
+            named = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), size))
+            held = [(node, low, s) for node, low, s in named if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == node]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node for node, _ in held], pa.binary()), pa.array([len(s) for _, s in held], pa.int64()), pa.array([s.view(np.int64) for _, s in held], pa.list_(pa.int64())), pa.array([parity_sketch(s) for _, s in held], pa.list_(pa.int64()))],
-                ["node", "n", "shingles", "sketch"],
+                [
+                    pa.array([node for node, *_ in held], pa.binary()),
+                    pa.array([low for _, low, _ in held], pa.int64()),
+                    pa.array([len(s) for *_, s in held], pa.int64()),
+                    pa.array([s.view(np.int64) for *_, s in held], pa.list_(pa.int64())),
+                    pa.array([parity_sketch(s) for *_, s in held], pa.list_(pa.int64())),
+                ],
+                ["digest", "low", "n", "shingles", "sketch"],
             )
 
     return run
 
 
-def _survivors(base: DataFrame, shared: DataFrame) -> DataFrame:
-    """(key) of the sets whose hash-order prefix holds enough shingles that other sets' prefixes hold too."""
-    heads = base.where("head is not null").select("key", "need", F.explode("head").alias("h")).join(shared, "h")
-    hits = heads.groupBy("key").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need"))
-    copies = base.where("head is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    return hits.join(copies, "key").where("hits >= need * copies").select("key")
+def _survivors(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, low) of the classes whose hash-order prefix holds enough shingles that other sets' prefixes hold too."""
+    heads = classes.where("head is not null").select("node", "low", "need", F.explode("head").alias("h")).join(shared, "h")
+    return heads.groupBy("node", "low").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need")).where("hits >= need").select("node", "low")
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, node, n, alone, pos, l): the shingles in each set's adaptive prefix, without those of one set only.
+    """(h, node, n, alone, pos, l, central, bits): the shingles in each set's adaptive prefix, without those of one set only, each with the set's sketch.
 
     Positions count from the rarest shingle; the ``alone`` shingles of one set only come first and
     match nothing. A set with too many of them can link with nothing and has no posting.
@@ -162,7 +166,8 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     each = sets.select("node", F.explode("shingles").alias("h"))
     known = each.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
     found = each.join(known, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("found"))
-    ranked = found.join(sets.select("node", "n"), "node")
+    bits = [F.col("sketch")[i].alias(b) for i, b in enumerate(BITS)]
+    ranked = found.join(sets.select("node", "n", *bits), "node")
     floor = F.ceil(F.col("n") * percent / F.lit(100))
     floor = F.when((floor - 1) * 100 >= F.col("n") * percent, floor - 1).otherwise(floor).cast("int")
     ranked = ranked.withColumn("alone", (F.col("n") - F.size("found")).cast("int")).withColumn("p", (F.col("n") - floor + 1).cast("int")).withColumn("floor", floor)
@@ -176,7 +181,7 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     choices = F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_MATCHES), F.col("floor"))), lambda ell: F.struct((probes(ell) * (1 + VERIFY_COST * F.col("n") / ell)).alias("cost"), ell.alias("l")))
     chosen = ranked.withColumn("l", F.array_min(choices)["l"]).withColumn("central", F.aggregate("found", F.lit(0.0), lambda acc, x: acc + F.log2(x["df"].cast("double"))) / F.col("n"))
     held = F.slice("found", F.lit(1), F.greatest(F.col("p") + F.col("l") - 1 - F.col("alone"), F.lit(0)))
-    return chosen.select("node", "n", "alone", "l", "central", F.posexplode(held).alias("at", "x")).select(F.col("x.h").alias("h"), "node", "n", "alone", (F.col("alone") + F.col("at")).alias("pos"), "l", "central")
+    return chosen.select("node", "n", "alone", "l", "central", *BITS, F.posexplode(held).alias("at", "x")).select(F.col("x.h").alias("h"), "node", "n", "alone", (F.col("alone") + F.col("at")).alias("pos"), "l", "central", *BITS)
 
 
 def _near_enough(percent: int) -> Column:
@@ -206,34 +211,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * either).select("a", "b")
 
 
-def _components(sets: DataFrame, percent: int) -> DataFrame:
+def _components(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, label) of all sets that link with another: the components that all links would give."""
-    other = ["node", "n", "alone", "pos", "l", "label"]
-    bits = [f"bits{i}" for i in range(SKETCH)]
-    sketches = sets.select("node", *[F.col("sketch")[i].alias(b) for i, b in enumerate(bits)])
-    postings = cut(_postings(sets, percent))
-    shared = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    lists = cut(postings.join(shared, "h", "left_semi").join(sketches, "node").withColumn("label", F.col("node")))
-    differing = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
+    held = ["node", "n", "alone", "pos", "l", "label", *BITS]
+    lists = postings.withColumn("label", F.col("node"))
+    differing = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in BITS), F.lit(0))
     most = F.col("n") + F.col("n2") - 2 * F.expr(f"(({percent} * (n + n2) + {99 + percent}) div {100 + percent})")
     fits = (F.col("label") != F.col("label2")) & _near_enough(percent) & (differing <= most)
     labels = None
 
     def joined(links: DataFrame) -> DataFrame:
-        """Labels after further links, which lie between components that there are."""
-        if labels is None:
-            return components(links)
-        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-        edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-        new = cut(components(edges))
-        moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        return cut(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")))
+        """Labels after further links: a label links its component's nodes as well as what gave it did."""
+        return components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
     for turn in range(MOST_STARS):
         # First the set whose shingles are the most frequent ones on average, then any by chance.
         order = -F.col("central") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        held = [*other, *bits]
-        pivots = lists.groupBy("h").agg(F.min_by(F.struct(*held), F.struct(order, "node")).alias("q"))
+        # Lists of one component have no pivot.
+        pivots = lists.groupBy("h").agg(F.min_by(F.struct(*held), F.struct(order, "node")).alias("q"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h", "q")
         starred = lists.join(pivots, "h").select(*held, *[F.col(f"q.{c}").alias(f"{c}2") for c in held]).where(fits)
         found = cut(_verified(_candidates(starred), sets, percent))
         if turn and found.isEmpty():
@@ -246,7 +241,7 @@ def _components(sets: DataFrame, percent: int) -> DataFrame:
     top = sizes.groupBy("h").agg(F.max(F.struct("c", "label"))["label"].alias("top"))
     lists = lists.join(top, "h")
     outside = lists.where("label <> top")
-    inside = lists.select("h", *[F.col(c).alias(f"{c}2") for c in [*other, *bits]])
+    inside = lists.select("h", *[F.col(c).alias(f"{c}2") for c in held])
     crossed = outside.join(inside, "h").where(((F.col("label2") == F.col("top")) | (F.col("node") < F.col("node2"))) & fits)
     last = cut(_verified(_candidates(crossed), sets, percent))
     return labels if last.isEmpty() else joined(last)
@@ -263,23 +258,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         prefixes = texts.mapInArrow(_prefixes(size, percent), "key long, h long")
         shared = cut(prefixes.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("h"))
         held = sc.broadcast(bitmap(shared, "h"))
-        base = cut(texts.mapInArrow(_signatures(size, percent, held), "doc_id long, n long, node binary, key long, need int, head array<long>"))
+        base = cut(texts.mapInArrow(_signatures(size, percent, held), "doc_id long, n long, node binary, need int, head array<long>"))
         held.destroy()
-        classes = base.where("node is not null").groupBy("node", "key").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-        kept = cut(classes.join(_survivors(base, shared), "key").select("node", "low").withColumn("hashed", F.xxhash64("low")))
+        classes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.max("need").alias("need"), F.first("head").alias("head"))
+        kept = cut(_survivors(classes, shared).withColumn("hashed", F.xxhash64("low")))
 
         held = sc.broadcast(bitmap(kept, "hashed"))
         chosen = texts.select("doc_id", F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_chosen(held), "doc_id long, text string")
-        sets = chosen.join(kept, F.col("doc_id") == F.col("low")).select("node", "text").mapInArrow(_sets(size), "node binary, n long, shingles array<long>, sketch array<long>")
+        sets = chosen.join(kept, F.col("doc_id") == F.col("low")).select("node", "low", "text").mapInArrow(_sets(size), "digest binary, low long, n long, shingles array<long>, sketch array<long>")
         # Short ids stand for digests while shingles are shuffled; the checkpoint fixes them.
-        named = cut(sets.withColumn("digest", F.col("node")).withColumn("node", F.monotonically_increasing_id()))
+        named = cut(sets.withColumn("node", F.monotonically_increasing_id()))
         held.destroy()
-        labels = _components(named.select("node", "n", "shingles", "sketch"), percent)
-        ids = named.select("node", "digest").join(kept.select(F.col("node").alias("digest"), "low"), "digest")
-        labelled = labels.join(ids, "node")
-        smallest = labelled.groupBy("label").agg(F.min("low").alias("component"))
-        # A plan of its own: the driver holds plans, their generated code and their metrics, and one of everything is far larger than its parts.
-        linked = cut(labelled.join(smallest, "label").groupBy(F.col("digest").alias("node")).agg(F.min("component").alias("component")))
+        named_sets = named.select("node", "n", "shingles", "sketch")
+        postings = cut(_postings(named_sets, percent))
+        with many_small_plans(docs.sparkSession):
+            labels = _components(postings, named_sets, percent)
+            labelled = labels.join(named.select("node", "digest", "low"), "node")
+            smallest = labelled.groupBy("label").agg(F.min("low").alias("component"))
+            # A plan of its own: the driver holds plans, their generated code and their metrics, and one of everything is far larger than its parts.
+            linked = cut(labelled.join(smallest, "label").groupBy(F.col("digest").alias("node")).agg(F.min("component").alias("component")))
 
     several = classes.select("node", "low", "copies").join(linked, "node", "left").where("copies > 1 or component is not null").select("node", F.coalesce("component", "low").alias("component"))
     return base.select("doc_id", "n", "node").join(several, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

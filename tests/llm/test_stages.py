@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import common, decontamination, jaccard_join, mixing, quality, secrets, span_dedup, toxicity
+from tessera.llm import common, components, decontamination, jaccard_join, mixing, quality, secrets, span_dedup, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -101,6 +101,30 @@ def test_stages_give_python_few_rows_and_broadcast_little(spark, monkeypatch):
     assert [spark.conf.get(key) for key in (common.BATCH_ROWS, common.BROADCAST)] == before
 
 
+def test_rounds_of_the_join_plan_little(spark, monkeypatch):
+    """The driver's memory follows the stages that it plans and the code that it compiles for them."""
+    prose = lambda seed: [f"w{random.Random(seed * 1000 + j).randrange(400)}" for j in range(60)]
+    texts = [" ".join([*prose(k), f"end{i}"]) for k in range(6) for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, real = [], common.cut
+
+    def spy(df):
+        seen.append(spark.conf.get("spark.sql.codegen.wholeStage"))
+        return real(df)
+
+    monkeypatch.setattr(components, "cut", spy)
+    before = spark.conf.get("spark.sql.codegen.wholeStage")
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    try:
+        got = jaccard_join.near_duplicates(docs).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r["component_id"] for r in sorted(got)] == [k * 5 for k in range(6) for _ in range(5)]
+    assert len(seen) > 1 and set(seen) == {"false"} and spark.conf.get("spark.sql.codegen.wholeStage") == before
+    # 87 when each round joined what it now unites.
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) < 80
+
+
 def test_bitmaps_of_the_benchmark_stay_packed():
     """Eight size classes take a worker their packed bitmaps, 1 MB each, and not a byte for each bit."""
     packed = b"\xff" * (decontamination.BITS // 8)
