@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard_join, mixing, secrets, toxicity
-from tessera.llm.common import cut, table
+from tessera.llm.common import bounded_memory, cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,13 +28,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each component of 5-word shingles at 80 of 100, the document with the smallest id stays; so do rows without an id, and rows that repeat an id with other texts."""
     found = jaccard_join.near_duplicates(docs, size=5, percent=80)
     # Ids only, and read twice: a plan that holds the join twice takes much of the driver's memory.
-    kept = cut(found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows")))
+    with bounded_memory(spark):
+        kept = cut(found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows")))
     held = docs.select(*COLUMNS)
-    # Only ids with several rows are looked at for rows that say the same.
+    # Only ids with several rows are looked at for rows that say the same, and without such ids not planned.
     named = held.join(kept, F.col("doc_id") == F.col("kept_id"))
-    once, repeated = named.where("kept_rows = 1"), named.where("kept_rows > 1").dropDuplicates(["doc_id", "text"])
     nameless = held.where("doc_id is null").dropDuplicates(["text"])
-    return once.select(*COLUMNS).unionByName(repeated.select(*COLUMNS)).unionByName(nameless)
+    once = named.where("kept_rows = 1").select(*COLUMNS).unionByName(nameless)
+    if kept.where("kept_rows > 1").isEmpty():
+        return once
+    return once.unionByName(named.where("kept_rows > 1").dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
